@@ -53,3 +53,8 @@ def truncate(text: Column, longest: int) -> Column:
     return F.when(F.length(text) <= longest, text).otherwise(
         F.concat(F.substring(text, 1, longest - 3), F.lit("..."))
     )
+
+
+def stripped(text: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
