@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,46 +154,37 @@ def baseline_entries(findings: DataFrame, added_at: Column) -> DataFrame:
     return findings.select("file", "line", F.col("rule").alias("pattern"), added_at.alias("added_at"))
 
 
-def create_baseline(findings: DataFrame, path: str, added_at: Column | None = None) -> None:
-    """Replace the entries of a baseline table; its creation time stays the first one.
+BASELINE_SCHEMA = "file string, line int, pattern string, added_at timestamp, created timestamp"
 
-    A new snapshot is written beside the old one and becomes current by its number.
-    """
-    spark = findings.sparkSession
+
+def _created(spark: SparkSession, path: str):
+    """When the baseline at ``path`` was first made, or None."""
+    try:
+        return spark.read.schema(BASELINE_SCHEMA).parquet(path).agg(F.min("created")).first()[0]
+    except AnalysisException:
+        return None
+
+
+def create_baseline(findings: DataFrame, path: str, added_at: Column | None = None) -> None:
+    """Replace a baseline with all current findings; the first creation time stays."""
     now = F.current_timestamp() if added_at is None else added_at
-    old = _snapshots(spark, path)
-    last = old.agg(F.max("snapshot"), F.min("created")).first() if old is not None else (None, None)
-    entries = baseline_entries(findings, now).withColumn("created", F.coalesce(F.lit(last[1]), now))
-    number = 0 if last[0] is None else last[0] + 1
-    entries.write.mode("append").parquet(f"{path}/snapshot={number}")
+    first = F.coalesce(F.lit(_created(findings.sparkSession, path)).cast("timestamp"), now)
+    entries = baseline_entries(findings, now).withColumn("created", first)
+    entries.write.mode("overwrite").parquet(path)
 
 
 def add_to_baseline(entries: DataFrame, path: str) -> None:
-    """Append (file, line, pattern, added_at) entries to the current snapshot."""
-    old = _snapshots(entries.sparkSession, path)
-    last = old.agg(F.max("snapshot"), F.min("created")).first() if old is not None else (None, None)
-    entries.withColumn("created", F.coalesce(F.lit(last[1]), F.col("added_at"))).write.mode("append").parquet(
-        f"{path}/snapshot={last[0] or 0}"
-    )
+    """Append (file, line, pattern, added_at) entries as they are."""
+    first = F.coalesce(F.lit(_created(entries.sparkSession, path)).cast("timestamp"), F.col("added_at"))
+    entries.withColumn("created", first).write.mode("append").parquet(path)
 
 
 def clear_baseline(spark: SparkSession, path: str) -> None:
-    """Make an empty snapshot current."""
-    old = _snapshots(spark, path)
-    if old is not None:
-        number = old.agg(F.max("snapshot")).first()[0]
-        old.drop("snapshot").where(F.lit(False)).coalesce(1).write.mode("append").parquet(
-            f"{path}/snapshot={number + 1}"
-        )
+    spark.createDataFrame([], BASELINE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the current snapshot."""
-    snaps = _snapshots(spark, path)
-    if snaps is None:
-        return spark.createDataFrame([], "file string, line int, pattern string, added_at timestamp")
-    newest = max(_snapshot_numbers(spark, path))
-    return snaps.where(F.col("snapshot") == newest).select("file", "line", "pattern", "added_at")
+    return spark.read.schema(BASELINE_SCHEMA).parquet(path).drop("created")
 
 
 def show_baseline(entries: DataFrame) -> DataFrame:
@@ -200,23 +192,6 @@ def show_baseline(entries: DataFrame) -> DataFrame:
     return entries.groupBy("file").agg(F.count("*").alias("entries"))
 
 
-def _snapshot_numbers(spark: SparkSession, path: str) -> list[int]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    return [int(n.split("=")[1]) for n in names if n.startswith("snapshot=")]
-
-
-def _snapshots(spark: SparkSession, path: str) -> DataFrame | None:
-    if not _snapshot_numbers(spark, path):
-        return None
-    return spark.read.schema(
-        "file string, line int, pattern string, added_at timestamp, created timestamp, snapshot int"
-    ).parquet(path)
-
-
 # -- remote vulnerabilities --------------------------------------------------
 
 
