@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Severity order, lowest first.
@@ -58,3 +58,14 @@ def truncate(text: Column, longest: int) -> Column:
 def stripped(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def computed_once(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, with ``name`` evaluated once per row.
+
+    Spark merges projections into the filters above them, so a filter that names
+    a derived column many times would derive it as often. It does not move
+    filters below a generator, which here yields exactly one row per row.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(F.col(name))).alias(name))

@@ -1,25 +1,20 @@
-"""Match expressions: find, locate and filter rule matches inside a text column."""
+"""Match expressions: find, locate and filter rule matches inside a text column.
+
+Expressions over a whole rule list are written as SQL text and take the name of
+the text column: one parsed expression instead of thousands of column calls.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .columns import any_of, let
+from .columns import let
 from .rules import GENERIC_RULES, Rule, is_context_free, java_regex
 
-HIT_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("rule_ord", T.IntegerType()),
-            T.StructField("column", T.IntegerType()),
-            T.StructField("match", T.StringType()),
-        ]
-    )
-)
+NumberedRules = Sequence[tuple[int, Rule]]
 
 # Shapes of a quoted value that is a variable name, not a secret.
 UPPER_NAME = r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$"
@@ -27,50 +22,70 @@ LOWER_NAME = r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$"
 QUOTED_VALUE = r"['\"]([^'\"]+)['\"]"
 
 
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any(tests: Iterable[str]) -> str:
+    return "(" + (" OR ".join(tests) or "false") + ")"
+
+
 def is_variable_name(match: Column) -> Column:
     """Whether the first quoted value of a match is only an identifier."""
     value = F.regexp_extract(match, QUOTED_VALUE, 1)
     return value.rlike(UPPER_NAME) | value.rlike(LOWER_NAME)
 
 
+_IS_VARIABLE_NAME = (
+    f"(regexp_extract(m, {literal(QUOTED_VALUE)}, 1) RLIKE {literal(UPPER_NAME)} OR "
+    f"regexp_extract(m, {literal(QUOTED_VALUE)}, 1) RLIKE {literal(LOWER_NAME)})"
+)
+
 # Characters rare in prose: one search for them stands in front of every needle
 # that contains them.
 _RARE = ("_", "://")
 
 
-def _needle_tests(text: Column, rules: Sequence[Rule]) -> list[Column]:
+def _contains(text: str, needles: Iterable[str]) -> str:
+    return _any(f"contains({text}, {literal(n)})" for n in needles)
+
+
+def _needle_tests(text: str, rules: Sequence[Rule]) -> list[str]:
     plain = list(dict.fromkeys(n for r in rules if not r.fold for n in r.needles))
     tests = []
     for mark in _RARE:
         group = [n for n in plain if mark in n]
         if len(group) > 1:
-            tests.append(text.contains(mark) & any_of(text.contains(n) for n in group))
+            tests.append(f"({_contains(text, [mark])} AND {_contains(text, group)})")
             plain = [n for n in plain if n not in group]
-    tests += [text.contains(n) for n in plain]
+    tests += [_contains(text, [n]) for n in plain]
     gates: dict[tuple[str, ...], list[str]] = {}
     for r in rules:
         if r.fold and r.needles:
             gates.setdefault(r.gate, []).extend(r.needles)
     for gate, needles in gates.items():
         # Unicode case folding, as the rule itself folds.
-        folded = text.rlike("(?iU)" + "|".join(dict.fromkeys(needles)))
-        tests.append(any_of(text.contains(g) for g in gate) & folded if gate else folded)
+        folded = f"{text} RLIKE {literal('(?iU)' + '|'.join(dict.fromkeys(needles)))}"
+        tests.append(f"({_contains(text, gate)} AND {folded})" if gate else folded)
     return tests
 
 
-def needles_present(text: Column, rule: Rule) -> Column:
-    """A cheap test that is true for every text the rule can match."""
-    return any_of(_needle_tests(text, [rule])) if rule.needles else F.lit(True)
+def _rlike(text: str, rule: Rule) -> str:
+    return f"{text} RLIKE {literal(java_regex(rule.regex))}"
+
 
+def _line_test(text: str, rules: NumberedRules) -> str:
+    tests = _needle_tests(text, [r for _, r in rules])
+    return _any(tests + [_rlike(text, r) for _, r in rules if not r.needles])
 
-def line_may_match(line: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
+
+def line_may_match(text: str, rules: NumberedRules) -> Column:
     """Pre-test for one line: true whenever some rule matches the line."""
-    tests = _needle_tests(line, [r for _, r in rules])
-    tests += [line.rlike(java_regex(r.regex)) for _, r in rules if not r.needles]
-    return any_of(tests)
+    return F.expr(_line_test(text, rules))
 
 
-def text_may_match(text: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
+def text_may_match(text: str, rules: NumberedRules) -> Column:
     """Pre-test for a whole text: true whenever some rule matches one of its lines.
 
     Rules with needles need only the needle. A rule without needles is tried on
@@ -81,18 +96,76 @@ def text_may_match(text: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
     return line_may_match(text, rules)
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """All non-overlapping matches, variable names dropped where the rule is generic."""
-    found = F.regexp_extract_all(text, F.lit(java_regex(rule.regex)), F.lit(0))
+def _fires(text: str, rule: Rule) -> str:
+    """Whether the rule's pattern occurs at all (variable names still included)."""
+    needles = _any(_needle_tests(text, [rule])) + " AND " if rule.needles else ""
+    return f"({needles}{_rlike(text, rule)})"
+
+
+def _matches(text: str, rule: Rule) -> str:
+    """All matches, variable names dropped where the rule is generic."""
+    found = f"regexp_extract_all({text}, {literal(java_regex(rule.regex))}, 0)"
+    return f"filter({found}, m -> NOT {_IS_VARIABLE_NAME})" if rule.name in GENERIC_RULES else found
+
+
+def _holds(text: str, rule: Rule) -> str:
     if rule.name in GENERIC_RULES:
-        found = F.filter(found, lambda m: ~is_variable_name(m))
-    return found
+        return f"({_fires(text, rule)} AND size({_matches(text, rule)}) > 0)"
+    return _fires(text, rule)
+
+
+def firing_rules(text: str, rules: NumberedRules) -> Column:
+    """Array of the numbers of all rules that occur in the text.
+
+    Every pattern is a literal here, so each is compiled once per task. What
+    needs more than a yes or no then works on (text, rule) rows, of which there
+    are few, with the pattern looked up by :func:`rule_pattern`.
+    """
+    cases = ", ".join(f"CASE WHEN {_fires(text, r)} THEN {i} END" for i, r in rules)
+    return F.expr(f"array_compact(array({cases}))")
+
+
+def has_matches(text: str, rules: NumberedRules) -> Column:
+    """Whether any rule matches the text once variable names are set aside."""
+    return F.expr(f"{_line_test(text, rules)} AND {_any(_holds(text, r) for _, r in rules)}")
 
 
-def _located(text: Column, ordinal: int, rule: Rule) -> Column:
-    pattern = java_regex(rule.regex)
+def matched_names(text: str, rules: NumberedRules) -> Column:
+    """Array of the names of all rules that match the text, in rule order; NULL for none."""
+    cases = ", ".join(f"CASE WHEN {_holds(text, r)} THEN {literal(r.name)} END" for _, r in rules)
+    return F.expr(f"CASE WHEN {_line_test(text, rules)} THEN array_distinct(array_compact(array({cases}))) END")
+
+
+def match_count(text: str, rules: NumberedRules) -> Column:
+    """Number of matches of all rules over the whole text."""
+    counts = [f"CASE WHEN {_fires(text, r)} THEN size({_matches(text, r)}) ELSE 0 END" for _, r in rules]
+    return F.expr(" + ".join(counts))
+
+
+def _lookup(ordinal: str, values: Iterable[tuple[int, str]]) -> Column:
+    pairs = ", ".join(f"{i}, {literal(v)}" for i, v in values)
+    return F.expr(f"element_at(map({pairs}), {ordinal})")
+
+
+def rule_pattern(ordinal: str, rules: NumberedRules) -> Column:
+    return _lookup(ordinal, [(i, java_regex(r.regex)) for i, r in rules])
+
+
+def rule_value(ordinal: str, rules: NumberedRules, attribute: str) -> Column:
+    """An attribute of the rule with the given number."""
+    return _lookup(ordinal, [(i, getattr(r, attribute) or "") for i, r in rules])
+
+
+def is_false_positive(ordinal: str, match: str, rules: NumberedRules) -> Column:
+    """Whether a match of a generic rule is only a variable name."""
+    generic = [i for i, r in rules if r.name in GENERIC_RULES]
+    return F.col(ordinal).isin(*generic) & is_variable_name(F.col(match)) if generic else F.lit(False)
+
+
+def located(text: Column, pattern: Column) -> Column:
+    """Array of (column, match) of one pattern in one line, from the gaps between matches."""
     parts = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+        F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
     )
 
@@ -104,59 +177,23 @@ def _located(text: Column, ordinal: int, rule: Rule) -> Column:
             def one(m: Column, i: Column) -> Column:
                 before = F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, x: a + x)
                 return F.struct(
-                    F.lit(ordinal).cast("int").alias("rule_ord"),
-                    (before + F.get(p["gap"], i) + 1).cast("int").alias("column"),
-                    m.alias("match"),
+                    (before + F.get(p["gap"], i) + 1).cast("int").alias("column"), m.alias("match")
                 )
 
             return F.transform(p["m"], one)
 
         return let(step, hit)
 
-    hits = let(parts, positions)
-    if rule.name in GENERIC_RULES:
-        hits = F.filter(hits, lambda h: ~is_variable_name(h["match"]))
-    return F.when(
-        needles_present(text, rule) & text.rlike(pattern), hits
-    ).otherwise(F.array().cast(HIT_TYPE))
-
-
-def located_matches(line: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
-    """Array of (rule_ord, column, match) for one line, in rule then offset order."""
-    return F.flatten(F.array(*[_located(line, i, r) for i, r in rules]))
+    return let(parts, positions)
 
 
-def unplaced_matches(text: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
-    """Array of (rule_ord, column NULL, match) over a whole text; matches may span lines."""
-
-    def one(i: int, rule: Rule) -> Column:
-        hits = F.transform(
-            matches(text, rule),
-            lambda m: F.struct(
-                F.lit(i).cast("int").alias("rule_ord"),
-                F.lit(None).cast("int").alias("column"),
-                m.alias("match"),
-            ),
+def pattern_table(rules: NumberedRules) -> Column:
+    """Array of (pattern, needles, generic) structs; folded needles are left out."""
+    rows = []
+    for _, r in rules:
+        needles = ", ".join(literal(n) for n in r.needles if not r.fold)
+        rows.append(
+            f"named_struct('pattern', {literal(java_regex(r.regex))}, 'needles', "
+            f"CAST(array({needles}) AS array<string>), 'generic', {str(r.name in GENERIC_RULES).lower()})"
         )
-        return F.when(needles_present(text, rule), hits).otherwise(F.array().cast(HIT_TYPE))
-
-    return F.flatten(F.array(*[one(i, r) for i, r in rules]))
-
-
-def has_matches(text: Column, rules: Sequence[tuple[int, Rule]]) -> Column:
-    """Whether any rule matches the text once variable names are set aside."""
-
-    def one(rule: Rule) -> Column:
-        if rule.name in GENERIC_RULES:
-            test = F.size(matches(text, rule)) > 0
-        else:
-            test = text.rlike(java_regex(rule.regex))
-        return needles_present(text, rule) & test
-
-    return any_of(one(r) for _, r in rules)
-
-
-def rule_value(ordinal: Column, rules: Sequence[tuple[int, Rule]], attribute: str) -> Column:
-    """Look up an attribute of the rule with the given number (a literal map)."""
-    pairs = [x for i, r in rules for x in (F.lit(i), F.lit(getattr(r, attribute) or ""))]
-    return F.element_at(F.create_map(*pairs), ordinal)
+    return F.expr(f"array({', '.join(rows)})")

@@ -26,7 +26,7 @@ _HIT = T.StructType(
 )
 
 
-def _hits(text: str, compiled, placed: bool) -> list[dict]:
+def _hits(text: str, compiled, placed: bool) -> list[tuple]:
     out = []
     for ordinal, pattern, generic in compiled:
         for m in pattern.finditer(text):
@@ -34,16 +34,14 @@ def _hits(text: str, compiled, placed: bool) -> list[dict]:
                 quoted = re.search(QUOTED_VALUE, m[0])
                 if quoted and (re.match(UPPER_NAME, quoted[1]) or re.match(LOWER_NAME, quoted[1])):
                     continue
-            out.append(
-                {"rule_ord": ordinal, "column": m.start() + 1 if placed else None, "match": m[0]}
-            )
+            out.append((ordinal, m.start() + 1 if placed else None, m[0]))
     return out
 
 
 def _run(df: DataFrame, rules: Sequence[tuple[int, Rule]], placed: bool) -> DataFrame:
     specs = [(i, r.regex, r.name in GENERIC_RULES) for i, r in rules]
     kept = [f for f in df.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("hit", _HIT)])
+    schema = T.StructType([*kept, *_HIT.fields])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(i, re.compile(p), g) for i, p, g in specs]
@@ -51,16 +49,18 @@ def _run(df: DataFrame, rules: Sequence[tuple[int, Rule]], placed: bool) -> Data
             batch = batch[batch["text"].notna()].copy()
             batch["hit"] = [_hits(t, compiled, placed) for t in batch["text"]]
             batch = batch.drop(columns="text").explode("hit", ignore_index=True)
-            yield batch[batch["hit"].notna()]
+            batch = batch[batch["hit"].notna()].reset_index(drop=True)
+            hits = pd.DataFrame(batch.pop("hit").tolist(), columns=_HIT.fieldNames())
+            yield pd.concat([batch, hits], axis=1)
 
     return df.mapInPandas(task, schema)
 
 
 def arrow_located(lines: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """(..., hit) rows with columns for a (..., text) table of single lines."""
+    """(..., rule_ord, column, match) rows for a (..., text) table of single lines."""
     return _run(lines, rules, placed=True)
 
 
 def arrow_unplaced(texts: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
-    """(..., hit) rows without columns for a (..., text) table of whole texts."""
+    """The same with column NULL for a (..., text) table of whole texts."""
     return _run(texts, rules, placed=False)

@@ -182,7 +182,7 @@ def _entry(**fields) -> Column:
 
 
 def command_event(
-    command: Column, risk: Column, passed: Column, action: Column, reason: Column, agent: Column
+    command: str, risk: Column, passed: Column, action: Column, reason: Column, agent: Column
 ) -> Column:
     """Event struct for a judged command: text redacted, risk of the raw command."""
     return _entry(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import has_matches, line_may_match, rule_value, unplaced_matches
+from ..functions.matching import has_matches, match_count, matched_names
 from ..functions.paths import is_excluded, relative_to
 from ..functions.payloads import is_object, tool_request, tool_response
 from ..functions.redaction import redact_text
@@ -45,7 +45,7 @@ def requests(events: DataFrame) -> DataFrame:
 
 
 def write_rules(
-    content: Column,
+    content: str,
     path: Column,
     rules: Sequence[Rule] = BUILTIN_RULES,
     exclude_paths: Sequence[str] = (),
@@ -57,8 +57,7 @@ def write_rules(
     Everything happens inside the row, so no event is joined back to its findings.
     """
     numbered = list(enumerate(rules))
-    hits = F.when(line_may_match(content, numbered), unplaced_matches(content, numbered))
-    names = F.array_distinct(F.transform(hits, lambda h: rule_value(h["rule_ord"], numbered, "name")))
+    names = matched_names(content, numbered)
     if suppressions:
         names = F.filter(names, lambda n: first_suppression(path, n, suppressions).isNull())
     if exclude_paths:
@@ -90,7 +89,7 @@ def gate(
     r = r.withColumn("sanitised", sanitise(F.col("command")))
     r = r.withColumn("d", decide(F.col("sanitised"), risk_tier(F.col("sanitised")), policy))
     path = F.coalesce("input.file_path", F.lit(DEFAULT_PATH))
-    r = r.withColumn("names", write_rules(F.col("content"), path, rules, exclude_paths, suppressions))
+    r = r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions))
     staged_reason = F.lit(None).cast("string")
     if staged is not None:
         starts = F.regexp_replace("command", r"(?U)^[\s\x1c-\x1f]+", "")
@@ -125,18 +124,16 @@ def redact_outputs(events: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) ->
     r = events.withColumn("r", response).select("event_id", "r.tool", "r.output", "r.content")
 
     def hit(c: str) -> Column:
-        return F.coalesce(
-            line_may_match(F.col(c), numbered) & has_matches(F.col(c), numbered), F.lit(False)
-        )
+        return F.coalesce(has_matches(c, numbered), F.lit(False))
 
     def count(c: str) -> Column:
-        return F.when(F.col(c + "_hit"), F.size(unplaced_matches(F.col(c), numbered))).otherwise(0)
+        return F.when(F.col(c + "_hit"), match_count(c, numbered)).otherwise(0)
 
     r = r.withColumn("output_hit", hit("output")).withColumn("content_hit", hit("content"))
     changed = F.col("output_hit") | F.col("content_hit")
     return r.select(
         "event_id", "tool", F.when(changed, "modify").otherwise("continue").alias("action"),
-        *[F.when(F.col(c + "_hit"), redact_text(F.col(c), numbered)).otherwise(F.col(c)).alias(c) for c in ("output", "content")],
+        *[F.when(F.col(c + "_hit"), redact_text(c, numbered)).otherwise(F.col(c)).alias(c) for c in ("output", "content")],
         (count("output") + count("content")).alias("matched"),
     )
 

@@ -1,7 +1,11 @@
 """Scanning: files, lines or whole texts in, one row per finding out.
 
 Plan shape: a needle test on the whole text, then lines, then the same test per
-line, then one projection that holds every rule. Nothing shuffles.
+line, then the rules that fire on the line, then their matches. All of it is
+narrow: nothing shuffles, and the costly steps only see lines with a hit.
+
+The text should be a stored column. Pass a derived one through
+:func:`~leakscan_spark.functions.columns.computed_once` first, as the sources do.
 """
 
 from __future__ import annotations
@@ -12,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import (
-    located_matches,
+    firing_rules,
+    is_false_positive,
     line_may_match,
+    located,
+    rule_pattern,
     rule_value,
     text_may_match,
-    unplaced_matches,
 )
 from ..functions.redaction import redact_token
 from ..functions.rules import BUILTIN_RULES, Rule, partition_rules
@@ -27,18 +33,27 @@ FINDING_COLUMNS = (
 )
 
 
+def _fired(texts: DataFrame, rules: Sequence[tuple[int, Rule]], keep: Sequence[str]) -> DataFrame:
+    """One row per text and rule that occurs in it."""
+    return texts.select(
+        *keep, "text", F.explode(firing_rules("text", rules)).alias("rule_ord")
+    ).withColumn("pattern", rule_pattern("rule_ord", rules))
+
+
 def _as_findings(hits: DataFrame, rules: Sequence[Rule], keep: Sequence[str], line: Column) -> DataFrame:
+    """(keep..., rule_ord, column, match) rows with the rule's attributes added."""
     numbered = list(enumerate(rules))
-    return hits.select(
+    ordinal = "rule_ord"
+    return hits.where(~is_false_positive(ordinal, "match", numbered)).select(
         *keep,
         line.cast("int").alias("line"),
-        F.col("hit.column").alias("column"),
-        rule_value(F.col("hit.rule_ord"), numbered, "name").alias("rule"),
-        rule_value(F.col("hit.rule_ord"), numbered, "severity").alias("severity"),
-        rule_value(F.col("hit.rule_ord"), numbered, "description").alias("description"),
-        F.col("hit.match").alias("match"),
-        redact_token(F.col("hit.match")).alias("redacted"),
-        F.col("hit.rule_ord").alias("rule_ord"),
+        "column",
+        rule_value(ordinal, numbered, "name").alias("rule"),
+        rule_value(ordinal, numbered, "severity").alias("severity"),
+        rule_value(ordinal, numbered, "description").alias("description"),
+        "match",
+        redact_token(F.col("match")).alias("redacted"),
+        "rule_ord",
     )
 
 
@@ -58,9 +73,9 @@ def scan_lines(
     native, arrow = partition_rules(rules)
     parts = []
     if native:
-        hits = (
-            lines.where(line_may_match(F.col("text"), native))
-            .select(*keep, "line", F.explode(located_matches(F.col("text"), native)).alias("hit"))
+        fired = _fired(lines.where(line_may_match("text", native)), native, [*keep, "line"])
+        hits = fired.select(
+            *keep, "line", "rule_ord", F.inline(located(F.col("text"), F.col("pattern")))
         )
         parts.append(_as_findings(hits, rules, keep, F.col("line")))
     if arrow:
@@ -78,7 +93,7 @@ def scan_files(
     native, arrow = partition_rules(rules)
     parts = []
     if native:
-        hit_files = files.where(text_may_match(F.col("text"), native))
+        hit_files = files.where(text_may_match("text", native))
         parts.append(scan_lines(split_lines(hit_files, keep), _only(rules, native), keep))
     if arrow:
         parts.append(scan_lines(split_lines(files, keep), _only(rules, arrow), keep))
@@ -97,8 +112,11 @@ def scan_texts(
     if native:
         candidates = files
         if all(r.needles for _, r in native):
-            candidates = files.where(line_may_match(F.col("text"), native))
-        hits = candidates.select(*keep, F.explode(unplaced_matches(F.col("text"), native)).alias("hit"))
+            candidates = files.where(line_may_match("text", native))
+        hits = _fired(candidates, native, keep).select(
+            *keep, "rule_ord", none.cast("int").alias("column"),
+            F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("match"),
+        )
         parts.append(_as_findings(hits, rules, keep, none))
     if arrow:
         hits = arrow_unplaced(files.select(*keep, "text"), arrow)
@@ -116,8 +134,8 @@ def _union(source: DataFrame, parts: list[DataFrame], rules: Sequence[Rule], kee
     if not parts:
         empty = source.where(F.lit(False)).select(
             *keep,
-            F.lit(None).cast("int").alias("line"),
-            F.from_json(F.lit("{}"), "rule_ord int, column int, match string").alias("hit"),
+            *[F.lit(None).cast("int").alias(c) for c in ("line", "rule_ord", "column")],
+            F.lit(None).cast("string").alias("match"),
         )
         return _as_findings(empty, [Rule("", "x")], keep, F.col("line"))
     result = parts[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import computed_once
 from ..functions.paths import is_excluded, relative_to, slashes
 from ..functions.review import extension
 
@@ -79,12 +80,12 @@ def select_text(
 ) -> DataFrame:
     """Path rules, then decoding, over a table of the binaryFile schema."""
     rel = relative_to(F.regexp_replace("path", r"^file:/+", "/"), reported_root(root))
-    return (
-        files.withColumn("file", rel)
+    kept = (
+        computed_once(files.withColumn("file", rel), "file")
         .where(is_scannable(F.col("file"), exclude_paths, max_depth))
         .where(~is_excluded(F.col("file"), exclude_paths))
-        .select("file", decode(F.col("content")).alias("text"))
     )
+    return computed_once(kept.select("file", decode(F.col("content")).alias("text")), "text")
 
 
 def reported_root(root: str) -> str:

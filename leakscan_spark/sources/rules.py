@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import SEVERITIES, Rule, compiles
 
@@ -12,7 +13,7 @@ from ..functions.rules import SEVERITIES, Rule, compiles
 MAX_RULES = 10_000
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def regex_compiles(patterns: pd.Series) -> pd.Series:
     """Whether each pattern is a valid regular expression."""
     return patterns.map(lambda p: p is not None and compiles(p))
