@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import any_of
+from .columns import any_of, let
 
 # What ends a URL, and punctuation that is not part of it.
 URL = r"(?iU)https?://[^\s<>\"'`)]+"
@@ -37,14 +37,6 @@ PUBLIC_IPV6 = r"^(?:[23][0-9a-f]{3}|ff[0-9a-f]{2}|fe[c-f][0-9a-f]):"
 SPECIAL_IPV6 = r"^(?:2001:(?:0?[01]?[0-9a-f]{0,2}:|:|0?db8:)|2002:|3fff:0?[0-9a-f]{0,3}:)"
 
 
-def _ipv4_number(host: Column) -> Column:
-    octets = F.split(host, r"\.")
-    return sum(
-        (F.get(octets, F.lit(i)).cast("bigint") * (256 ** (3 - i)) for i in range(1, 4)),
-        F.get(octets, F.lit(0)).cast("bigint") * 256**3,
-    )
-
-
 def _in_block(number: Column, block: str) -> Column:
     base, bits = block.split("/")
     low = sum(int(o) * 256 ** (3 - i) for i, o in enumerate(base.split(".")))
@@ -52,8 +44,25 @@ def _in_block(number: Column, block: str) -> Column:
 
 
 def _unsafe_ipv4(host: Column) -> Column:
-    n = _ipv4_number(host)
-    return any_of(_in_block(n, b) for b in UNSAFE_IPV4) & ~any_of(_in_block(n, b) for b in PUBLIC_IPV4)
+    number = F.aggregate(F.split(host, r"\."), F.lit(0).cast("bigint"), lambda a, o: a * 256 + o.cast("bigint"))
+    return let(
+        number,
+        lambda n: any_of(_in_block(n, b) for b in UNSAFE_IPV4) & ~any_of(_in_block(n, b) for b in PUBLIC_IPV4),
+    )
+
+
+def _unsafe_host(host: Column) -> Column:
+    """The host as written in the URL, an IPv6 address still in its brackets."""
+    bracketed = host.startswith("[")
+    inner = F.rtrim(F.ltrim(host, F.lit("[")), F.lit("]"))
+    mapped = F.regexp_extract(inner, r"^::ffff:([0-9.]+)$", 1)
+    return (
+        F.when(inner == "", True)
+        .when(bracketed & mapped.rlike(IPV4), _unsafe_ipv4(mapped))
+        .when(bracketed, ~inner.rlike(PUBLIC_IPV6) | inner.rlike(SPECIAL_IPV6))
+        .when(host.rlike(IPV4), _unsafe_ipv4(host))
+        .otherwise(False)
+    )
 
 
 def is_unsafe_url(url: Column) -> Column:
@@ -61,21 +70,5 @@ def is_unsafe_url(url: Column) -> Column:
 
     Host names are not resolved.
     """
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    address = F.regexp_replace(authority, r"^.*@", "")
-    bracketed = address.startswith("[")
-    host = F.lower(
-        F.when(bracketed, F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(
-            F.regexp_extract(address, r"^([^:]*)", 1)
-        )
-    )
-    mapped = F.regexp_extract(host, r"^::ffff:([0-9.]+)$", 1)
-    return (
-        F.when(~scheme.isin("http", "https"), True)
-        .when(host == "", True)
-        .when(mapped.rlike(IPV4), _unsafe_ipv4(mapped))
-        .when(bracketed, ~host.rlike(PUBLIC_IPV6) | host.rlike(SPECIAL_IPV6))
-        .when(host.rlike(IPV4), _unsafe_ipv4(host))
-        .otherwise(False)
-    )
+    host = F.regexp_extract(url, r"^[^:/?#]*://(?:[^/?#@]*@)*(\[[^\]]*\]|[^/?#:@]*)", 1)
+    return F.when(~url.rlike("(?i)^https?:"), True).otherwise(let(F.lower(host), _unsafe_host))

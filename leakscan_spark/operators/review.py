@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import rank, tier
+from ..functions.columns import computed_once, rank, tier
 from ..functions.review import (
     HARD_KINDS,
     QUICK_COMMAND_SIGNALS,
@@ -31,7 +31,7 @@ KEYS = ("bundle", "file")
 def with_inventory(files: DataFrame) -> DataFrame:
     """(bundle, path, bytes, content) with kind, suspicious, and text where it is read."""
     c = inventory_class(F.col("path"), F.col("bytes"), F.col("content"))
-    return files.withColumn("c", c).select(
+    return computed_once(files.withColumn("c", c), "c").select(
         "bundle", F.col("path").alias("file"), "bytes", "c.kind", "c.suspicious",
         F.when(F.col("c.kind") == "text", decode(F.col("content"))).alias("text"),
     )
@@ -39,10 +39,8 @@ def with_inventory(files: DataFrame) -> DataFrame:
 
 def signals(texts: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
     """Long table of secret, command and hidden-text signals of (bundle, file, text)."""
-    hits = texts.where(F.col("text").rlike(SIGNAL_PRETEST)).select(
-        *KEYS,
-        F.explode(F.concat(command_signals(F.col("text")), obfuscation_signals(F.col("text")))).alias("s"),
-    )
+    found_in = F.concat(command_signals(F.col("text")), obfuscation_signals(F.col("text")))
+    hits = texts.where(F.col("text").rlike(SIGNAL_PRETEST)).select(*KEYS, F.explode(found_in).alias("s"))
     found = hits.select(
         *KEYS, "s.kind", "s.name", F.lit(None).cast("string").alias("severity"), "s.line", "s.sample"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import issues as issue_fns
 from ..functions import paths, payloads, redaction, review as review_fns, severity, urls
+from ..functions.columns import computed_once
 from ..functions.matching import has_matches
 from ..functions.risk import CommandPolicy
 from ..functions.rules import BUILTIN_RULES, Rule
@@ -20,6 +21,7 @@ from ..sources import diffs, external, findings as findings_io, rules as rule_so
 from ..sources.audit import parse_entries
 from ..streaming import streams
 from . import inputs
+from .policy import APPROVAL, BLOCKED, RETENTION_CUTOFF, RETENTION_DAYS
 
 SERVICE_RULE = Rule("Service Token", r"token\s*=\s*\"[0-9a-f]{40}\"", "high", "Service token")
 # Runs on the Arrow matcher: a named group is Python dialect.
@@ -33,11 +35,7 @@ SUPPRESSIONS = (
     supp.Suppression("repo_?/docs/**", "AWS Access Key ID", None, supp.FILE_SOURCE),
     supp.Suppression("/abs/only/**", None, None, supp.FILE_SOURCE),
 )
-POLICY = CommandPolicy(
-    mode="approve-dangerous", blocked=("npm publish", "make (", r"script_1\b"), approval=("chmod 777", r"git push .* \+", r"systemctl\s+restart"),
-)
-RETENTION_CUTOFF = "2024-01-05 00:00:00"
-RETENTION_DAYS = 30
+POLICY = CommandPolicy(mode="approve-dangerous", blocked=BLOCKED, approval=APPROVAL)
 FINDING = ("file", "line", "column", "rule", "severity", "redacted")
 
 
@@ -524,7 +522,9 @@ def unsafe_urls(spark, sf):
 
 
 def review_signals(spark, sf):
-    return _signals(spark, sf).select("bundle", "file", "kind", "name", "severity", "line", "sample")
+    return _signals(spark, sf).select(
+        "bundle", "file", "kind", "name", "severity", F.col("line").cast("string").alias("line"), "sample"
+    )
 
 
 def bundle_summary(spark, sf):
@@ -599,7 +599,7 @@ def stream_redact(spark, sf):
     out, checkpoint = streams.fresh_paths(spark, "redact")
     source = _table_stream(spark, sf, "events").selectExpr(
         "event_id", f"{inputs.TOOL_FORMAT} AS format", f"{inputs.RESPONSE} AS payload"
-    )
+    ).transform(computed_once, "payload")
     streams.transform_stream(source, commands.redact_outputs, out, checkpoint)
     return spark.read.parquet(out).drop("batch")
 
@@ -609,7 +609,7 @@ def stream_gate(spark, sf):
     source = _table_stream(spark, sf, "events").selectExpr(
         "event_id", "concat('repo_', CAST(user_id % 60 AS STRING)) AS repo", f"{inputs.TOOL_FORMAT} AS format",
         f"{inputs.PAYLOAD} AS payload",
-    )
+    ).transform(computed_once, "payload")
     gate = lambda batch: commands.gate(batch, POLICY, BUILTIN_RULES, ("docs",), SUPPRESSIONS[:1])
     streams.transform_stream(source, gate, out, checkpoint)
     return spark.read.parquet(out).drop("batch")

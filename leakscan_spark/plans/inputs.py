@@ -162,9 +162,10 @@ COMMAND_VIEW = case("event_id", [v or c for c, v in COMMANDS])
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
+    rows = load(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
         "event_id AS command_id", f"{COMMAND} AS command"
     )
+    return computed_once(rows, "command")
 
 
 COMMANDS_SQL = f"commands AS (SELECT event_id AS command_id, {COMMAND} AS command, {COMMAND_VIEW} AS view FROM events)"
@@ -207,13 +208,13 @@ def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_id", "user_id", "event_type").selectExpr(
         "event_id", "concat('repo_', CAST(user_id % 60 AS STRING)) AS repo", f"{TOOL_FORMAT} AS format",
         f"{PAYLOAD} AS payload",
-    )
+    ).transform(computed_once, "payload")
 
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
         "event_id", f"{TOOL_FORMAT} AS format", f"{RESPONSE} AS payload"
-    )
+    ).transform(computed_once, "payload")
 
 
 # -- audit logs: eight chained entries per log -------------------------------
@@ -328,10 +329,11 @@ PAGE_PREFIX = (
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bundle, platform, path, page_id, url, text)."""
-    return load(spark, sf_dir, "pages").selectExpr(
+    rows = load(spark, sf_dir, "pages").selectExpr(
         f"{PAGE_BUNDLE} AS bundle", f"{PAGE_PLATFORM} AS platform", f"{PAGE_PATH} AS path", "page_id", "url",
         f"concat(html, {_page_tail(0)}) AS text",
     )
+    return computed_once(rows, "text")
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,10 +342,11 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(bundle, path, bytes, content): pages as binary files with a manifest each."""
-    return load(spark, sf_dir, "pages").selectExpr(
+    rows = load(spark, sf_dir, "pages").selectExpr(
         f"{PAGE_BUNDLE} AS bundle", f"{PAGE_PATH} AS path", "page_id",
         f"CAST(concat({PAGE_PREFIX}, html) AS BINARY) AS content",
-    ).selectExpr("bundle", "concat(CAST(page_id AS STRING), '/', path) AS path", "CAST(octet_length(content) AS BIGINT) AS bytes", "content")
+    )
+    return computed_once(rows, "content").selectExpr("bundle", "concat(CAST(page_id AS STRING), '/', path) AS path", "CAST(octet_length(content) AS BIGINT) AS bytes", "content")
 
 
 PAGES_SQL = (
@@ -371,9 +374,10 @@ PATCH = (
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hashed_orders(spark, sf_dir).selectExpr(
+    rows = _hashed_orders(spark, sf_dir).selectExpr(
         "o_orderkey AS patch_id", f"{PLANTED_REPO} AS repo", f"{PATCH} AS patch"
     )
+    return computed_once(rows, "patch")
 
 
 PATCHES_SQL = (

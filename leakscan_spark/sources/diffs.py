@@ -25,7 +25,7 @@ def _pieces(text: Column, boundary: str) -> Column:
 def _target_file(header: Column) -> Column:
     """Path after the last ``+++`` of a region's header; NULL for a deletion."""
     rows = F.filter(F.split(header, "\n"), lambda r: r.startswith("+++ "))
-    raw = F.trim(F.substr(F.element_at(rows, -1), F.lit(5)), F.lit(" \t\r\f\v"))
+    raw = F.trim(F.substr(F.try_element_at(rows, F.lit(-1)), F.lit(5)), F.lit(" \t\r\f\v"))
     path = F.regexp_replace(F.translate(raw, "\\", "/"), "^[ab]/", "")
     return F.when((F.size(rows) > 0) & (raw != "/dev/null") & (path != ""), path)
 
