@@ -213,6 +213,8 @@ CHAIN = """seq AS (SELECT log_id, line_no, raw, lag(raw) OVER (PARTITION BY log_
 CUTOFF = f"TIMESTAMP '{RETENTION_CUTOFF}'"
 STAMP = "CASE WHEN json_valid(raw) THEN CAST(replace(substr(raw::JSON->>'$.timestamp', 1, 19), 'T', ' ') AS TIMESTAMP) END"
 
+QUOTED_HASH = "'\"', sha256(concat(b.raw, chr(10))), '\"'"
+
 # -- review ------------------------------------------------------------------
 
 HIDDEN = {
@@ -472,6 +474,13 @@ def statements() -> dict[str, str]:
     s["tool_output_redaction"] = _with(TOOLS) + output
     s["stream_redact"] = s["tool_output_redaction"]
     s["deny_reasons"] = _with(*DIFF_FOUND, DENY) + "SELECT * FROM deny"
+    everything = "list_concat(" + ", ".join(_rule_matches("t1", r) for r in BUILTIN_RULES) + ")"
+    s["redact_text"] = _with(
+        inputs.DOCS_SQL, inputs.PLANTED_SQL, CORPUS,
+        # Every planted token is a string of its own, so replacing the string hides the match.
+        f"env AS (SELECT file, list_reduce(list_prepend(text, regexp_extract_all(text, {q(ENV)})), lambda a, m: replace(a, m, "
+        f"concat(regexp_extract(m, {q(ENV)}, 1), regexp_extract(m, {q(ENV)}, 2), {redacted(f'regexp_extract(m, {q(ENV)}, 3)')}))) AS t1 FROM corpus)",
+    ) + f"SELECT file, sha256(list_reduce(list_prepend(t1, {everything}), lambda a, m: replace(a, m, {redacted('m')}))) AS redacted_sha FROM env"
     logs = inputs.AUDIT_SQL
     s["audit_verify"] = _with(logs, CHAIN) + """SELECT log_id, line_no, CASE WHEN NOT ok THEN 'malformed JSON' WHEN expected IS NULL THEN concat('first entry has prevHash ', actual, ' but expected null')
       ELSE concat('prevHash ', coalesce(concat('''', actual, ''''), 'None'), ' does not match expected ', expected) END AS reason FROM chk WHERE NOT ok OR actual IS DISTINCT FROM expected"""
@@ -492,6 +501,23 @@ def statements() -> dict[str, str]:
     s["audit_retention_manifest"] = _with(logs) + f"""SELECT log_id, pruned, retained, {RETENTION_DAYS} AS retention_days, sha256(concat(tip, chr(10))) AS pre_tip_hash FROM (
       SELECT log_id, count(*) FILTER (NOT keep) AS pruned, count(*) FILTER (keep) AS retained, max_by(raw, line_no) AS tip FROM (
         SELECT *, coalesce({STAMP} >= {CUTOFF}, false) AS keep FROM log_rows WHERE trim(raw) <> '') GROUP BY log_id) WHERE pruned > 0"""
+    link = "regexp_replace(n.raw, '\"prevHash\": (null|\"[0-9a-f]*\")', concat('\"prevHash\": ', {hash}))"
+
+    def resealed(rows: str) -> str:
+        """Chain the rows (log_id, line_no, raw) of a table front to back."""
+        return (
+            f"num AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS k FROM {rows}), "
+            f"sealed AS (SELECT log_id, line_no, k, {link.format(hash=q('null'))} AS raw FROM num n WHERE k = 1 UNION ALL "
+            f"SELECT n.log_id, n.line_no, n.k, {link.format(hash=QUOTED_HASH)} FROM num n JOIN sealed b ON n.log_id = b.log_id AND n.k = b.k + 1)"
+        )
+
+    s["audit_prune_reseal"] = _with(
+        logs, f"kept AS (SELECT * FROM log_rows WHERE coalesce({STAMP} >= {CUTOFF}, false))", resealed("kept")
+    ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT log_id, line_no, raw FROM sealed"
+    s["stream_chain_append"] = _with(
+        f"ev AS (SELECT concat('user_', CAST(user_id AS VARCHAR)) AS log_id, event_id AS line_no, concat({inputs.EVENT_HEAD}, 'null', {inputs.EVENT_TAIL}) AS raw FROM events)",
+        resealed("ev"),
+    ).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT log_id, k AS line_no, raw FROM sealed"
     s["audit_resealed_breaks"] = "SELECT '' AS log_id, 0 AS line_no, '' AS reason WHERE false"
     s["stream_chain_breaks"] = s["audit_resealed_breaks"]
     s["audit_share"] = _with(logs, ENTRY) + """SELECT log_id, line_no, concat('  ', left(ts, 19), '.000Z', '  ', CASE WHEN length(ev) >= 20 THEN ev ELSE rpad(ev, 20, ' ') END, '  ', rpad(upper(risk), 8, ' '), ' ',
