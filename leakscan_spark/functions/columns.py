@@ -55,9 +55,13 @@ def truncate(text: Column, longest: int) -> Column:
     )
 
 
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def stripped(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def computed_once(df: DataFrame, name: str) -> DataFrame:

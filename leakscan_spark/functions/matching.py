@@ -188,10 +188,10 @@ def located(text: Column, pattern: Column) -> Column:
 
 
 def pattern_table(rules: NumberedRules) -> Column:
-    """Array of (pattern, needles, generic) structs; folded needles are left out."""
+    """Array of (pattern, needles, generic) structs; folded rules show their gate as needles."""
     rows = []
     for _, r in rules:
-        needles = ", ".join(literal(n) for n in r.needles if not r.fold)
+        needles = ", ".join(literal(n) for n in (r.gate if r.fold else r.needles))
         rows.append(
             f"named_struct('pattern', {literal(java_regex(r.regex))}, 'needles', "
             f"CAST(array({needles}) AS array<string>), 'generic', {str(r.name in GENERIC_RULES).lower()})"

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import WHITE_SPACE
 from ..functions.matching import has_matches, match_count, matched_names
 from ..functions.paths import is_excluded, relative_to
 from ..functions.payloads import is_object, tool_request, tool_response
@@ -92,7 +93,7 @@ def gate(
     r = r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions))
     staged_reason = F.lit(None).cast("string")
     if staged is not None:
-        starts = F.regexp_replace("command", r"(?U)^[\s\x1c-\x1f]+", "")
+        starts = F.ltrim("command", F.lit(WHITE_SPACE))
         lookup = F.when(
             F.col("d.allowed") & (starts.startswith("git commit") | starts.startswith("git push")), F.col("repo")
         )

@@ -583,7 +583,7 @@ def diff_findings(spark, sf):
 
 
 def _table_stream(spark, sf, table):
-    schema = inputs.load(spark, sf, table).schema
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet").schema
     return streams.watch_table(spark, sf, table, schema)
 
 

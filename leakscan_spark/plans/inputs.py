@@ -19,7 +19,17 @@ RIGHT_TO_LEFT = ("decode(X'E280AE', 'UTF-8')", "chr(8238)")
 
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns) if columns else df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a table has fewer splits than the cluster has cores.
+
+    A small table may be a single row group, which one task would read and then
+    scan alone. Tables with enough splits stay as they are: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def case(selector: str, choices: list[str]) -> str:
