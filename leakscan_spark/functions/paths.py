@@ -20,7 +20,7 @@ def basename(path: Column) -> Column:
 
 
 # A shell-style wildcard class, e.g. [abc] or [!a-z]; "]" may come first.
-_WILDCARD_CLASS = re.compile(r"\[(!?)(\]?[^\]]*)\]")
+_WILDCARD_CLASS = re.compile(r"\[(!?+)(\][^\]]*|[^\]]+)\]")
 
 
 def wildcard_regex(pattern: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,6 @@ def _mark_by_segments(findings: DataFrame, suppressions: DataFrame) -> DataFrame
     globs without a usable segment meet every pair of their rule. The pattern
     itself is then checked on the few candidates.
     """
-    import pandas as pd
-
     @F.pandas_udf("struct<regex:string,on_name:boolean,segment:string>")
     def compiled(globs: pd.Series) -> pd.DataFrame:
         rows = [(*glob_regex(g), _literal_segment(g)) for g in globs]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,14 +70,59 @@ def read_corpus(
 ) -> DataFrame:
     """(file, text) rows of a directory tree; file is relative to the root.
 
-    Links are not told apart from files by Spark's reader.
+    Spark's readers pass over names that start with "." or "_". Such directories
+    are handed over as roots of their own and such files are read beside them.
+    Links are not told apart from files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    hidden_dirs, hidden_files = _hidden_entries(spark, root, max_depth)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load([root, *hidden_dirs]).select("path", "length", "content")
+    if hidden_files:
+        files = files.unionByName(_read_each(spark, hidden_files))
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
     return select_text(files, root, exclude_paths, max_depth)
 
 
+def _hidden_entries(spark: SparkSession, root: str, max_depth: int) -> tuple[list[str], list[tuple[str, int]]]:
+    """Directories, and files with their sizes, that Spark's listing leaves out.
+
+    Names and sizes only, as in Spark's own listing; no content reaches the driver.
+    """
+    fs_root = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = fs_root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(fs_root).toString().rstrip("/")
+    dirs, files = [], []
+    for depth in range(max_depth):
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(base + "/*" * depth + "/{.,_}*")
+        for status in fs.globStatus(pattern) or []:
+            path = status.getPath().toString()
+            if set(path[len(base):].split("/")) & set(EXCLUDED_NAMES):
+                continue
+            if status.isDirectory():
+                dirs.append(path)
+            else:
+                files.append((path, status.getLen()))
+    return dirs, files
+
+
+def _read_each(spark: SparkSession, files: Sequence[tuple[str, int]]) -> DataFrame:
+    """(path, length, content) of single files, read inside the tasks."""
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            # One file at a time, so that a batch never holds many contents.
+            for row in batch.itertuples(index=False):
+                store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", row.path))
+                with store.open_input_stream(path) as stream:
+                    yield pd.DataFrame([(row.path, row.length, stream.read())], columns=["path", "length", "content"])
+
+    listed = spark.createDataFrame(list(files), "path string, length long")
+    return listed.repartition("path").mapInPandas(contents, "path string, length long, content binary")
+
+
 def select_text(
     files: DataFrame, root: str, exclude_paths: Sequence[str] = (), max_depth: int = MAX_DEPTH
 ) -> DataFrame:
