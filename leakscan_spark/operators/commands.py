@@ -88,7 +88,8 @@ def gate(
     )
     r = r.withColumn("command", command).withColumn("content", text)
     r = r.withColumn("sanitised", sanitise(F.col("command")))
-    r = r.withColumn("d", decide(F.col("sanitised"), risk_tier(F.col("sanitised")), policy))
+    r = r.withColumn("risk", risk_tier(F.col("sanitised")))
+    r = r.withColumn("d", decide(F.col("sanitised"), F.col("risk"), policy))
     path = F.coalesce("input.file_path", F.lit(DEFAULT_PATH))
     r = r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions))
     staged_reason = F.lit(None).cast("string")
