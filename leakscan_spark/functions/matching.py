@@ -132,6 +132,8 @@ def has_matches(text: str, rules: NumberedRules) -> Column:
 
 def matched_names(text: str, rules: NumberedRules) -> Column:
     """Array of the names of all rules that match the text, in rule order; NULL for none."""
+    if not rules:
+        return F.lit(None).cast("array<string>")
     cases = ", ".join(f"CASE WHEN {_holds(text, r)} THEN {literal(r.name)} END" for _, r in rules)
     return F.expr(f"CASE WHEN {_line_test(text, rules)} THEN array_distinct(array_compact(array({cases}))) END")
 
@@ -139,7 +141,7 @@ def matched_names(text: str, rules: NumberedRules) -> Column:
 def match_count(text: str, rules: NumberedRules) -> Column:
     """Number of matches of all rules over the whole text."""
     counts = [f"CASE WHEN {_fires(text, r)} THEN size({_matches(text, r)}) ELSE 0 END" for _, r in rules]
-    return F.expr(" + ".join(counts))
+    return F.expr(" + ".join(counts) or "0")
 
 
 def _lookup(ordinal: str, values: Iterable[tuple[int, str]]) -> Column:

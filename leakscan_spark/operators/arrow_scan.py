@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.matching import LOWER_NAME, QUOTED_VALUE, UPPER_NAME
+from ..functions.arrow_rules import is_name_only
 from ..functions.rules import GENERIC_RULES, Rule
 
 _HIT = T.StructType(
@@ -30,10 +30,8 @@ def _hits(text: str, compiled, placed: bool) -> list[tuple]:
     out = []
     for ordinal, pattern, generic in compiled:
         for m in pattern.finditer(text):
-            if generic:
-                quoted = re.search(QUOTED_VALUE, m[0])
-                if quoted and (re.match(UPPER_NAME, quoted[1]) or re.match(LOWER_NAME, quoted[1])):
-                    continue
+            if generic and is_name_only(m[0]):
+                continue
             out.append((ordinal, m.start() + 1 if placed else None, m[0]))
     return out
 

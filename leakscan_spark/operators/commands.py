@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import WHITE_SPACE
+from ..functions.arrow_rules import hit_names
+from ..functions.columns import WHITE_SPACE, computed_once
 from ..functions.matching import has_matches, match_count, matched_names
 from ..functions.paths import is_excluded, relative_to
 from ..functions.payloads import is_object, tool_request, tool_response
 from ..functions.redaction import redact_text
 from ..functions.risk import CommandPolicy, decide, risk_tier
-from ..functions.rules import BUILTIN_RULES, Rule
+from ..functions.rules import BUILTIN_RULES, Rule, partition_rules
 from ..functions.shell import sanitise
 from ..sources.suppressions import Suppression
 from .triage import first_suppression
@@ -40,7 +41,7 @@ def evaluate(commands: DataFrame, policy: CommandPolicy = CommandPolicy()) -> Da
 def requests(events: DataFrame) -> DataFrame:
     """(event_id, format, payload) with (tool, input); malformed payloads have no tool."""
     request = F.when(is_object(F.col("payload")), tool_request(F.col("format"), F.col("payload")))
-    return events.withColumn("r", request).select(
+    return computed_once(events.withColumn("r", request), "r").select(
         *[c for c in events.columns if c != "payload"], "r.tool", "r.input"
     )
 
@@ -57,8 +58,10 @@ def write_rules(
 
     Everything happens inside the row, so no event is joined back to its findings.
     """
-    numbered = list(enumerate(rules))
-    names = matched_names(content, numbered)
+    native, arrow = partition_rules(rules)
+    names = F.coalesce(matched_names(content, native), F.array().cast("array<string>"))
+    if arrow:
+        names = F.array_distinct(F.concat(names, hit_names(F.col(content), arrow)))
     if suppressions:
         names = F.filter(names, lambda n: first_suppression(path, n, suppressions).isNull())
     if exclude_paths:
@@ -89,9 +92,9 @@ def gate(
     r = r.withColumn("command", command).withColumn("content", text)
     r = r.withColumn("sanitised", sanitise(F.col("command")))
     r = r.withColumn("risk", risk_tier(F.col("sanitised")))
-    r = r.withColumn("d", decide(F.col("sanitised"), F.col("risk"), policy))
+    r = computed_once(r.withColumn("d", decide(F.col("sanitised"), F.col("risk"), policy)), "d")
     path = F.coalesce("input.file_path", F.lit(DEFAULT_PATH))
-    r = r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions))
+    r = computed_once(r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions)), "names")
     staged_reason = F.lit(None).cast("string")
     if staged is not None:
         starts = F.ltrim("command", F.lit(WHITE_SPACE))
@@ -121,21 +124,27 @@ def redact_outputs(events: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) ->
     A field changes only when it holds a secret; ``matched`` counts the secrets of
     both fields of a changed event.
     """
-    numbered = list(enumerate(rules))
+    native, arrow = partition_rules(rules)
     response = F.when(is_object(F.col("payload")), tool_response(F.col("format"), F.col("payload")))
     r = events.withColumn("r", response).select("event_id", "r.tool", "r.output", "r.content")
 
     def hit(c: str) -> Column:
-        return F.coalesce(has_matches(c, numbered), F.lit(False))
+        hits = has_matches(c, native)
+        if arrow:
+            hits = hits | (F.size(hit_names(F.col(c), arrow)) > 0)
+        return F.coalesce(hits, F.lit(False))
 
     def count(c: str) -> Column:
-        return F.when(F.col(c + "_hit"), match_count(c, numbered)).otherwise(0)
+        total = match_count(c, native)
+        if arrow:
+            total = total + F.size(hit_names(F.col(c), arrow))
+        return F.when(F.col(c + "_hit"), total).otherwise(0)
 
     r = r.withColumn("output_hit", hit("output")).withColumn("content_hit", hit("content"))
     changed = F.col("output_hit") | F.col("content_hit")
     return r.select(
         "event_id", "tool", F.when(changed, "modify").otherwise("continue").alias("action"),
-        *[F.when(F.col(c + "_hit"), redact_text(c, numbered)).otherwise(F.col(c)).alias(c) for c in ("output", "content")],
+        *[F.when(F.col(c + "_hit"), redact_text(c, list(enumerate(rules)))).otherwise(F.col(c)).alias(c) for c in ("output", "content")],
         (count("output") + count("content")).alias("matched"),
     )
 

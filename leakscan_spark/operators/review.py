@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow_rules import hit_names
 from ..functions.columns import computed_once, rank, tier
 from ..functions.review import (
     HARD_KINDS,
@@ -19,7 +20,8 @@ from ..functions.review import (
     list_field,
     obfuscation_signals,
 )
-from ..functions.rules import BUILTIN_RULES, Rule
+from ..functions.matching import match_count
+from ..functions.rules import BUILTIN_RULES, Rule, partition_rules
 from ..functions.severity import deep_tier
 from ..functions.urls import QUICK_URL, extract_urls
 from ..sources.corpus import decode
@@ -193,11 +195,11 @@ def bundle_dirs(files: DataFrame) -> DataFrame:
 def quick_counts(texts: DataFrame, rules: Sequence[Rule] = BUILTIN_RULES) -> DataFrame:
     """Per file: number of secrets, distinct URLs and high-risk commands."""
     urls = F.array_distinct(F.regexp_extract_all("text", F.lit(QUICK_URL), F.lit(0)))
-    base = texts.select(
-        *KEYS, F.size(urls).alias("urls"),
+    native, arrow = partition_rules(rules)
+    secrets = match_count("text", native)
+    if arrow:
+        secrets = secrets + F.size(hit_names(F.col("text"), arrow))
+    return texts.select(
+        *KEYS, secrets.alias("secrets"), F.size(urls).alias("urls"),
         F.size(command_signals(F.col("text"), QUICK_COMMAND_SIGNALS)).alias("commands"),
     )
-    secrets = scan_texts(texts, rules, KEYS).groupBy(*KEYS).agg(F.count("*").alias("secrets"))
-    return base.join(secrets, list(KEYS), "left").select(
-        *KEYS, F.coalesce("secrets", F.lit(0)).alias("secrets"), "urls", "commands"
-    )

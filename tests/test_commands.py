@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscan_spark.functions.risk import CommandPolicy
+from leakscan_spark.functions.rules import Rule
 from leakscan_spark.functions.shell import command_view
 from leakscan_spark.operators import commands
 from leakscan_spark.sources.suppressions import Suppression
@@ -138,3 +139,11 @@ def test_overlay(spark):
     project = spark.createDataFrame([("mode", "c", None), ("paths", None, []), ("flag", "false", None), ("new", "d", None)], schema)
     got = {r.key: (r.scalar, r["items"]) for r in commands.overlay_policy(base, project, or_flags=("flag",)).collect()}
     assert got == {"mode": ("c", None), "paths": (None, []), "flag": ("true", None), "only": ("b", None), "new": ("d", None)}
+
+
+def test_python_only_rules(spark):
+    rules = [Rule("Named", "(?P<x>zz+)"), Rule("Plain", "yy+")]
+    rows = events(spark, ("", "claude", {"tool_name": "Write", "tool_input": {"content": "zzz yy zz"}}))
+    assert commands.gate(rows, rules=rules).first().reason == "Secret detected in file content: Named, Plain"
+    out = events(spark, ("", "claude", {"tool_name": "F", "tool_response": {"output": "zzz yy zz"}}))
+    assert commands.redact_outputs(out, rules).select("output", "matched").first() == ("*** ** **", 3)
