@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import mixing
+from . import line_dedup, mixing, secret_ledger
 
-QUERIES = (mixing.op6_mixing,)
-SQL = {"op6_mixing": mixing.SQL}
+QUERIES = (secret_ledger.op2_secret_scan, line_dedup.op3_line_dedup, mixing.op6_mixing)
+SQL = {"op3_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL}
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
