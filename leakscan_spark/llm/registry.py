@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import line_dedup, mixing, secret_ledger
+from . import line_dedup, mixing, quality_rules, secret_ledger
 
-QUERIES = (secret_ledger.op2_secret_scan, line_dedup.op3_line_dedup, mixing.op6_mixing)
+QUERIES = (secret_ledger.op2_secret_scan, line_dedup.op3_line_dedup, quality_rules.op5_quality_rules, mixing.op6_mixing)
 SQL = {"op3_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL}
 
 
