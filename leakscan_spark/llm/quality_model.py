@@ -6,7 +6,8 @@ all its occurrences in the whole corpus. Tasks add up their own share and send
 one matrix, summed by row ranges, so what is gathered follows the input's
 tasks and is never larger than the matrix times their number.
 
-A document is the mean and the spread of its words' vectors. A network with one
+A document is the mean and the spread of its words' vectors and the mean
+product of neighbouring ones. A network with one
 hidden layer, written in numpy, is fitted to a bounded sample of labelled rows
 (``SAMPLE``); a temperature chosen on a held part of it calibrates the scores.
 
@@ -27,6 +28,7 @@ from .common import Words, fold, labelled_sample, table, text_blocks
 
 BITS = 13
 DIM = 48
+POOLED = 3 * DIM
 NONZERO = 4
 WINDOW = 2
 HIDDEN = 24
@@ -87,16 +89,21 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Per row: the mean of its words' vectors, and the square root of the mean of their squares."""
+    """Per row: the mean of its words' vectors, the root of the mean of their squares, and the mean
+    product of each word's vector with the next one's, which tells running text from repeated words."""
     words = Words(data, offsets, lower=False)
     n = np.diff(words.first)
-    out = np.zeros((len(n), 2 * DIM), np.float32)
+    out = np.zeros((len(n), POOLED), np.float32)
     some = n > 0
     if some.any():
         each = vectors[buckets(words)]
         first = words.first[:-1][some]
         out[some, :DIM] = np.add.reduceat(each, first, axis=0) / n[some, None]
-        out[some, DIM:] = np.sqrt(np.add.reduceat(each * each, first, axis=0) / n[some, None])
+        out[some, DIM : 2 * DIM] = np.sqrt(np.add.reduceat(each * each, first, axis=0) / n[some, None])
+        next_one = np.zeros_like(each)
+        within = np.flatnonzero(words.rows[1:] == words.rows[:-1])
+        next_one[within] = each[within] * each[within + 1]
+        out[some, 2 * DIM :] = np.add.reduceat(next_one, first, axis=0) / n[some, None]
     return out
 
 
@@ -120,8 +127,8 @@ class Network:
 
 
 def constant(value: float) -> Network:
-    zero = np.zeros(2 * DIM)
-    return Network(zero, zero + 1, np.zeros((2 * DIM, 1)), np.zeros(1), np.zeros(1), value)
+    zero = np.zeros(POOLED)
+    return Network(zero, zero + 1, np.zeros((POOLED, 1)), np.zeros(1), np.zeros(1), value)
 
 
 def trained(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-4, seed: int = 5) -> Network:

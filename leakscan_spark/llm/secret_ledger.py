@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import span_digests, table, utf8
 
 SCANNED = "blob string, rule string, rule_version int"
 FINDINGS = "blob string, rule string, start long, end long"
@@ -147,24 +147,10 @@ def scan_pending(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> Dat
     return blobs.mapInArrow(scan, schema)
 
 
-def digests(base: tuple[str, ...]) -> list[Column]:
-    """Columns over ``spans``: a count per base kind, the hash of the base spans, all spans as text.
-
-    Spans are already ordered by start and then kind.
-    """
-    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<kind:string,start:long,end:long>>"))
-    joined = lambda xs: F.array_join(F.transform(xs, text), ",")
-    of_kind = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
-    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    in_base = F.filter(spans, lambda s: s["kind"].isin(*base))
-    return [*counts, F.sha2(joined(in_base), 256).alias("base_sha256"), joined(spans).alias("spans")]
-
-
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for all documents, from an empty ledger."""
     documents = table(spark, sf_dir, "documents")
     versions = documents.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
     results = scan_pending(pending(versions, SecretLedger.empty(spark).scanned)).where(F.size("spans") > 0)
     paths = addressed(versions).select("path", "blob").join(results.select("blob", "spans"), "blob", "left")
-    return paths.select(F.col("path").alias("doc_id"), *digests(BASE))
+    return paths.select(F.col("path").alias("doc_id"), *span_digests(BASE))
