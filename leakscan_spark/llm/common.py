@@ -160,15 +160,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: i
     return rows.join(F.broadcast(picked), "doc_id").drop("doc_id")
 
 
-def span_digests(base: tuple[str, ...]) -> list[Column]:
-    """Columns over ``spans``: a count per base kind, the hash of the base spans, all spans as text.
+def span_digests(base: tuple[str, ...], base_spans: str = "spans") -> list[Column]:
+    """A count per base kind, the hash of the base spans, and all of ``spans`` as text.
 
-    Spans are already ordered by start and then kind.
+    Spans are structs (kind, start, end) already in order; base spans are those of a base kind in ``base_spans``.
     """
+    kind = "array<struct<kind:string,start:long,end:long>>"
+    held = lambda name: F.coalesce(F.col(name), F.array().cast(kind))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<kind:string,start:long,end:long>>"))
-    joined = lambda xs: F.array_join(F.transform(xs, text), ",")
-    of_kind = lambda kind: F.filter(spans, lambda s: s["kind"] == kind)
+    joined = lambda spans: F.array_join(F.transform(spans, text), ",")
+    of_kind = lambda k: F.filter(held(base_spans), lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
-    in_base = F.filter(spans, lambda s: s["kind"].isin(*base))
-    return [*counts, F.sha2(joined(in_base), 256).alias("base_sha256"), joined(spans).alias("spans")]
+    in_base = F.filter(held(base_spans), lambda s: s["kind"].isin(*base))
+    return [*counts, F.sha2(joined(in_base), 256).alias("base_sha256"), joined(held("spans")).alias("spans")]
