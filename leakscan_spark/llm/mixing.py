@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Sources take the weights in turn. Targets share the whole by weight; one that
     would pass ``most`` times its source stops there, and the others share the
     rest. With sources ordered by most * size / weight, the full ones come first,
-    so one running sum finds the common level. The window has one row per source.
+    so one running sum finds the common level: the largest that its own source still has room for.
+    The windows have one row per source.
     """
     c = F.col
     turn = Window.orderBy(c("source").asc_nulls_last())
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("weights", F.sum("weight").over(everything))
         .withColumn("level", (c("total") - c("full")) / (c("weights") - c("used")))
-        .withColumn("shared", F.min(F.when(c("room") >= c("level"), c("level"))).over(everything))
+        .withColumn("shared", F.max(F.when(c("room") >= c("level"), c("level"))).over(everything))
     )
     target = F.least(c("shared") * c("weight"), (most * c("source_size")).cast("double"))
     return level.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
@@ -62,10 +63,16 @@ def offset(source: Column, seed: int) -> Column:
 def mix(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of ``documents``."""
+    """(doc_id, source, size, source_size, target, copies) for every row of ``documents``.
+
+    mix_id and mix_text, the id with null as -1 and a hash of the text, find the row again.
+    """
     c = F.col
     ordered = [c("source").asc_nulls_last(), c("size").desc(), F.md5(c("doc_id").cast("string")), c("doc_id")]
-    sized = documents.select("doc_id", "source", word_count(c("text")).alias("size"))
+    sized = documents.select(
+        "doc_id", "source", word_count(c("text")).alias("size"),
+        F.coalesce(c("doc_id"), F.lit(-1)).alias("mix_id"), F.xxhash64("text").alias("mix_text"),
+    )
     sized = saved(sized, "mixing-sizes")
     dealt = sized.repartitionByRange(*ordered).withColumn("range", F.spark_partition_id())
     dealt = saved(dealt, "mixing-ranges")
@@ -82,27 +89,24 @@ def mix(
     expected = F.when(c("source_size") > 0, c("target") / c("source_size")).otherwise(F.lit(0.0))
     upto = lambda rank: F.floor(offset(c("source"), seed) + expected * rank)
     copies = (upto(c("shift") + c("rank")) - upto(c("shift") + c("rank") - 1)).cast("int")
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "mix_id", "mix_text"
+    )
 
 
 def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it, numbered in ``copy`` from 1.
 
-    Rows are matched by id, so ids must be unique here; of rows that share an id
-    the copies are dealt in the order of the plan.
+    Texts move once, to meet their plan by id and text hash; rows alike in both take their copies in turn.
     """
     c = F.col
-    one = Window.partitionBy("doc_id").orderBy(F.col("size").desc(), F.col("source").asc_nulls_last())
-    plan = mix(documents, **settings).withColumn("nth", F.row_number().over(one))
-    plan = plan.select(c("doc_id").alias("mix_id"), c("nth").alias("mix_nth"), c("copies").alias("mix_copies"))
-    rows = documents.withColumn("mix_size", word_count(c("text")))
-    nth = Window.partitionBy("doc_id").orderBy(c("mix_size").desc(), c("source").asc_nulls_last())
-    rows = rows.withColumn("mix_row", F.row_number().over(nth))
-    joined = rows.join(plan, rows["doc_id"].eqNullSafe(plan["mix_id"]) & (c("mix_row") == c("mix_nth")))
-    emitted = joined.where(c("mix_copies") > 0)
-    return emitted.select(
-        *documents.columns, F.explode(F.sequence(F.lit(1), c("mix_copies"))).alias("copy")
-    )
+    key = [F.coalesce(c("doc_id"), F.lit(-1)).alias("mix_id"), F.xxhash64("text").alias("mix_text")]
+    plan = mix(documents, **settings).groupBy("mix_id", "mix_text").agg(F.collect_list("copies").alias("mix_copies"))
+    rows = documents.select("*", *key).join(plan, ["mix_id", "mix_text"])
+    nth = F.row_number().over(Window.partitionBy("mix_id", "mix_text").orderBy("mix_id"))
+    emitted = rows.withColumn("mix_taken", F.element_at("mix_copies", nth)).where(c("mix_taken") > 0)
+    columns = [x for x in documents.columns if x != "copy"]
+    return emitted.select(*columns, F.explode(F.sequence(F.lit(1), c("mix_taken"))).alias("copy"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +133,7 @@ WITH sized AS (
     / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM roomy WINDOW b AS (ORDER BY room, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goals AS (
-  SELECT source, source_size, least(w * (SELECT min(level) FROM levels WHERE room >= level), CAST(3 * source_size AS DOUBLE)) AS target
+  SELECT source, source_size, least(w * (SELECT max(level) FROM levels WHERE room >= level), CAST(3 * source_size AS DOUBLE)) AS target
   FROM levels
 ), ranked AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
