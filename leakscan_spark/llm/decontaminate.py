@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, SEPARATOR, Words, table, text_blocks
 
 SEED = 3
-RUN = 4
-RARE = 1_000  # an n-gram in at most one of so many documents is rare
+RUN = 3  # so any SEED + RUN - 1 unedited words in a row hold a seed
+RARE = 1_000  # an n-gram in at most one of so many documents is rare,
+FEW = 20  # and so is one in at most so many
 MATCH, MISMATCH, GAP = 2, -1, -1
 CONTAMINATED = 0.5
 BLOCK_CHARS = 4_000_000
@@ -59,7 +60,7 @@ class Items:
     def seeds(self, frequency: np.ndarray, documents: int) -> Items:
         """The same items with seeds only. frequency: documents with each of ``self.grams``."""
         often = frequency[np.searchsorted(self.grams, self.hashes)]
-        keep = often * RARE <= documents
+        keep = often <= max(FEW, documents // RARE)
         in_item = np.lexsort((self.place, self.item))
         item, place, count = self.item[in_item], self.place[in_item], often[in_item]
         if len(item):

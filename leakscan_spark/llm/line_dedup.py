@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, table
+from .common import saved, table, unused
 from .cuckoo import CuckooFilter
 
 LEAST = 10
@@ -168,33 +168,32 @@ def dropped_lines(documents: DataFrame, ledger: LineLedger) -> DataFrame:
 
 
 def deduped(documents: DataFrame, ledger: LineLedger) -> DataFrame:
-    """The rows of ``documents`` plus kept_text, n_lines and n_dropped."""
-    drops = dropped_lines(documents, ledger).groupBy("doc", "version").agg(F.collect_set("pos").alias("drops"))
-    doc, version = F.coalesce("doc_id", F.lit(LAST)), F.xxhash64(F.coalesce("text", F.lit("")))
-    drops = drops.select(F.col("doc").alias("drop_doc"), F.col("version").alias("drop_version"), F.col("drops").alias("drop_pos"))
-    joined = documents.join(drops, (doc == F.col("drop_doc")) & (version == F.col("drop_version")), "left")
-    rows = joined.select(*documents.columns, "drop_pos")
-    new = [("kept_text", "string"), ("n_lines", "long"), ("n_dropped", "long")]
-    held = [f for f in rows.schema if f.name not in ("drop_pos", *(n for n, _ in new))]
-    schema = T.StructType([*held, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new)])
-    return rows.mapInArrow(_without_drops, schema)
-
-
-def _without_drops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, counts, gone = [], [], []
-        for text, drops in zip(batch["text"], batch["drop_pos"], strict=True):
-            lines = (text.as_py() or "").split("\n")
-            out = set(drops.as_py() or ())
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text.as_py())
-            counts.append(len(lines))
-            gone.append(len(out))
-        new = {
-            "kept_text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()),
-            "n_dropped": pa.array(gone, pa.int64()),
-        }
-        old = {n: batch[n] for n in batch.schema.names if n not in new and n != "drop_pos"}
-        yield pa.RecordBatch.from_pydict(old | new)
+    """The rows of ``documents`` plus kept_text, n_lines and n_dropped, which replace columns of these names."""
+    pos, doc, version = (unused(n, documents) for n in ("drop_pos", "drop_doc", "drop_version"))
+    drops = dropped_lines(documents, ledger).groupBy("doc", "version").agg(F.collect_set("pos").alias(pos))
+    drops = drops.withColumnsRenamed({"doc": doc, "version": version})
+    own = (F.coalesce("doc_id", F.lit(LAST)) == F.col(doc)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(version))
+    rows = documents.join(drops, own, "left").drop(doc, version)
+    new = {"kept_text": T.StringType(), "n_lines": T.LongType(), "n_dropped": T.LongType()}
+    held = [f for f in documents.schema if f.name not in new]
+    schema = T.StructType([*held, *(T.StructField(n, t) for n, t in new.items())])
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, gone = [], [], []
+            for text, drops in zip(batch["text"], batch[pos], strict=True):
+                lines = (text.as_py() or "").split("\n")
+                out = set(drops.as_py() or ())
+                texts.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text.as_py())
+                counts.append(len(lines))
+                gone.append(len(out))
+            columns = {f.name: batch[f.name] for f in held} | {
+                "kept_text": pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()),
+                "n_dropped": pa.array(gone, pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(drop, schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table, word_count
+from .common import WORD, saved, table, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -100,13 +100,15 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     Texts move once, to meet their plan by id and text hash; rows alike in both take their copies in turn.
     """
     c = F.col
-    key = [F.coalesce(c("doc_id"), F.lit(-1)).alias("mix_id"), F.xxhash64("text").alias("mix_text")]
-    plan = mix(documents, **settings).groupBy("mix_id", "mix_text").agg(F.collect_list("copies").alias("mix_copies"))
-    rows = documents.select("*", *key).join(plan, ["mix_id", "mix_text"])
-    nth = F.row_number().over(Window.partitionBy("mix_id", "mix_text").orderBy("mix_id"))
-    emitted = rows.withColumn("mix_taken", F.element_at("mix_copies", nth)).where(c("mix_taken") > 0)
+    mix_id, mix_text, copies = (unused(n, documents) for n in ("mix_id", "mix_text", "mix_copies"))
+    plan = mix(documents, **settings).groupBy("mix_id", "mix_text").agg(F.collect_list("copies").alias(copies))
+    plan = plan.withColumnsRenamed({"mix_id": mix_id, "mix_text": mix_text})
+    key = [F.coalesce(c("doc_id"), F.lit(-1)).alias(mix_id), F.xxhash64("text").alias(mix_text)]
+    rows = documents.select("*", *key).join(plan, [mix_id, mix_text])
+    nth = F.row_number().over(Window.partitionBy(mix_id, mix_text).orderBy(mix_id))
+    emitted = rows.withColumn(copies, F.element_at(copies, nth)).where(c(copies) > 0)
     columns = [x for x in documents.columns if x != "copy"]
-    return emitted.select(*columns, F.explode(F.sequence(F.lit(1), c("mix_taken"))).alias("copy"))
+    return emitted.select(*columns, F.explode(F.sequence(F.lit(1), c(copies))).alias("copy"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
