@@ -83,7 +83,8 @@ def features(data: np.ndarray, offsets: np.ndarray, words: Words) -> Iterator[tu
     buckets = (four * np.uint32(2654435761)) >> np.uint32(32 - BITS)
     inside = np.ones(len(four), bool)
     for k in range(1, 4):
-        inside[np.clip(offsets[1:-1] - k, 0, len(four) - 1)] = False  # n-grams that cross rows
+        crossing = offsets[1:-1] - k  # n-grams that reach into the next row
+        inside[crossing[(crossing >= 0) & (crossing < len(four))]] = False
     count = np.r_[0, np.cumsum(inside)]
     yield buckets[inside].astype(np.int64), count[np.minimum(offsets, len(four))]
 
@@ -118,7 +119,7 @@ class QualityModel:
     def probability(self, data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
         score = np.full(len(offsets) - 1, self.bias)
         for k, (buckets, first) in enumerate(features(data, offsets, words)):
-            sums = np.r_[0.0, np.cumsum(self.weights[k][buckets])]
+            sums = np.r_[0.0, np.cumsum(self.weights[k][buckets], dtype=float)]
             score += (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
         return 1 / (1 + np.exp(-np.clip(self.a * score + self.b, -30, 30)))
 
