@@ -21,6 +21,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_STRIDE = 64
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an integer array, the sum of the elements before it.
+
+    Sums of whole strides are carried along once; an element adds what is left
+    of its own stride. The work follows the length, not its square.
+    """
+
+    def strides(v: Column) -> Column:
+        count = F.ceil(F.size(v) / _STRIDE).cast("int")
+        each = F.transform(
+            F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
+            lambda k: F.aggregate(F.slice(v, k * _STRIDE + 1, F.lit(_STRIDE)), F.lit(0), lambda a, x: a + x),
+        )
+        none = F.array(F.lit(0))
+        return F.aggregate(each, none, lambda done, x: F.array_append(done, F.element_at(done, -1) + x))
+
+    def within(v: Column, carried: Column) -> Column:
+        def one(_: Column, i: Column) -> Column:
+            stride = F.floor(i / _STRIDE).cast("int")
+            rest = F.slice(v, stride * _STRIDE + 1, i - stride * _STRIDE)
+            return F.aggregate(rest, F.get(carried, stride), lambda a, x: a + x)
+
+        return F.transform(v, one)
+
+    return let(values, lambda v: let(strides(v), lambda carried: within(v, carried)))
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

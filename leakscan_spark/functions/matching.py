@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, sums_before
 from .rules import GENERIC_RULES, Rule, is_context_free, java_regex
 
 NumberedRules = Sequence[tuple[int, Rule]]
@@ -114,6 +114,10 @@ def _holds(text: str, rule: Rule) -> str:
     return _fires(text, rule)
 
 
+# Rules per array of the plan; long lists become more arrays, not another engine.
+GROUP = 25
+
+
 def firing_rules(text: str, rules: NumberedRules) -> Column:
     """Array of the numbers of all rules that occur in the text.
 
@@ -121,8 +125,9 @@ def firing_rules(text: str, rules: NumberedRules) -> Column:
     needs more than a yes or no then works on (text, rule) rows, of which there
     are few, with the pattern looked up by :func:`rule_pattern`.
     """
-    cases = ", ".join(f"CASE WHEN {_fires(text, r)} THEN {i} END" for i, r in rules)
-    return F.expr(f"array_compact(array({cases}))")
+    cases = [f"CASE WHEN {_fires(text, r)} THEN {i} END" for i, r in rules]
+    groups = [", ".join(cases[k : k + GROUP]) for k in range(0, len(cases), GROUP)]
+    return F.expr(f"concat({', '.join(f'array_compact(array({g}))' for g in groups)})")
 
 
 def has_matches(text: str, rules: NumberedRules) -> Column:
@@ -175,16 +180,13 @@ def located(text: Column, pattern: Column) -> Column:
         # step[i] = characters from the start of gap i to the end of match i
         step = F.zip_with(p["gap"], p["m"], lambda g, m: g + F.coalesce(F.length(m), F.lit(0)))
 
-        def hit(s: Column) -> Column:
+        def hit(before: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
-                before = F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, x: a + x)
-                return F.struct(
-                    (before + F.get(p["gap"], i) + 1).cast("int").alias("column"), m.alias("match")
-                )
+                return F.struct((F.get(before, i) + F.get(p["gap"], i) + 1).cast("int").alias("column"), m.alias("match"))
 
             return F.transform(p["m"], one)
 
-        return let(step, hit)
+        return let(step, lambda s: let(sums_before(s), hit))
 
     return let(parts, positions)
 

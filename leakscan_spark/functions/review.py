@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import let
+from .columns import let, sums_before
 
-# File classes and the size above which a file is not read.
+# File classes.
 TEXT_EXTENSIONS = (
     ".md", ".mdx", ".mdc", ".txt", ".json", ".yaml", ".yml", ".toml",
     ".ts", ".tsx", ".js", ".jsx", ".py", ".sh", ".bash", ".zsh",
@@ -16,8 +16,6 @@ TEXT_EXTENSIONS = (
     ".html", ".css", ".ini", ".env", ".cfg", ".conf",
 )
 SUSPICIOUS_EXTENSIONS = (".so", ".dylib", ".dll", ".node", ".exe", ".wasm", ".bin")
-MAX_FILE_BYTES = 2 * 1024 * 1024
-SNIFF_BYTES = 4096
 
 # Fixed values: (name, pattern) of the high-risk command signals, in order.
 COMMAND_SIGNALS = (
@@ -86,15 +84,15 @@ def placed(text: Column, pattern: str) -> Column:
     )
 
     def lines(p: Column) -> Column:
-        def one(m: Column, i: Column) -> Column:
-            inside = F.aggregate(F.slice(p["m"], 1, i), F.lit(0), lambda a, x: a + _newlines(x))
-            return F.struct(
-                m.alias("match"),
-                (F.aggregate(F.slice(p["gap"], 1, i + 1), inside, lambda a, x: a + x) + 1)
-                .cast("int").alias("line"),
-            )
+        step = F.zip_with(p["gap"], p["m"], lambda g, m: g + F.coalesce(_newlines(m), F.lit(0)))
 
-        return F.transform(p["m"], one)
+        def hit(before: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                return F.struct(m.alias("match"), (F.get(before, i) + F.get(p["gap"], i) + 1).cast("int").alias("line"))
+
+            return F.transform(p["m"], one)
+
+        return let(step, lambda s: let(sums_before(s), hit))
 
     return let(parts, lines)
 
@@ -193,11 +191,20 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
-def inventory_class(path: Column, size: Column, content: Column) -> Column:
-    """Struct (kind, suspicious): text, or binary with the reasons to worry."""
+def inventory_class(
+    path: Column, size: Column, content: Column, max_bytes: int | None = None, sniff_bytes: int | None = None
+) -> Column:
+    """Struct (kind, suspicious): text, or binary with the reasons to worry.
+
+    The whole content is looked at unless ``sniff_bytes`` says otherwise, and
+    files of any size unless ``max_bytes`` does.
+    """
     ext = extension(path)
-    unread = ext.isin(*SUSPICIOUS_EXTENSIONS) | (size > MAX_FILE_BYTES)
-    has_nul = F.position(F.lit(b"\x00"), F.substring(content, 1, SNIFF_BYTES)) > 0
+    unread = ext.isin(*SUSPICIOUS_EXTENSIONS)
+    if max_bytes is not None:
+        unread = unread | (size > max_bytes)
+    looked_at = content if sniff_bytes is None else F.substring(content, 1, sniff_bytes)
+    has_nul = F.position(F.lit(b"\x00"), looked_at) > 0
 
     def cls(kind: str, suspicious) -> Column:
         return F.struct(F.lit(kind).alias("kind"), suspicious.alias("suspicious"))

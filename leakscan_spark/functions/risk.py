@@ -55,6 +55,7 @@ DEFAULT_APPROVAL_PATTERNS = (
     r"git push --force-if-includes",
     r"git push .* \+",
 )
+# Texts of the decisions.
 CRITICAL_REASON = "Matches built-in blocked pattern (critical destructive command)"
 HIGH_RISK_REASON = "High risk command requires approval"
 
@@ -66,6 +67,30 @@ class CommandPolicy:
     approval: Sequence[str] = field(default=DEFAULT_APPROVAL_PATTERNS)
 
 
+# A word that cannot run anything: quoted without substitutions, or bare.
+_QUOTED = r"""(?:'[^']*'|"(?:[^"\\\\$`]|\\\\.)*")"""
+_BARE = r"""[^\s;&|<>"'$`()]+"""
+# Where a command starts: at the front, after an operator, or in the text given to -c.
+_START = r"""(^\s*|[;&|(]\s*|\s-c\s+["'])"""
+_PRINTED = _START + rf"((?:\S*/)?(?:echo|printf|e?grep|fgrep|rg|ag|ack)\b)(?:\s+(?:{_QUOTED}|{_BARE}))+"
+_NOTED = rf"(\s(?:-m|--message|--body|--title|--notes|--description|-d|--data))(?:\s+|=){_QUOTED}"
+_TITLED = _START + rf"(bd\s+(?:new|create|q))\s+{_QUOTED}"
+
+
+def without_prose(command: Column) -> Column:
+    """The command with what is only printed, searched for or noted taken out, and without quotes.
+
+    Words given to printing and searching commands and the quoted values of
+    message-like options are data. A double-quoted text with a substitution in
+    it runs something, so it stays, and the substitution shows as plain words.
+    """
+    noted = F.regexp_replace(command, _NOTED, "$1 ")
+    titled = F.regexp_replace(noted, _TITLED, "$1$2 ")
+    printed = F.regexp_replace(titled, _PRINTED, "$1$2 ")
+    run = F.regexp_replace(printed, r"\$\(([^()]*)\)", " $1 ")
+    return F.translate(F.regexp_replace(run, "[\"']", ""), "`", " ")
+
+
 def _hit(command: Column, pattern: str) -> Column:
     return command.rlike("(?idU)" + pattern)
 

@@ -80,10 +80,6 @@ BUILTIN_RULES: tuple[Rule, ...] = (
 # Rules whose quoted value may turn out to be a variable name.
 GENERIC_RULES = ("Generic API Key", "Generic Secret")
 
-# Beyond this many rules the unrolled plan gets too large; the Arrow matcher,
-# which loops over compiled patterns inside each task, takes over.
-UNROLL_LIMIT = 200
-
 
 def all_rules(custom: Iterable[Rule] = (), policy: Iterable[Rule] = ()) -> list[Rule]:
     """Built-in rules first, then directory rules, then policy rules."""
@@ -105,7 +101,7 @@ def can_match_empty(regex: str) -> bool:
 
 # Constructs that the JVM's regex dialect lacks or reads differently. A nested
 # "[" or "&&" inside a character class is set algebra there.
-_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\(\?#|\\[ZNU0]|\(\?[a-z]*[aLux]|&&|(?<!\\)\{(?!\d+(?:,\d*)?\})")
+_PYTHON_ONLY = re.compile(r"\(\?P(?![<=][A-Za-z][A-Za-z0-9]*[>)])|\(\?\(|\(\?#|\\[ZNU0]|\(\?[a-z]*[aLux]|&&|(?<!\\)\{(?!\d+(?:,\d*)?\})")
 _CLASS_WITH_BRACKET = re.compile(r"\[\^?\]?[^\]\\]*(?:\\.[^\]\\]*)*\[")
 
 
@@ -119,16 +115,18 @@ def runs_natively(rule: Rule) -> bool:
     )
 
 
+_NAMED_REFERENCE = re.compile(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)")
 _CLASS_ESCAPE = re.compile(r"\\[sSdDwWbB]|\(\?[a-z]*i")
 
 
 def java_regex(regex: str) -> str:
     """The pattern with flags that make the JVM read it the Python way.
 
-    ``d`` leaves "\\n" as the only line end; ``U`` gives \\s, \\d, \\w, \\b and
+    Named groups are respelled. ``d`` leaves "\\n" as the only line end; ``U`` gives \\s, \\d, \\w, \\b and
     case folding their Unicode meaning, and is added only where it matters.
     """
-    return ("(?dU)" if _CLASS_ESCAPE.search(regex) else "(?d)") + regex
+    respelled = _NAMED_REFERENCE.sub(r"\\k<\1>", regex.replace("(?P<", "(?<"))
+    return ("(?dU)" if _CLASS_ESCAPE.search(regex) else "(?d)") + respelled
 
 
 _CONTEXT = re.compile(r"\(\?[=!<>]|\\[AZzGB]|(?<!\\)[$]|(?<![\\\[])\^|[+*?}]\+")
@@ -143,8 +141,6 @@ def is_context_free(regex: str) -> bool:
 def partition_rules(rules: Sequence[Rule]) -> tuple[list[tuple[int, Rule]], list[tuple[int, Rule]]]:
     """Split numbered rules into (native, Arrow); rules that do not compile drop out."""
     valid = [(i, r) for i, r in enumerate(rules) if compiles(r.regex)]
-    if len(valid) > UNROLL_LIMIT:
-        return [], valid
     native = [(i, r) for i, r in valid if runs_natively(r)]
     chosen = {i for i, _ in native}
     return native, [(i, r) for i, r in valid if i not in chosen]

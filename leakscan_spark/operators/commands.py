@@ -13,9 +13,8 @@ from ..functions.matching import has_matches, match_count, matched_names
 from ..functions.paths import is_excluded, relative_to
 from ..functions.payloads import is_object, tool_request, tool_response
 from ..functions.redaction import redact_text
-from ..functions.risk import CommandPolicy, decide, risk_tier
+from ..functions.risk import CommandPolicy, decide, risk_tier, without_prose
 from ..functions.rules import BUILTIN_RULES, Rule, partition_rules
-from ..functions.shell import sanitise
 from ..sources.suppressions import Suppression
 from .triage import first_suppression
 
@@ -26,7 +25,7 @@ DEFAULT_PATH = "file content"
 
 def assess(commands: DataFrame) -> DataFrame:
     """(command) rows with the text the patterns see and the risk tier."""
-    viewed = commands.withColumn("sanitised", sanitise(F.col("command")))
+    viewed = computed_once(commands.withColumn("sanitised", without_prose(F.col("command"))), "sanitised")
     return viewed.withColumn("risk", risk_tier(F.col("sanitised")))
 
 
@@ -90,21 +89,27 @@ def gate(
         F.when(F.coalesce("input.content", F.lit("")) != "", F.col("input.content")).otherwise(F.col("input.new_string")),
     )
     r = r.withColumn("command", command).withColumn("content", text)
-    r = r.withColumn("sanitised", sanitise(F.col("command")))
+    if staged is None:
+        return _decided(r.withColumn("staged_reason", F.lit(None).cast("string")), policy, rules, exclude_paths, suppressions)
+    starts = F.ltrim("command", F.lit(WHITE_SPACE))
+    shares = F.coalesce(starts.startswith("git commit") | starts.startswith("git push"), F.lit(False))
+    # Only commits and pushes meet the table; all other events stay where they are.
+    looked_up = r.where(shares).join(staged.select("repo", F.col("reason").alias("staged_reason")), "repo", "left")
+    others = r.where(~shares).withColumn("staged_reason", F.lit(None).cast("string"))
+    parts = [_decided(x, policy, rules, exclude_paths, suppressions) for x in (looked_up, others)]
+    return parts[0].unionByName(parts[1])
+
+
+def _decided(
+    r: DataFrame, policy: CommandPolicy, rules: Sequence[Rule], exclude_paths: Sequence[str], suppressions: Sequence[Suppression]
+) -> DataFrame:
+    """Decisions on (event_id, tool, input, command, content, staged_reason)."""
+    r = r.withColumn("sanitised", without_prose(F.col("command")))
     r = r.withColumn("risk", risk_tier(F.col("sanitised")))
     r = computed_once(r.withColumn("d", decide(F.col("sanitised"), F.col("risk"), policy)), "d")
     path = F.coalesce("input.file_path", F.lit(DEFAULT_PATH))
     r = computed_once(r.withColumn("names", write_rules("content", path, rules, exclude_paths, suppressions)), "names")
-    staged_reason = F.lit(None).cast("string")
-    if staged is not None:
-        starts = F.ltrim("command", F.lit(WHITE_SPACE))
-        lookup = F.when(
-            F.col("d.allowed") & (starts.startswith("git commit") | starts.startswith("git push")), F.col("repo")
-        )
-        r = r.withColumn("lookup", lookup).join(
-            staged.select(F.col("repo").alias("lookup"), F.col("reason").alias("staged_reason")), "lookup", "left"
-        )
-        staged_reason = F.col("staged_reason")
+    staged_reason = F.col("staged_reason")
     write_reason = F.when(
         F.size("names") > 0,
         F.concat(F.lit("Secret detected in "), path, F.lit(": "), F.array_join("names", ", ")),

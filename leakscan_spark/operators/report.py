@@ -87,9 +87,14 @@ def level_counts(vulnerabilities: DataFrame, *keys: str, level: str = "level") -
     )
 
 
-def verdict(kept: DataFrame, *keys: str) -> DataFrame:
-    """1 when any finding is left after suppression, else 0."""
-    return kept.groupBy(*keys).agg((F.count("*") > 0).cast("int").alias("verdict"))
+def verdict(marked: DataFrame, units: DataFrame, *keys: str) -> DataFrame:
+    """1 when any finding of a scanned unit is left after suppression, else 0.
+
+    ``units`` lists every scanned unit by ``keys``, so those without a finding
+    and those whose findings are all suppressed get their 0.
+    """
+    left = marked.groupBy(*keys).agg(F.max(F.col("suppressed_by").isNull().cast("int")).alias("left"))
+    return units.select(*keys).distinct().join(left, [*keys], "left").select(*keys, F.coalesce("left", F.lit(0)).alias("verdict"))
 
 
 def status_line(status: Column, total: Column, critical: Column, high: Column) -> Column:

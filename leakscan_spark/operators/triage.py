@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import glob_regex, matches_glob, slashes
-from ..sources.suppressions import Suppression, collect_suppressions
+from ..sources.suppressions import Suppression
 
 EXTERNAL, PATTERNS = "external", "patterns"
 
@@ -77,51 +78,54 @@ def first_suppression(file: Column, rule: Column, suppressions: Sequence[Suppres
 def mark_suppressed(findings: DataFrame, suppressions: Sequence[Suppression] | DataFrame) -> DataFrame:
     """Findings with ``suppressed_by``: NULL, or the first suppression that applies.
 
-    A list short enough to unroll costs one projection and no shuffle. A longer
-    table is joined through path segments instead, never as a cross product.
+    A list is configuration: it costs one projection and no shuffle. A table is
+    joined, whatever its length.
     """
     if isinstance(suppressions, DataFrame):
-        listed = collect_suppressions(suppressions)
-        if listed is None:
-            return _mark_by_segments(findings, suppressions)
-        suppressions = listed
+        return _mark_by_keys(findings, suppressions)
     return findings.withColumn("suppressed_by", first_suppression(F.col("file"), F.col("rule"), suppressions))
 
 
-def _literal_segment(glob: str) -> str | None:
-    """A path segment every path under the glob must contain, if there is one."""
-    g = glob.replace("\\", "/")
-    plain = [s for s in g.split("/") if s and not any(c in s for c in "*?[")]
-    # After "**" without a slash a neighbour may be glued to other characters.
-    if "**" in g.replace("/**/", "/").removeprefix("**/").removesuffix("/**"):
-        return None
-    return max(plain, key=len) if plain else None
+def _glob_tokens(glob: str) -> list[str]:
+    """Runs of ASCII letters and digits that are whole runs in every path under the glob."""
+    g = re.sub(r"\[[^\]]*\]|[*?]", "\0", glob.replace("\\", "/"))
+    on_name = "/" not in g
+    return [
+        m[0] for m in re.finditer("[A-Za-z0-9]+", g)
+        if (g[m.start() - 1] != "\0" if m.start() else on_name) and g[m.end() : m.end() + 1] != "\0"
+    ]
 
 
-def _mark_by_segments(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
-    """First-match suppression for lists of any length.
+def _mark_by_keys(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
+    """First-match suppression for tables.
 
-    Distinct (file, rule) pairs meet the globs on a path segment both contain;
-    globs without a usable segment meet every pair of their rule. The pattern
-    itself is then checked on the few candidates.
+    A glob waits under the rarest of its fixed tokens among all paths; without
+    one, under its rule. Distinct (file, rule) pairs come by with their tokens and
+    rule, and the pattern is checked on what meets. Only a glob with neither, such
+    as ``**``, meets every pair, which is what it says.
     """
-    @F.pandas_udf("struct<regex:string,on_name:boolean,segment:string>")
+
+    @F.pandas_udf("struct<regex:string,on_name:boolean,tokens:array<string>>")
     def compiled(globs: pd.Series) -> pd.DataFrame:
-        rows = [(*glob_regex(g), _literal_segment(g)) for g in globs]
-        return pd.DataFrame(rows, columns=["regex", "on_name", "segment"])
+        return pd.DataFrame([(*glob_regex(g), _glob_tokens(g)) for g in globs], columns=["regex", "on_name", "tokens"])
 
-    order = suppressions.select("ord", "rule", "reason", "source", compiled("path_glob").alias("g")).select(
-        "ord", F.lower("rule").alias("s_rule"), "reason", "source",
-        F.col("g.regex").alias("regex"), F.col("g.on_name").alias("on_name"),
-        F.coalesce("g.segment", F.lit("*")).alias("segment"),
-    )
-    pairs = findings.select("file", "rule").distinct()
     path = slashes(F.col("file"))
-    segments = F.array_distinct(F.concat(F.array(F.lit("*")), F.split(path, "/")))
-    keyed = pairs.select("file", "rule", path.alias("path"), F.explode(segments).alias("segment"))
+    pairs = findings.select("file", "rule", path.alias("path")).distinct()
+    tokens = F.array_distinct(F.filter(F.split("path", "[^A-Za-z0-9]+"), lambda t: t != ""))
+    often = pairs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    parsed = suppressions.select("ord", F.lower("rule").alias("s_rule"), "reason", "source", compiled("path_glob").alias("g"))
+    each = parsed.select("*", F.explode_outer(F.array_distinct("g.tokens")).alias("token")).join(often, "token", "left")
+    order = each.groupBy("ord").agg(
+        F.min_by(F.struct("token", "s_rule", "reason", "source", "g"), F.struct(F.coalesce("n", F.lit(0)), "token")).alias("s")
+    )
+    own = F.concat(F.lit("token:"), F.col("s.token"))
+    by_rule = F.concat(F.lit("rule:"), F.col("s.s_rule"))
+    order = order.select("ord", "s.s_rule", "s.reason", "s.source", "s.g.regex", "s.g.on_name", F.coalesce(own, by_rule, F.lit("any:")).alias("key"))
+    keys = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("token:"), t)), F.array(F.concat(F.lit("rule:"), F.lower("rule")), F.lit("any:")))
+    keyed = pairs.select("file", "rule", "path", F.explode(keys).alias("key"))
     target = F.when(F.col("on_name"), F.substring_index("path", "/", -1)).otherwise(F.col("path"))
     hits = (
-        keyed.join(order, "segment")
+        keyed.join(order, "key")
         .where(F.col("s_rule").isNull() | (F.col("s_rule") == F.lower("rule")))
         .where(F.rlike(target, F.col("regex")))
         .groupBy("file", "rule")

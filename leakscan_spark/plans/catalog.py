@@ -15,7 +15,7 @@ from ..functions.risk import CommandPolicy
 from ..functions.rules import BUILTIN_RULES, Rule
 from ..operators import audit, commands, issues, report, review, triage
 from ..operators.scan import scan_files, scan_lines, scan_texts, split_lines
-from ..session import prepare
+from ..session import prepare, shared_dir
 from ..sources import corpus as corpus_source
 from ..sources import diffs, external, findings as findings_io, rules as rule_source, suppressions as supp
 from ..sources.audit import parse_entries
@@ -24,8 +24,12 @@ from . import inputs
 from .policy import APPROVAL, BLOCKED, RETENTION_CUTOFF, RETENTION_DAYS
 
 SERVICE_RULE = Rule("Service Token", r"token\s*=\s*\"[0-9a-f]{40}\"", "high", "Service token")
-# Runs on the Arrow matcher: a named group is Python dialect.
-NAMED_RULE = Rule("Named Token", r"token\s*=\s*\"(?P<value>[0-9a-f]{40})\"", "high", "Service token")
+# Runs on the Arrow matcher: the JVM has no such group name.
+NAMED_RULE = Rule("Named Token", r"token\s*=\s*\"(?P<the_value>[0-9a-f]{40})\"", "high", "Service token")
+# As many rules as a large organisation keeps: one for each beginning of a token.
+MANY_RULES = [
+    Rule(f"Token {i:03x}", f'token = "{i:03x}[0-9a-f]{{37}}"', "high", "Service token", ('token = "',)) for i in range(512)
+]
 EXCLUDE = ("docs", "src/vendor", "repo_1/config/", "*/tests/*", "*.md")
 SUPPRESSIONS = (
     supp.Suppression("tests/fixtures/**", None, "test data", supp.POLICY_SOURCE),
@@ -101,6 +105,11 @@ def custom_rule_findings(spark, sf):
     return scan_files(inputs.documents(spark, sf), [SERVICE_RULE]).select(*FINDING)
 
 
+def many_rule_findings(spark, sf):
+    """512 rules over all documents, on the JVM's regex functions."""
+    return scan_files(inputs.documents(spark, sf), MANY_RULES).select(*FINDING)
+
+
 def arrow_rule_findings(spark, sf):
     return scan_files(inputs.documents(spark, sf), [NAMED_RULE]).select(*FINDING)
 
@@ -171,8 +180,26 @@ def suppression_split(spark, sf):
 
 
 def scan_verdict(spark, sf):
-    kept, _ = triage.split_suppressed(_marked(spark, sf))
-    return report.verdict(kept.withColumn("repo", F.substring_index("file", "/", 1)), "repo")
+    unit = F.concat_ws(
+        " ", F.regexp_extract("file", "^(.*)/", 1), F.right(F.regexp_extract("file", "([^/.]*)[.]", 1), F.lit(2)),
+        F.regexp_extract("file", "[.]([a-z]+)$", 1),
+    ).alias("unit")
+    units = inputs.planted(spark, sf).select(unit)
+    return report.verdict(_marked(spark, sf).select(unit, "suppressed_by"), units, "unit")
+
+
+def suppression_table(spark, sf):
+    """Suppressions as one ordered table, thousands of globs derived from parts: policy first, then the ignore file."""
+    parts = inputs.load(spark, sf, "part", "p_partkey")
+    policy = parts.selectExpr(
+        "p_partkey AS ord", "array(concat('src/order_', p_partkey * 7, '.*'), concat('*_', p_partkey, '.env')) AS paths",
+        "CASE WHEN p_partkey % 2 = 0 THEN array() ELSE array('GitHub App Token') END AS rules", "concat('part ', p_partkey) AS reason",
+    )
+    lines = parts.selectExpr("p_partkey AS ord", "concat('docs/order_', p_partkey * 3, '.*') AS value")
+    table = supp.ordered_suppressions(supp.policy_suppressions(policy), supp.parse_suppression_lines(lines))
+    m = triage.mark_suppressed(planted_findings(spark, sf), table)
+    by = F.col("suppressed_by")
+    return m.select(*FINDING, by["reason"].alias("reason"), by["source"].alias("source"))
 
 
 def policy_ignore_rules(spark, sf):
@@ -376,7 +403,10 @@ def vulnerability_drafts(spark, sf):
 
 
 def issue_dedup(spark, sf):
-    found = planted_findings(spark, sf)
+    # The findings are a step of their own: written once, read as drafts and as the issues already open.
+    path = f"{shared_dir(spark, 'findings')}/found"
+    planted_findings(spark, sf).select("file", "rule", "severity", "description", "line", "redacted").write.parquet(path)
+    found = spark.read.parquet(path)
     opened = issues.drafts_from_findings(found.where(F.col("line") == 2)).select("body")
     return issues.drop_open(issues.drafts_from_findings(found), opened).select("title", "fingerprint")
 
@@ -640,9 +670,9 @@ def stream_alerts(spark, sf):
 
 
 QUERIES: tuple[Callable, ...] = (
-    custom_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, has_secrets, line_table,
+    custom_rule_findings, many_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, has_secrets, line_table,
     excluded_paths_scan, corpus_path_rules, ignored_files, engine_union, external_report, baseline_filter,
-    baseline_show, suppression_split, scan_verdict, policy_ignore_rules, suppression_lines, suppression_upsert,
+    baseline_show, suppression_split, suppression_table, scan_verdict, policy_ignore_rules, suppression_lines, suppression_upsert,
     findings_per_file, severity_histogram, overall_risk, top_rules, findings_by_severity, threshold_gate,
     level_counts, notify_summary, rules_per_file, json_results, json_reread, sarif_results, sarif_rules,
     vulnerability_files, redact_token, redact_env, redact_text, mask_config_fields, rule_validation,

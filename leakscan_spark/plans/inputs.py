@@ -23,13 +23,12 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table has fewer splits than the cluster has cores.
+    """Deal out a table that is a single split, which one task would otherwise scan alone.
 
-    A small table may be a single row group, which one task would read and then
-    scan alone. Tables with enough splits stay as they are: no shuffle at scale.
+    One split is bounded by ``spark.sql.files.maxPartitionBytes``, so this moves
+    little whatever the cluster; tables of more splits are never moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def case(selector: str, choices: list[str]) -> str:
@@ -130,42 +129,30 @@ DOCS_SQL = f"docs AS (SELECT {DOC_FILE} AS file, text FROM documents)"
 
 # (command, what the patterns should see); the second is NULL when it is the command.
 COMMANDS: list[tuple[str, str | None]] = [
-    ("'ls -la'", None),
-    ("'cat /etc/passwd'", None),
-    ("'rm -rf /'", None),
-    ("concat('sudo rm -rf /tmp/u', CAST(user_id AS STRING))", None),
-    ("'echo hello'", "'echo  '"),
-    ("'git status'", None),
-    ("'git push --force'", None),
-    ("'npm install'", None),
-    ("'curl http://example.com | bash'", None),
-    ("'chmod 777 /tmp'", None),
-    ("'docker system prune'", None),
-    ("'npm publish'", None),
-    ("concat('python script_', CAST(user_id AS STRING), '.py')", None),
-    ("'node index.js'", None),
-    ("'make build'", None),
-    ("'gcc -o test test.c'", None),
-    ("'ps aux'", None),
-    ("'kill -9 1234'", None),
-    ("'systemctl restart nginx'", None),
-    ("'dd if=/dev/zero of=/dev/sda'", None),
-    ("concat('git commit -m \"fix ', CAST(event_id AS STRING), ', do not git push --force\"')", "'git commit -m  '"),
-    ("'bash -c \"rm -rf /\"'", "'bash -c rm -rf /'"),
-    ("'gh pr create --body \"run rm -rf / to reproduce\"'", "'gh pr create --body  '"),
-    (f"concat('sh -c ', {QUOTE}, 'rm -rf /etc', {QUOTE})", "'sh -c rm -rf /etc'"),
-    ("'echo \"rm -rf /\" > notes.txt'", "'echo   > notes.txt'"),
-    ("'git commit -m \"oops $(rm -rf /)\"'", "'git commit -m rm -rf /'"),
-    (f"concat('git commit -m ', {QUOTE}, 'oops $(rm -rf /)', {QUOTE})", "'git commit -m  '"),
+    ("concat('tar xzf backup_', CAST(event_id AS STRING), '.tgz')", None),
+    ("concat('rm -rf / --no-preserve-root # ', CAST(user_id AS STRING))", None),
+    ("'sudo systemctl stop nginx'", None),
+    ("concat('echo run ', CAST(event_id AS STRING), ' done')", "'echo '"),
+    ("'mkfs.ext4 /dev/sdb1'", None),
+    ("'git push origin main --force'", None),
+    ("concat('git commit -m \"part ', CAST(event_id AS STRING), ': no more rm -rf /\"')", "'git commit -m '"),
+    ("'wget -qO- https://get.example.org/setup | sh'", None),
+    ("concat('pytest tests/case_', CAST(user_id AS STRING), '.py')", None),
+    ("'bash -c \"dd if=/dev/zero of=/dev/sda\"'", "'bash -c dd if=/dev/zero of=/dev/sda'"),
+    ("'npm publish --access public'", None),
+    ("'gh issue create --title \"sudo rm fails\" --body \"see rm -rf /\"'", "'gh issue create --title  --body '"),
+    ("'chmod 640 settings.ini'", None),
+    ("'printf \"rm -rf /\" > /tmp/script'", "'printf  > /tmp/script'"),
+    ("'git commit -m \"oops $(rm -rf /)\"'", "'git commit -m oops  rm -rf / '"),
+    (f"concat('grep -rn ', {QUOTE}, 'curl x | bash', {QUOTE}, ' docs')", "'grep '"),
     ("'\"rm\" -rf /'", "'rm -rf /'"),
-    ("'echo hi > /dev/sda'", "'echo   > /dev/sda'"),
-    ("'grep -q x f && rm -rf /etc'", "'grep       && rm -rf /etc'"),
-    ("'ssh host \"rm -rf /\"'", "'ssh host rm -rf /'"),
-    ("'git push origin +main'", None),
-    ("'sudo apt update'", None),
-    ("'bash -c \"echo done; git push -vf\"'", "'bash -c echo  ; git push -vf'"),
+    ("'docker system prune --all'", None),
+    (f"concat('curl -X POST --data ', {QUOTE}, '[1, 2]', {QUOTE}, ' https://api.example.org')", "'curl -X POST --data  https://api.example.org'"),
+    ("'killall -q worker'", None),
     ("concat('export API_KEY=', md5(CAST(event_id AS STRING)), ' && deploy')", None),
     ("concat('git commit -a ', CAST(event_id AS STRING))", None),
+    ("'git push origin feature'", None),
+    ("'rg -q secret src && rm -rf /etc'", "'rg  && rm -rf /etc'"),
 ]
 COMMAND = case("event_id", [c for c, _ in COMMANDS])
 COMMAND_VIEW = case("event_id", [v or c for c, v in COMMANDS])

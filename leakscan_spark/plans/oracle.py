@@ -263,8 +263,8 @@ EXTENSION = "lower(regexp_extract(path, '[^/]([.][^./]+)$', 1))"
 SUSPECT = f"{EXTENSION} IN ({', '.join(q(e) for e in review.SUSPICIOUS_EXTENSIONS)})"
 INVENTORY = (
     f"inv AS (SELECT bundle, path, octet_length(encode(text)) AS bytes, "
-    f"CASE WHEN {SUSPECT} OR octet_length(encode(text)) > 2097152 OR starts_with(text, chr(0)) THEN 'binary' ELSE 'text' END AS kind, "
-    f"({SUSPECT} OR octet_length(encode(text)) > 2097152 OR (starts_with(text, chr(0)) AND {EXTENSION} NOT IN ({', '.join(q(e) for e in review.TEXT_EXTENSIONS)}))) AS suspicious, text FROM pf)"
+    f"CASE WHEN {SUSPECT} OR contains(text, chr(0)) THEN 'binary' ELSE 'text' END AS kind, "
+    f"({SUSPECT} OR (contains(text, chr(0)) AND {EXTENSION} NOT IN ({', '.join(q(e) for e in review.TEXT_EXTENSIONS)}))) AS suspicious, text FROM pf)"
 )
 SUMMARY = [
     *SIGNALS, inputs.PAGE_FILES_SQL, INVENTORY,
@@ -294,6 +294,8 @@ UNSAFE = inputs.case("page_id", [
 
 # -- issues ------------------------------------------------------------------
 
+# A scanned unit: files of one folder whose names end alike.
+VERDICT_UNIT = "concat(regexp_extract(file, '^(.*)/', 1), ' ', right(regexp_extract(file, '([^/.]*)[.]', 1), 2), ' ', regexp_extract(file, '[.]([a-z]+)$', 1))"
 PRINT = "left(sha256(concat(file, ':', rule)), 12)"
 ICON = {"critical": "\U0001f534", "high": "\U0001f7e0", "medium": "\U0001f7e1", "low": "\U0001f7e2"}
 
@@ -306,21 +308,19 @@ N = "chr(10)"
 FOOT = f"concat({N}, '---', {N}, '*Created by leakscan-spark*', {N})"
 MARK = f"concat({N}, {N}, {q(issues.MARK_START)}, fp, {q(issues.MARK_END)})"
 DRAFT = f"""SELECT concat({_icon('severity')}, ' [', upper(severity), '] Secret detected: ', rule, ' in ', {BASE}) AS title,
-  concat('## Secret Detection', {N}, {N}, '**Pattern:** `', rule, '`', {N}, '**Severity:** ', severity, {N}, '**File:** `', file, '` (line ', line, ')', {N},
-    '**Match:** `', redacted, '`', {N}, {N}, '### Description', {N}, {N}, description, {N}, {N}, '### Remediation', {N}, {N},
-    '1. Rotate the exposed credential immediately', {N}, '2. Remove the secret from source code', {N},
-    '3. Use environment variables or a secrets manager instead', {N}, {FOOT}, {MARK}) AS body,
+  concat('`', file, '` (line ', line, ') holds what looks like a live credential: **', rule, '** (', severity, ').', {N},
+    {N}, 'Seen as `', redacted, '`.', {N}, {N}, 'Kind: ', description, {N},
+    {N}, 'To do: have the owner revoke it, move the new one to a vault, and purge the old one from history.', {N}, {FOOT}, {MARK}) AS body,
   concat('security,secret-detected,severity:', severity) AS labels, fp AS fingerprint FROM (SELECT *, {PRINT} AS fp FROM found)"""
 VULN_DRAFT = f"""SELECT concat({_icon('sev')}, ' [', upper(sev), '] ', rule_id, ': ', CASE WHEN length(message) <= 80 THEN message ELSE concat(left(message, 77), '...') END) AS title,
-  concat('## Security Finding', {N}, {N}, '**Rule:** `', rule_id, '`', {N}, '**Severity:** ', sev, {N}, '**File:** `', file, '`',
-    CASE WHEN line IS NOT NULL THEN concat(' (line ', line, ')') ELSE '' END, {N}, {N}, '### Description', {N}, {N}, message, {N}, {N},
-    '### Remediation', {N}, {N}, 'Review and fix the finding in `', file, '`.', {N}, {FOOT}, {MARK}) AS body,
+  concat('A scan reported `', rule_id, '` (', sev, ') in `', file, '`', CASE WHEN line IS NOT NULL THEN concat(' (line ', line, ')') ELSE '' END,
+    '.', {N}, {N}, '> ', message, {N}, {N}, 'Please check that place and close this once it is settled.', {N}, {FOOT}, {MARK}) AS body,
   concat('security,severity:', sev, ',rule:', rule_id) AS labels, fp AS fingerprint
   FROM (SELECT *, CASE level WHEN 'error' THEN 'critical' WHEN 'warning' THEN 'high' ELSE 'medium' END AS sev, left(sha256(concat(file, ':', rule_id)), 12) AS fp FROM vulns)"""
 KEYWORDS = "|".join(issues.SECURITY_WORDS)
 TEXT_ISSUE = f"""SELECT file, CASE WHEN length(head) <= 120 THEN head ELSE concat(left(head, 117), '...') END AS title,
   sha256(concat(CASE WHEN rest = '' THEN whole ELSE rest END,
-    CASE WHEN len(refs) > 0 THEN concat({N}, {N}, '### Referenced Files', {N}, {N}, array_to_string(list_transform(refs[1:10], lambda r: concat('- `', r, '`', {N})), '')) ELSE '' END,
+    CASE WHEN len(refs) > 0 THEN concat({N}, {N}, 'Files named above:', {N}, {N}, array_to_string(list_transform(refs[1:10], lambda r: concat('- `', r, '`', {N})), '')) ELSE '' END,
     {N}, {FOOT})) AS body_sha, concat_ws(',', sec, sev) AS labels
  FROM (SELECT file, whole, regexp_replace(trim(string_split(whole, {N})[1]), '^#+\\s*', '') AS head,
    regexp_replace(substr(whole, length(string_split(whole, {N})[1]) + 2), '^\\s+|\\s+$', '', 'g') AS rest,
@@ -342,6 +342,10 @@ def statements() -> dict[str, str]:
     s: dict[str, str] = {}
     s["custom_rule_findings"] = scan_name.replace("{name}", "Service Token")
     s["arrow_rule_findings"] = scan_name.replace("{name}", "Named Token")
+    s["many_rule_findings"] = (
+        scan_name.replace("'{name}' AS rule", "concat('Token ', substr(m, 10, 3)) AS rule")
+        + """ WHERE regexp_matches(m, '^token = "[01]')"""
+    )
     s["stream_scan"] = f"SELECT * FROM ({s['custom_rule_findings']}) WHERE NOT starts_with(file, 'src1/')"
     both = [inputs.DOCS_SQL, inputs.PLANTED_SQL, CORPUS, RULES, lines("pl", "corpus"), hits("found", "pl", "file, line")]
     s["builtin_rule_findings"] = _with(*both) + f"SELECT {FINDING} FROM found"
@@ -372,7 +376,18 @@ def statements() -> dict[str, str]:
     s["suppression_split"] = found(
         f"SELECT {FINDING}, s IS NOT NULL AS suppressed, nullif(split_part(s, ':', 2), '') AS reason, split_part(s, ':', 1) AS source FROM (SELECT *, {SUPPRESSED_BY} AS s FROM found)"
     )
-    s["scan_verdict"] = found(f"SELECT {REPO} AS repo, 1 AS verdict FROM found WHERE ({SUPPRESSED_BY}) IS NULL GROUP BY 1")
+    s["suppression_table"] = found(
+        f"""SELECT {FINDING}, CASE WHEN by_src THEN concat('part ', k // 7) WHEN by_env THEN concat('part ', k) END AS reason,
+          CASE WHEN by_src OR by_env THEN 'policy' WHEN by_docs THEN 'ignore-file' END AS source
+        FROM (SELECT *, regexp_matches(file, 'src/order_[0-9]+[.][a-z]+$') AND k % 7 = 0 AND k // 7 <= n AND ((k // 7) % 2 = 0 OR rule = 'GitHub App Token') AS by_src,
+            regexp_matches(file, '[.]env$') AND k <= n AND (k % 2 = 0 OR rule = 'GitHub App Token') AS by_env,
+            regexp_matches(file, 'docs/order_[0-9]+[.][a-z]+$') AND k % 3 = 0 AND k // 3 <= n AS by_docs
+          FROM (SELECT *, CAST(regexp_extract(file, 'order_([0-9]+)', 1) AS BIGINT) AS k FROM found), (SELECT max(p_partkey) AS n FROM part))"""
+    )
+    s["scan_verdict"] = found(
+        f"""SELECT p.unit, coalesce(f.verdict, 0) AS verdict FROM (SELECT DISTINCT {VERDICT_UNIT} AS unit FROM planted) p LEFT JOIN
+        (SELECT {VERDICT_UNIT} AS unit, max(CASE WHEN ({SUPPRESSED_BY}) IS NULL THEN 1 ELSE 0 END) AS verdict FROM found GROUP BY 1) f ON p.unit = f.unit"""
+    )
     s["policy_ignore_rules"] = """SELECT owner, path_glob, unnest(CASE WHEN owner % 3 = 0 THEN [NULL] ELSE ['Bearer Token', seg] END) AS rule, reason, 'policy' AS source
       FROM (SELECT c_custkey AS owner, c_mktsegment AS seg, concat('owner ', c_custkey) AS reason,
         unnest([concat('src/', lower(c_mktsegment), '/**'), '*.log']) AS path_glob FROM customer)"""
@@ -444,7 +459,8 @@ def statements() -> dict[str, str]:
     s["issue_drafts"] = found(DRAFT)
     s["vulnerability_drafts"] = _with(inputs.VULNS_SQL) + VULN_DRAFT
     s["issue_dedup"] = found(
-        f"SELECT title, fingerprint FROM ({DRAFT}) WHERE fingerprint NOT IN (SELECT {PRINT} FROM found WHERE line = 2)"
+        f"""SELECT concat({_icon('severity')}, ' [', upper(severity), '] Secret detected: ', rule, ' in ', {BASE}) AS title, fp AS fingerprint
+        FROM (SELECT file, rule, severity, {PRINT} AS fp, bool_or(line = 2) OVER (PARTITION BY file, rule) AS opened FROM found) WHERE NOT opened"""
     )
     s["text_to_issue"] = _with(inputs.DOCS_SQL) + TEXT_ISSUE
     s["command_risk"] = _with(COMMANDS) + f"SELECT command_id, view AS sanitised, {RISK} AS risk FROM commands"

@@ -45,12 +45,10 @@ def local_session(cores: str = "*", name: str = "leakscan") -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder named in ``spark.checkpoint.dir``.
 
-    Every executor must see this folder. Only when the setting is absent on a
-    single-machine master is a temporary folder used instead.
+    Every executor must see this folder, so there is no default: the cluster
+    names it, and local sessions for tests set their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -1,9 +1,10 @@
-"""File corpora: path rules run on metadata, so excluded files are never read."""
+"""File corpora: path rules run on file metadata, so excluded files are never opened."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import count
 
 import pandas as pd
 
@@ -29,7 +30,6 @@ BINARY_EXTENSIONS = (
     ".woff", ".woff2", ".ttf", ".eot",
     ".pyc", ".class", ".o", ".a",
 )
-MAX_DEPTH = 10
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -50,12 +50,13 @@ def decode(content: Column) -> Column:
     return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
-def is_scannable(rel_path: Column, extra_names: Sequence[str] = (), max_depth: int = MAX_DEPTH) -> Column:
+def is_scannable(rel_path: Column, extra_names: Sequence[str] = (), max_depth: int | None = None) -> Column:
     """Depth, excluded names and binary extensions, from the path alone."""
     names = list(dict.fromkeys([*EXCLUDED_NAMES, *(n.rstrip("/") for n in extra_names)]))
     segments = F.split(slashes(rel_path), "/")
+    shallow = F.lit(True) if max_depth is None else F.size(segments) <= max_depth
     return (
-        (F.size(segments) <= max_depth)
+        shallow
         & ~F.arrays_overlap(segments, F.array(*[F.lit(n) for n in names]))
         & ~F.coalesce(extension(rel_path), F.lit("")).isin(*BINARY_EXTENSIONS)
     )
@@ -65,7 +66,7 @@ def read_corpus(
     spark: SparkSession,
     root: str,
     exclude_paths: Sequence[str] = (),
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     max_bytes: int | None = None,
 ) -> DataFrame:
     """(file, text) rows of a directory tree; file is relative to the root.
@@ -76,15 +77,25 @@ def read_corpus(
     """
     hidden_dirs, hidden_files = _hidden_entries(spark, root, max_depth)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = reader.load([root, *hidden_dirs]).select("path", "length", "content")
+    # On the file's metadata alone, so that Spark drops the files before any task opens them.
+    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    files = reader.load([root, *hidden_dirs]).where(wanted(listed, root, exclude_paths, max_depth))
+    files = files.select("path", "length", "content")
     if hidden_files:
-        files = files.unionByName(_read_each(spark, hidden_files))
+        rest = spark.createDataFrame(list(hidden_files), "path string, length long")
+        files = files.unionByName(_read_each(rest.where(wanted(F.col("path"), root, exclude_paths, max_depth))))
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
     return select_text(files, root, exclude_paths, max_depth)
 
 
-def _hidden_entries(spark: SparkSession, root: str, max_depth: int) -> tuple[list[str], list[tuple[str, int]]]:
+def wanted(path: Column, root: str, exclude_paths: Sequence[str] = (), max_depth: int | None = None) -> Column:
+    """The path rules of a scan over a full path."""
+    rel = relative_to(F.regexp_replace(path, r"^file:/+", "/"), reported_root(root))
+    return is_scannable(rel, exclude_paths, max_depth) & ~is_excluded(rel, exclude_paths)
+
+
+def _hidden_entries(spark: SparkSession, root: str, max_depth: int | None) -> tuple[list[str], list[tuple[str, int]]]:
     """Directories, and files with their sizes, that Spark's listing leaves out.
 
     Names and sizes only, as in Spark's own listing; no content reaches the driver.
@@ -93,7 +104,9 @@ def _hidden_entries(spark: SparkSession, root: str, max_depth: int) -> tuple[lis
     fs = fs_root.getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.makeQualified(fs_root).toString().rstrip("/")
     dirs, files = [], []
-    for depth in range(max_depth):
+    for depth in count() if max_depth is None else range(max_depth):
+        if depth and not fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(base + "/*" * depth)):
+            break
         pattern = spark._jvm.org.apache.hadoop.fs.Path(base + "/*" * depth + "/{.,_}*")
         for status in fs.globStatus(pattern) or []:
             path = status.getPath().toString()
@@ -106,7 +119,7 @@ def _hidden_entries(spark: SparkSession, root: str, max_depth: int) -> tuple[lis
     return dirs, files
 
 
-def _read_each(spark: SparkSession, files: Sequence[tuple[str, int]]) -> DataFrame:
+def _read_each(listed: DataFrame) -> DataFrame:
     """(path, length, content) of single files, read inside the tasks."""
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,12 +132,11 @@ def _read_each(spark: SparkSession, files: Sequence[tuple[str, int]]) -> DataFra
                 with store.open_input_stream(path) as stream:
                     yield pd.DataFrame([(row.path, row.length, stream.read())], columns=["path", "length", "content"])
 
-    listed = spark.createDataFrame(list(files), "path string, length long")
     return listed.repartition("path").mapInPandas(contents, "path string, length long, content binary")
 
 
 def select_text(
-    files: DataFrame, root: str, exclude_paths: Sequence[str] = (), max_depth: int = MAX_DEPTH
+    files: DataFrame, root: str, exclude_paths: Sequence[str] = (), max_depth: int | None = None
 ) -> DataFrame:
     """Path rules, then decoding, over a table of the binaryFile schema."""
     rel = relative_to(F.regexp_replace("path", r"^file:/+", "/"), reported_root(root))

@@ -38,7 +38,7 @@ def parse_suppression_lines(lines: DataFrame) -> DataFrame:
 
 def read_suppressions(spark: SparkSession, path: str) -> DataFrame:
     """Suppressions of one ignore file, numbered in file order."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return parse_suppression_lines(
         lines.select(F.posexplode(F.split("value", "\n")).alias("ord", "value"))
     )
@@ -57,12 +57,24 @@ def policy_suppressions(ignore_rules: DataFrame) -> DataFrame:
     )
 
 
-MAX_SUPPRESSIONS = 2_000
+def ordered_suppressions(policy: DataFrame, lines: DataFrame) -> DataFrame:
+    """Policy suppressions before those of the ignore file, in one order.
 
+    ``policy`` comes from :func:`policy_suppressions`, ``lines`` from
+    :func:`parse_suppression_lines`; ``ord`` becomes (block, entry, path, rule).
+    """
 
-def collect_suppressions(table: DataFrame) -> list[Suppression] | None:
-    """The list in order, or None when it is too long to unroll into a plan."""
-    rows = table.orderBy("ord").limit(MAX_SUPPRESSIONS + 1).collect()
-    if len(rows) > MAX_SUPPRESSIONS:
-        return None
-    return [Suppression(r["path_glob"], r["rule"], r["reason"], r["source"]) for r in rows]
+    def numbered(df: DataFrame, *order) -> DataFrame:
+        names = ("block", "a", "b", "c")
+        ord_ = F.struct(*[o.cast("long").alias(n) for n, o in zip(names, order, strict=True)])
+        return df.select(ord_.alias("ord"), "path_glob", "rule", "reason", "source")
+
+    none = F.lit(0)
+    return numbered(policy, none, F.col("ord.ord"), F.col("ord.p"), F.col("ord.r")).unionByName(
+        numbered(lines, F.lit(1), F.col("ord"), none, none)
+    )
+
+
+def collect_suppressions(table: DataFrame) -> list[Suppression]:
+    """The list in order, for callers that hold it as configuration."""
+    return [Suppression(r["path_glob"], r["rule"], r["reason"], r["source"]) for r in table.orderBy("ord").collect()]

@@ -22,13 +22,12 @@ from ..session import shared_dir
 from ..sources.corpus import BINARY_FILE_SCHEMA, decode
 from ..sources.suppressions import Suppression
 
-# Directory names whose changes are not watched.
-UNWATCHED = ("node_modules", ".git", ".hg", "__pycache__", ".tox", ".venv")
+# Fixed value: paths whose changes are not watched.
+UNWATCHED = r"(^|[/\\])(\.git|node_modules|\.hg|__pycache__|\.tox|\.venv)([/\\]|$)"
 
 
 def is_watched(path: Column) -> Column:
-    names = "|".join(n.replace(".", r"\.") for n in UNWATCHED)
-    return ~path.rlike(rf"(^|[/\\])({names})([/\\]|$)")
+    return ~path.rlike(UNWATCHED)
 
 
 def watch_files(spark: SparkSession, root: str, **options) -> DataFrame:
@@ -44,11 +43,14 @@ def watch_files(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def watch_table(spark: SparkSession, directory: str, table: str, schema) -> DataFrame:
-    """New Parquet files of one table as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 16).parquet(directory)
-    )
+    """New Parquet files of one table, a folder of files or a single one, as a stream."""
+    path = f"{directory.rstrip('/')}/{table}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A stream reads folders; a table of one file is the only file of its name in its folder.
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(directory)
 
 
 def run_to_end(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:

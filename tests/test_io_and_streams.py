@@ -118,6 +118,59 @@ def test_chained_stream_continues(spark, tmp_path):
 
 def test_registered_queries_cover_their_checks(spark):
     import __spark_entry__ as driver
+    from leakscan_spark.plans.catalog import registry
 
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    own = {n for n in driver.queries() if n in registry()}
+    assert own == set(registry()) == set(driver.oracle_sql()) & own
+    assert set(driver.oracle_sql()) <= set(driver.queries())
     assert driver.entry(spark).columns == ["file", "line", "column", "rule", "severity", "redacted"]
+
+
+def test_table_stream_reads_folders_and_single_files(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("event_id"), F.concat(F.lit("x"), "id").alias("text"))
+    rows.repartition(4).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one-folder"))
+    (tmp_path / "one").mkdir()
+    [part] = (tmp_path / "one-folder").glob("*.parquet")
+    part.rename(tmp_path / "one" / "events.parquet")
+    for place in ("many", "one"):
+        out, cp = streams.fresh_paths(spark, "table")
+        stream = streams.watch_table(spark, str(tmp_path / place), "events", rows.schema)
+        streams.transform_stream(stream, lambda df: df, out, cp)
+        assert spark.read.parquet(f"{out}/*").count() == 40
+
+
+def test_excluded_files_are_not_opened(spark, tmp_path):
+    for name in ("a/ok.txt", "a/with space+plus.txt", "a/big.zip", "node_modules/x.js", "docs/d.md", ".env", ".git/config"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("text of " + name)
+    files = corpus.read_corpus(spark, str(tmp_path), ["docs"])
+    assert sorted(r.file for r in files.collect()) == [".env", "a/ok.txt", "a/with space+plus.txt"]
+    plan = files._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles"))
+    assert read == 0 or read == 2  # metadata alone decides which files a task opens
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    wanted = corpus.wanted(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), str(tmp_path), ["docs"])
+    df = listed.where(wanted).select("content")
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numFiles").get().value() == 2
+
+
+def test_rule_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("zz[0-9]\n# note\naa[0-9]\r\nmm[0-9]")
+    (tmp_path / "a.txt").write_text("last[0-9]\nfirst[0-9]\n")
+    (tmp_path / "c.json").write_text('[{"name": "Z", "pattern": "z{2}"}, {"name": "A", "pattern": "a{2}", "severity": "low"}]')
+    both = rule_source.read_rule_lines(spark, str(tmp_path)).unionByName(rule_source.read_rule_json(spark, str(tmp_path)))
+    got = rule_source.collect_rules(rule_source.check_rules(both.repartition(7)))
+    assert [r.regex for r in got] == ["last[0-9]", "first[0-9]", "zz[0-9]", "aa[0-9]", "mm[0-9]", "z{2}", "a{2}"]
+
+
+def test_policy_and_ignore_file_make_one_list(spark):
+    policy = spark.createDataFrame([(0, ["x/**", "*.env"], [], "why")], "ord int, paths array<string>, rules array<string>, reason string")
+    lines = spark.createDataFrame([(0, "*.env"), (1, "b/*:R")], "ord int, value string")
+    table = supp.ordered_suppressions(supp.policy_suppressions(policy), supp.parse_suppression_lines(lines))
+    assert [(s.path_glob, s.rule, s.source) for s in supp.collect_suppressions(table)] == [
+        ("x/**", None, "policy"), ("*.env", None, "policy"), ("*.env", None, "ignore-file"), ("b/*", "R", "ignore-file"),
+    ]

@@ -51,7 +51,10 @@ def test_inventory(spark):
     rows = [("a.so", 3, b"abc"), ("x.txt", 3, b"a\x00b"), ("x.zzz", 3, b"a\x00b"), ("x.py", 3_000_000, b""), ("dir.d/README", 2, b"ok"), ("late", 5000, b"a" * 4096 + b"\x00")]
     df = spark.createDataFrame(rows, "p string, n long, c binary").coalesce(1)
     got = [tuple(r[0]) for r in df.select(inventory_class(F.col("p"), F.col("n"), F.col("c"))).collect()]
-    assert got == [("binary", True), ("binary", False), ("binary", True), ("binary", True), ("text", False), ("text", False)]
+    assert got == [("binary", True), ("binary", False), ("binary", True), ("text", False), ("text", False), ("binary", True)]
+    limited = inventory_class(F.col("p"), F.col("n"), F.col("c"), max_bytes=2_097_152, sniff_bytes=4096)
+    got = [tuple(r[0]) for r in df.select(limited).collect()]
+    assert got[3:] == [("binary", True), ("text", False), ("text", False)]
     exts = spark.createDataFrame([("a/.env",), ("b.TAR.gz",), ("x.d/y",)], "p string").coalesce(1).select(extension(F.col("p"))).collect()
     assert [e[0] for e in exts] == ["", ".gz", ""]
 
@@ -95,7 +98,7 @@ def test_text_issues(column):
     texts = ["\n\n## Key in src/a.py:12 is P0\nsee ./b/c.ts and token", "#\nallowed", "x" * 130, "one line"]
     got = column(texts, fn.text_issue(F.col("x")))
     assert got[0].title == "Key in src/a.py:12 is P0" and got[0].labels == ["security", "severity:critical"]
-    assert "- `src/a.py`\n- `./b/c.ts`\n" in got[0].body and got[0].body.startswith("see ./b/c.ts and token\n\n### Referenced Files")
+    assert "- `src/a.py`\n- `./b/c.ts`\n" in got[0].body and got[0].body.startswith("see ./b/c.ts and token\n\nFiles named above:")
     assert got[1].title == fn.UNTITLED and got[1].labels == ["severity:low"] and got[1].body.startswith("allowed\n\n---\n")
     assert got[2].title == "x" * 117 + "..." and got[3].body.startswith("one line\n\n---")
 
