@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, table, text_blocks
+from .common import mixed, saved, table, text_blocks
 
 LENGTH = 50
 GRAM = 16
 HOT = 50_000
-SHARD_BYTES = 32 << 20  # bytes of text for each shard
+SHARD_BYTES = 20 << 20  # bytes of text for each shard of anchors
+FINER = 4  # shards of windows for each shard of anchors
+BLOCK = 1 << 20  # bytes that a task looks at together
 LAST = (1 << 63) - 1  # stands for a null id
 CHUNK = 24_000  # stretches sorted together, whole anchors at a time
 
@@ -105,7 +107,7 @@ def anchor_rows(documents: DataFrame, shards: int) -> DataFrame:
                 batch = whole.slice(at, 8192)
                 docs, versions = batch["doc"].to_numpy(), batch["version"].to_numpy()
                 found = [np.zeros(0, np.uint64)]
-                for lo, _, data, offsets in text_blocks(batch["text"]):
+                for lo, _, data, offsets in text_blocks(batch["text"], BLOCK):
                     anchors = Anchors(data, offsets)
                     found.append(np.unique((anchors.rows + lo).astype(np.uint64) << np.uint64(48) | anchors.keys))
                 pairs = np.concatenate(found)
@@ -184,7 +186,7 @@ def stretches(documents: DataFrame, shards: int) -> DataFrame:
                 docs, versions = batch["doc"].to_numpy(), batch["version"].to_numpy()
                 columns: list[list] = [[] for _ in range(6)]  # key, row, start, windows, source, offset in source
                 sources, base = [], 0
-                for lo, hi, data, offsets in text_blocks(batch["text"]):
+                for lo, hi, data, offsets in text_blocks(batch["text"], BLOCK):
                     anchors = Anchors(data, offsets)
                     hot = np.zeros(len(anchors.keys), bool)
                     keep = np.zeros(len(anchors.keys), bool)
@@ -237,7 +239,7 @@ def packed_stretches(key, doc, version, start, windows, source, alone, text, sha
         marked[single[order]] = doc[single][order] > doc[single][order][head]
     shard = (key % np.uint64(shards)).astype(np.int64)
     shard[marked] = doc[marked] % shards
-    order = np.lexsort((key, marked, shard))
+    order = np.lexsort((marked, shard))  # documents stay together, so their ids compress
     edges = np.searchsorted(shard[order] * 2 + marked[order], np.arange(2 * shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
         own = order[edges[s] : edges[s + 1]]
@@ -315,11 +317,11 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, len
     return repeated
 
 
-MARKS = "doc long, version long, starts binary"
+MARKS = "doc long, version long, runs binary"
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """(doc, version, starts): starts of windows that a smaller document has, as packed int32."""
+    """(doc, version, runs): windows that a smaller document has, as int32 pairs of first start and last start."""
 
     def sort(shard: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
@@ -359,10 +361,14 @@ def marks(rows: DataFrame) -> DataFrame:
         doc, version, start = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((start, version, doc))
         doc, version, start = doc[order], version[order], start[order].astype(np.int32)
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]) if len(doc) else np.zeros(0, int)
-        parts = np.split(start, new[1:]) if len(doc) else []
+        other = np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])][: len(doc)]
+        head = np.flatnonzero(other | np.r_[True, start[1:] != start[:-1] + 1][: len(doc)])
+        runs = np.stack([start[head], start[np.r_[head[1:], len(doc)] - 1]], axis=1) if len(doc) else np.zeros((0, 2), np.int32)
+        new = np.flatnonzero(other[head])
+        parts = np.split(runs, new[1:]) if len(doc) else []
         return pa.table({
-            "doc": pa.array(doc[new]), "version": pa.array(version[new]), "starts": pa.array([p.tobytes() for p in parts], pa.binary()),
+            "doc": pa.array(doc[head[new]]), "version": pa.array(version[head[new]]),
+            "runs": pa.array([p.tobytes() for p in parts], pa.binary()),
         })
 
     return rows.groupBy("shard").applyInArrow(sort, MARKS)
@@ -380,23 +386,24 @@ def deduped(documents: DataFrame, shards: int | None = None, hot: int = HOT) ->
         shards = max(24, int(size // SHARD_BYTES))
     shared = shared_anchors(anchor_rows(rows, shards), hot).groupBy("doc", "version").agg(F.collect_list("keys").alias("shared"))
     dealt = rows.repartition("doc")
-    found = marks(stretches(dealt.join(shared, ["doc", "version"]), shards))
-    found = found.groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))
+    found = marks(stretches(dealt.join(shared, ["doc", "version"]), shards * FINER))
+    found = found.groupBy("doc", "version").agg(F.collect_list("runs").alias("runs"))
     copies = rows.select("doc", "version").groupBy("version").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    copies = rows.select("doc", "version").join(copies.where(c("least") < c("most")), "version").where(c("doc") > c("least"))
+    copies = saved(copies.where(c("least") < c("most")), "copied-texts")  # a plain table: Spark can split the join
+    copies = rows.select("doc", "version").join(copies, "version").where(c("doc") > c("least"))
     copies = copies.select("doc", "version", F.lit(True).alias("copy")).distinct()
     joined = dealt.join(found, ["doc", "version"], "left").join(copies, ["doc", "version"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for content, starts, copy in zip(batch["text"], batch["starts"], batch["copy"], strict=True):
+            for content, runs, copy in zip(batch["text"], batch["runs"], batch["copy"], strict=True):
                 data = content.as_py().encode()
                 removed, spans, kept = 0, 0, data
                 if copy.as_py():
                     removed, spans, kept = (len(data), 1, b"") if len(data) >= LENGTH else (0, 0, data)
-                elif starts.is_valid:
-                    kept, spans = without(data, np.concatenate([np.frombuffer(s, np.int32) for s in starts.as_py()]))
+                elif runs.is_valid:
+                    kept, spans = without(data, np.concatenate([np.frombuffer(r, np.int32) for r in runs.as_py()]))
                     removed = len(data) - len(kept)
                 for name, value in zip(out, (len(data), removed, spans, kept), strict=True):
                     out[name].append(value)
@@ -405,17 +412,17 @@ def deduped(documents: DataFrame, shards: int | None = None, hot: int = HOT) ->
                 {"doc_id": batch["doc"]} | {n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)}
             )
 
-    kept = joined.select("doc", "text", "starts", "copy").mapInArrow(
+    kept = joined.select("doc", "text", "runs", "copy").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     return kept.withColumn("doc_id", F.when(c("doc_id") != LAST, c("doc_id")))
 
 
-def without(data: bytes, starts: np.ndarray) -> tuple[bytes, int]:
-    """What is left of ``data`` without the windows at ``starts``, and the number of maximal runs removed."""
+def without(data: bytes, runs: np.ndarray) -> tuple[bytes, int]:
+    """What is left of ``data`` without the windows of ``runs``, and the number of maximal runs removed."""
     change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
+    np.add.at(change, runs[::2], 1)
+    np.add.at(change, runs[1::2] + LENGTH, -1)
     gone = np.cumsum(change[:-1]) > 0
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), spans
