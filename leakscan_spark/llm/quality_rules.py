@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATOR, Words, labelled_sample, mixed, spans, table, text_blocks
 
-BITS = 12  # buckets per family
+BITS = 11  # buckets per family, as a power of two
 FAMILIES = 3
 SAMPLE = 4_000  # labelled rows a fit may read
 KEEP_FROM = 0.35  # fixed threshold on the calibrated probability of quality 1
@@ -124,13 +124,13 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.a * score + self.b, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on the whole sample; the bias is not shrunk."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over the ``used`` rows; the bias is not shrunk."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = ((p - y) / len(y)).astype(np.float32)
+        e = ((p - y) * used / used.sum()).astype(np.float32)
         g = np.r_[x.T @ e + ridge * w, e.sum()].astype(float)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -153,11 +153,11 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityM
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    w, bias = fit_logistic(x[~held], y[~held], 1e-6, 150)
+    w, bias = fit_logistic(x, y, ~held, 1e-6, 150)
     a, b = 1.0, 0.0
     if held.any():
-        score = (x[held] @ w + bias)[:, None]
-        slope, b = fit_logistic(score / 10, y[held], 1e-3, 300)
+        score = (x @ w + bias)[:, None]
+        slope, b = fit_logistic(score / 10, y, held, 1e-3, 300)
         a = max(float(slope[0]) / 10, 1e-3)
     return QualityModel(w.reshape(FAMILIES, -1), bias, a, b)
 
