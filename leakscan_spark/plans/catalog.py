@@ -50,6 +50,13 @@ def planted_findings(spark: SparkSession, sf: str) -> DataFrame:
     return scan_files(inputs.planted(spark, sf).select("file", "text"))
 
 
+def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings as a step of their own: scanned once, read as often as a query needs."""
+    path = f"{shared_dir(spark, 'findings')}/found"
+    planted_findings(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _external(findings: DataFrame) -> DataFrame:
     """Another engine's report on the cloud and code-host keys of the same files."""
     f = F.col
@@ -153,7 +160,7 @@ def ignored_files(spark, sf):
 
 
 def engine_union(spark, sf):
-    found = planted_findings(spark, sf)
+    found = stored_findings(spark, sf)
     merged = triage.union_engines(_external(found), found)
     return merged.select(*FINDING, F.array_join("engines", ",").alias("engines"))
 
@@ -163,7 +170,7 @@ def external_report(spark, sf):
 
 
 def baseline_filter(spark, sf):
-    found = planted_findings(spark, sf)
+    found = stored_findings(spark, sf)
     return triage.apply_baseline(found, _baseline(found)).select(*FINDING)
 
 
@@ -403,10 +410,7 @@ def vulnerability_drafts(spark, sf):
 
 
 def issue_dedup(spark, sf):
-    # The findings are a step of their own: written once, read as drafts and as the issues already open.
-    path = f"{shared_dir(spark, 'findings')}/found"
-    planted_findings(spark, sf).select("file", "rule", "severity", "description", "line", "redacted").write.parquet(path)
-    found = spark.read.parquet(path)
+    found = stored_findings(spark, sf)
     opened = issues.drafts_from_findings(found.where(F.col("line") == 2)).select("body")
     return issues.drop_open(issues.drafts_from_findings(found), opened).select("title", "fingerprint")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,34 +156,52 @@ def baseline_entries(findings: DataFrame, added_at: Column) -> DataFrame:
 BASELINE_SCHEMA = "file string, line int, pattern string, added_at timestamp, created timestamp"
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a baseline, oldest first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    done = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(int(x.getPath().getParent().getName().removeprefix("version=")) for x in done)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest finished version; none is an empty baseline."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], BASELINE_SCHEMA)
+    return spark.read.schema(BASELINE_SCHEMA).parquet(f"{path}/version={versions[-1]}")
+
+
+def _replace(entries: DataFrame, path: str) -> None:
+    """Write a new version beside the one in use, which a failed write leaves as it was."""
+    version = max([0, *_versions(entries.sparkSession, path)]) + 1
+    entries.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
 def _created(spark: SparkSession, path: str):
     """When the baseline at ``path`` was first made, or None."""
-    try:
-        return spark.read.schema(BASELINE_SCHEMA).parquet(path).agg(F.min("created")).first()[0]
-    except AnalysisException:
-        return None
+    return _stored(spark, path).agg(F.min("created")).first()[0]
 
 
 def create_baseline(findings: DataFrame, path: str, added_at: Column | None = None) -> None:
     """Replace a baseline with all current findings; the first creation time stays."""
     now = F.current_timestamp() if added_at is None else added_at
     first = F.coalesce(F.lit(_created(findings.sparkSession, path)).cast("timestamp"), now)
-    entries = baseline_entries(findings, now).withColumn("created", first)
-    entries.write.mode("overwrite").parquet(path)
+    _replace(baseline_entries(findings, now).withColumn("created", first), path)
 
 
 def add_to_baseline(entries: DataFrame, path: str) -> None:
-    """Append (file, line, pattern, added_at) entries as they are."""
-    first = F.coalesce(F.lit(_created(entries.sparkSession, path)).cast("timestamp"), F.col("added_at"))
-    entries.withColumn("created", first).write.mode("append").parquet(path)
+    """Add (file, line, pattern, added_at) entries as they are."""
+    spark = entries.sparkSession
+    first = F.coalesce(F.lit(_created(spark, path)).cast("timestamp"), F.col("added_at"))
+    _replace(_stored(spark, path).unionByName(entries.withColumn("created", first)), path)
 
 
 def clear_baseline(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], BASELINE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    _replace(spark.createDataFrame([], BASELINE_SCHEMA).coalesce(1), path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BASELINE_SCHEMA).parquet(path).drop("created")
+    return _stored(spark, path).drop("created")
 
 
 def show_baseline(entries: DataFrame) -> DataFrame:
