@@ -10,8 +10,9 @@ at least ``T`` coordinates (all but ``MISSED`` of them), so:
 * Merge: in a posting list of up to ``SHORT`` sets all pairs meet, their
   agreements are counted over the whole signatures, and pairs with T or more
   are confirmed on full shingle sets.
-* Skip: a longer list is never paired. Its most central member is the list's
-  hub, and the others are compared with the hub alone. Two members can be
+* Skip: a longer list is never paired. It falls into bands of similar set
+  sizes; a band's most central member is its hub, and the others are compared
+  with the hub alone. Two members can be
   linked without both being linked to the hub only if they share enough of
   what sets them apart from it: for sets A, B with differences D from the hub,
   |A ^ B| = |D(A) ^ D(B)|. So the differences are posted, rarest first, under
@@ -30,8 +31,8 @@ id are linked with nothing and have no component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def least_agreement(percent: int, coordinates: int = COORDINATES, missed: float
     """The most agreements that all but ``missed`` of the pairs at the similarity reach."""
     s, below = percent / 100, 0.0
     for t in range(coordinates + 1):
-        below += comb(coordinates, t) * s**t * (1 - s) ** (coordinates - t)
+        below += math.comb(coordinates, t) * s**t * (1 - s) ** (coordinates - t)
         if below > missed:
             return max(1, t)
     return coordinates
@@ -125,21 +126,28 @@ def postings(nodes: DataFrame, least: int) -> DataFrame:
     )
 
 
-def candidates(posted: DataFrame, nodes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def candidates(posted: DataFrame, nodes: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of short lists that agree often enough, and (hub, member) pairs of long lists."""
     c = F.col
     lists = posted.groupBy("token").agg(
-        F.count("*").alias("n"), F.max(F.struct("center", (-c("node")).alias("node"))).alias("top")
+        F.count("*").alias("n")
     )
-    short = posted.join(lists.where((c("n") > 1) & (c("n") <= SHORT)).select("token"), "token").select("token", "node")
+    lists = saved(lists.where(c("n") > 1), "lists")  # a plain table: Spark can then split the long lists' joins
+    short = posted.join(lists.where(c("n") <= SHORT).select("token"), "token").select("token", "node")
     met = short.alias("x").join(short.alias("y"), "token").where(c("x.node") < c("y.node"))
     met = met.select(c("x.node").alias("a"), c("y.node").alias("b")).distinct()
     left = nodes.select(c("node").alias("a"), c("sig").alias("sa"))
     right = nodes.select(c("node").alias("b"), c("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     pairs = met.join(left, "a").join(right, "b").where(agree >= least).select("a", "b")
-    hubs = lists.where(c("n") > SHORT).select("token", (-c("top.node")).alias("a"))
-    stars = posted.join(hubs, "token").select("a", c("node").alias("b")).where("a != b").distinct()
+    # Linked sets are alike in size, so a long list falls into bands of sizes, each set in two neighbouring ones.
+    band = F.floor(F.log("size") / math.log(100 / percent)).cast("int")
+    long = posted.join(lists.where(c("n") > SHORT).select("token"), "token").join(nodes.select("node", "size"), "node")
+    long = saved(long.select("token", "node", "center", F.explode(F.array(band, band + 1)).alias("band")), "long-lists")
+    hubs = saved(
+        long.groupBy("token", "band").agg(F.max(F.struct("center", (-c("node")).alias("node"))).alias("top")), "hubs"
+    ).select("token", "band", (-c("top.node")).alias("a"))
+    stars = long.join(hubs, ["token", "band"]).select("a", c("node").alias("b")).where("a != b").distinct()
     return pairs, stars
 
 
@@ -199,6 +207,8 @@ def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
     )
     member = member.withColumn("stray", 100 * c("d") > q * (c("h") + c("new")))
     member = member.withColumn("near", 100 * c("d") <= 2 * q * (c("h") + c("new")))
+    unsettled = member.where("stray").select("hub").distinct()  # without a stray, the hub implies every link
+    member = member.join(unsettled, "hub", "left_semi")
     element = member.select("hub", "node", F.explode("apart").alias("element"))
     often = element.groupBy("hub", "element").agg(F.count("*").alias("c")).where("c > 1")
     shared = element.join(often, ["hub", "element"]).groupBy("hub", "node").agg(
@@ -208,6 +218,7 @@ def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
         "*", F.posexplode("held").alias("j", "e")
     ).select(
         "hub", "node", "d", "new", "h", "stray", "near", c("e.element").alias("element"),
+        F.get("held", c("j") - 1)["element"].alias("before"),
         (F.size("held") - c("j")).cast("long").alias("rest"), (c("d") - F.size("held") + c("j")).alias("place"),
     )
     overlap = F.floor((100 * c("d") - q * c("new")) / 200) + 1
@@ -217,6 +228,7 @@ def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
     need = 100 * (c("x.d") + c("y.d")) - q * (c("x.h") + c("x.new") + c("y.new"))
     wanted = F.when(c("y.stray"), c("x.brief") & (c("x.node") < c("y.node"))).otherwise(c("x.near"))
     met = one.join(two, (c("x.hub") == c("y.hub")) & (c("x.element") == c("y.element")) & wanted
+                   & ~F.coalesce(c("x.before") == c("y.before"), F.lit(False))  # met there already
                    & (200 * F.least("x.rest", "y.rest") >= need))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -231,7 +243,7 @@ def clusters(documents: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
         sets.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets"
     )
     posted = saved(postings(nodes.select("node", "sig"), least), "postings")
-    pairs, stars = candidates(posted, nodes.select("node", "sig"), least)
+    pairs, stars = candidates(posted, nodes.select("node", "sig", c("n_shingles").alias("size")), least, percent)
     both = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
     met = saved(both, "candidates")
     wanted = posted.select(c("node").alias("doc_id")).distinct()
