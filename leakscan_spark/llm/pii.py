@@ -209,10 +209,9 @@ def sample_islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fit(documents: DataFrame, most: int = SAMPLE, steps: int = 30) -> np.ndarray:
     """Weights (types and outside, features) from at most ``most`` distinct islands."""
-    picked = (
-        documents.where(F.col("text").rlike("[0-9@]"))
-        .select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS)
-    )
+    held = documents.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+    bound = held.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]  # hashes move, not texts
+    picked = held.where(F.col("h") <= F.lit(bound).cast("long"))
     rows = picked.select("text").mapInArrow(sample_islands, "island binary").distinct()
     rows = [bytes(r[0]) for r in rows.orderBy(F.xxhash64("island"), "island").limit(most).collect()]
     known = [(Island(i), g) for i in rows if (g := gold_of(i)) is not None]
