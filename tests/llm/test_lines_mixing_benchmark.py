@@ -180,6 +180,47 @@ def test_contaminated_documents_are_found(spark, documents, prose, monkeypatch):
     assert found() == want
 
 
+EDITS = {
+    "third": lambda w: ["changed" if k % 3 == 2 else x for k, x in enumerate(w)],
+    "fourth": lambda w: ["changed" if k % 4 == 3 else x for k, x in enumerate(w)],
+    "fifth": lambda w: ["changed" if k % 5 == 4 else x for k, x in enumerate(w)],
+    "dropped": lambda w: [x for k, x in enumerate(w) if k % 4 < 3],
+    "added": lambda w: [y for k, x in enumerate(w) for y in ((x, "more") if k % 3 else (x,))],
+    "half": lambda w: w[: len(w) // 2],
+}
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_edited_copies_of_an_item_that_leaked_widely_are_found(spark, documents, prose, name):
+    item = prose(901, 40)
+    edited = " ".join(EDITS[name](item.split(" ")))
+    rows = [(i, f"{prose(i, 9)} {item} {prose(500 + i, 9)}") for i in range(200)]
+    rows += [(1000 + i, f"{prose(i, 30)} {edited} {prose(500 + i, 30)}") for i in range(100)]
+    rows += [(2000 + i, prose(3000 + i, 100)) for i in range(50)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"] for r in decontaminate.matches(documents(rows), benchmark).collect()}
+    assert got == {d for d, _ in rows if d < 2000}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_matches_are_all_alignments(spark, documents, least):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    draw = lambda n: rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=n)
+    items = [(i, " ".join(draw(rng.randrange(3, 30)))) for i in range(20)]
+    rows = []
+    for d in range(150):
+        words = draw(rng.randrange(0, 80))
+        for x in rng.choice(items)[1].split(" ") if d % 3 else ():
+            words += [] if rng.random() < 0.1 else [rng.choice(vocabulary) if rng.random() < 0.2 else x] + draw(rng.random() < 0.15)
+        rows.append((d, " ".join(words + draw(rng.randrange(0, 20)))))
+    hashed = lambda t: np.array([hash(w) for w in t.split(" ") if w], np.int64)
+    want = {(d, i): plain_alignment(hashed(x), hashed(t)) / (2 * len(x.split(" "))) for d, t in rows for i, x in items}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(documents(rows), benchmark, least).collect()}
+    assert got == {k: s for k, s in want.items() if s >= least} and len(got) > 25
+
+
 def test_empty_benchmark_and_documents(spark, documents):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     df = documents([(1, "some text here")])
