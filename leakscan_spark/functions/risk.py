@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import any_of, stripped
+from .columns import any_of, let, stripped
 from .rules import compiles
 
 # The risk patterns of each tier, in order.
@@ -67,28 +67,81 @@ class CommandPolicy:
     approval: Sequence[str] = field(default=DEFAULT_APPROVAL_PATTERNS)
 
 
-# A word that cannot run anything: quoted without substitutions, or bare.
-_QUOTED = r"""(?:'[^']*'|"(?:[^"\\\\$`]|\\\\.)*")"""
-_BARE = r"""[^\s;&|<>"'$`()]+"""
-# Where a command starts: at the front, after an operator, or in the text given to -c.
-_START = r"""(^\s*|[;&|(]\s*|\s-c\s+["'])"""
-_PRINTED = _START + rf"((?:\S*/)?(?:echo|printf|e?grep|fgrep|rg|ag|ack)\b)(?:\s+(?:{_QUOTED}|{_BARE}))+"
-_NOTED = rf"(\s(?:-m|--message|--body|--title|--notes|--description|-d|--data))(?:\s+|=){_QUOTED}"
-_TITLED = _START + rf"(bd\s+(?:new|create|q))\s+{_QUOTED}"
+# Marks that only stand while a command is read: a border between commands, and words taken out.
+_BORDER, _GONE = "\ue000", "\ue001"
+# Any quoted text; one without substitutions; and a word without any. None crosses a border.
+_ANY_QUOTED = rf"""'[^'{_BORDER}]*+'|"[^"\\{_BORDER}]*+(?:\\.[^"\\{_BORDER}]*+)*+\""""
+_SINGLE, _DOUBLE = rf"[^'{_BORDER}]*+", rf"""(?:[^"\\$`{_BORDER}]++|\\.|\$(?!\())*+"""
+_QUOTED = rf"""(?:'{_SINGLE}'|"{_DOUBLE}")"""
+_WORD = rf"""(?:[^\s;&|<>()"'$`\\{_BORDER}]++|\\.|{_QUOTED}|\$(?!\(|\z))++"""
+# Whatever else stands in a command, a piece at a time, so that no search begins inside a quoted text.
+_OTHER = rf"""(?:[<>]\s*+(?:{_WORD})?|{_ANY_QUOTED}|\\.|[^\s"'\\<>]++|.)"""
+_SEGMENT = rf"""(?s)(?:[^;&|()`"'\\{_BORDER}]++|\\.|{_ANY_QUOTED}|["'\\])++|[;&|()`{_BORDER}]"""
+# What may stand before the name of a command, and names and flags by what becomes of their arguments.
+_WRAPPERS = "sudo|doas|env|nohup|timeout|nice|ionice|time|watch|setsid|stdbuf|chrt|command"
+_PREFIX = (
+    rf"""(?:(?:[A-Za-z_]\w*=[^\s"'$`]*+|(?:[^\s"']*/)?(?:{_WRAPPERS})(?:\s+(?:-[^\s"']*+|\d+[a-z]*+)(?=\s))*+)\s+)*+"""
+)
+_HEAD = rf"(?is)^\s*+{_PREFIX}(?:{_WORD})?"
+_PRINTS = r"(?i)(?:^|[\s/])(?:echo|printf|e?grep|fgrep|rg|ag|ack)$"
+_EVALUATES = r"(?i)(?:^|[\s/])(?:eval|exec|ssh|sshpass|xargs)$"
+_SHELL = r"(?:^|\s)(?:\S*/)?(?:bash|sh|zsh|dash|ksh|ash|fish|su)(?=\s|$)"
+_CARRIES = rf"(?i){_SHELL}|\s(?:-c|-e|--command|--execute|--eval|-exec|--exec)(?=\s|$)"
+_SCRIPT = rf"(?is){_SHELL}.*\s-[a-z]*c(?=\s|$)"
+_LONG = "--(?:message|body|body-text|title|description|reason|notes|subject|comment|annotation)"
+_FLAG = rf"\s(?:-m|{_LONG})\s+"
+_NOTED = rf"(?is)\G((?:(?!{_FLAG}{_WORD}){_OTHER})*+)({_FLAG}){_WORD}"
+_NOTED_IN = rf"(?is)\G((?:(?!\s{_LONG}=){_OTHER})*+)(\s{_LONG})=(?:{_WORD})?"
+# A word whose first quoted part has white space in it; else a piece to keep.
+_PROSE = (
+    r"""(?s)(?<=\s)(?=[^\s;&|<>()"'`]*+(?:'[^'\s]*+\s[^']*+'|"[^"\s]*+\s[^"]*+"))"""
+    rf"""{_WORD}|({_OTHER})"""
+)
+_TEXT = rf"""(?s)'({_SINGLE})'|"({_DOUBLE})"|({_ANY_QUOTED}|\\.)"""
+_PRINTED = rf"(?s)^(?:\s+{_WORD})+"
+_PRINTED_INSIDE = rf"(?s)((?:\$\(|`)\s*(?:\S*/)?(?:echo|printf|e?grep|fgrep|rg|ag|ack))(?:\s+{_WORD})+"
+DEPTH = 4  # texts inside texts that are read as commands of their own
+
+
+def _segment_view(segment: Column) -> Column:
+    """One command of a chain, with data taken out and texts that it runs set between borders."""
+
+    def viewed(head: Column) -> Column:
+        rest = F.substring(segment, F.length(head) + 1, F.length(segment))
+        name = F.regexp_replace(head, "[\"']", "")
+        bare = F.regexp_replace(segment, rf"(?s){_ANY_QUOTED}|\\.", "_")
+        noted = F.regexp_replace(F.regexp_replace(rest, _NOTED, f"$1$2{_GONE}"), _NOTED_IN, f"$1$2{_GONE}")
+        shown = F.regexp_replace(noted, _TEXT, f"{_BORDER}$1$2$3{_BORDER}")
+        return F.concat(
+            name,
+            F.when(name.rlike(_PRINTS) & ~bare.rlike(_SCRIPT), F.regexp_replace(rest, _PRINTED, f" {_GONE}"))
+            .when(bare.rlike(_CARRIES) | name.rlike(_EVALUATES), F.regexp_replace(shown, r"""\\(["'\\])""", "$1"))
+            .otherwise(F.regexp_replace(noted, _PROSE, "$1")),
+        )
+
+    return let(F.regexp_extract(segment, _HEAD, 0), viewed)
+
+
+def _view(command: Column) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(command, F.lit(_SEGMENT), F.lit(0)), _segment_view), "")
 
 
 def without_prose(command: Column) -> Column:
     """The command with what is only printed, searched for or noted taken out, and without quotes.
 
-    Words given to printing and searching commands and the quoted values of
-    message-like options are data. A double-quoted text with a substitution in
-    it runs something, so it stays, and the substitution shows as plain words.
+    Words given to printing and searching commands, values of message-like flags
+    and quoted texts of several words are data, unless the command runs them: a
+    shell, an evaluating command or flag. Such texts are read again as commands,
+    up to ``DEPTH`` times. A double-quoted text with a substitution in it runs
+    something, so it stays, and the substitution shows as plain words.
     """
-    noted = F.regexp_replace(command, _NOTED, "$1 ")
-    titled = F.regexp_replace(noted, _TITLED, "$1$2 ")
-    printed = F.regexp_replace(titled, _PRINTED, "$1$2 ")
-    run = F.regexp_replace(printed, r"\$\(([^()]*)\)", " $1 ")
-    return F.translate(F.regexp_replace(run, "[\"']", ""), "`", " ")
+    view = _view(command)
+    for _ in range(DEPTH):
+        view = let(view, lambda v: F.when(v.contains(_BORDER), _view(v)).otherwise(v))
+    run = F.regexp_replace(view, _PRINTED_INSIDE, "$1 ")
+    for _ in range(DEPTH):
+        run = F.regexp_replace(run, r"\$\(([^()]*)\)", " $1 ")
+    return F.translate(F.regexp_replace(run, f"[\"'{_BORDER}{_GONE}]", ""), "`", " ")
 
 
 def _hit(command: Column, pattern: str) -> Column:

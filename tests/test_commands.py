@@ -50,6 +50,48 @@ def test_views(column, command, view):
     assert column([command], without_prose(F.col("x"))) == [view]
 
 
+ARGUMENTS = {
+    "critical": [
+        'ssh host -d "rm -rf /"', 'ssh host "rm -rf /" --data x', "git commit -m x; rm -rf /", "bash -c 'git commit -m x' && rm -rf '/'",
+        "ssh h \"it's\" ; rm -rf / ; ssh h \"it's\"", 'sudo -n bash -lc "cd x; rm -rf /"', 'echo bash -c "rm -rf /"', "git commit -m $(rm -rf /)",
+        'bash -c "sh -c \\"rm -rf /\\""', 'watch -n 5 "rm -rf /"', 'sudo r"m -rf /"', "find . -exec sh -c 'rm -rf /' ;", 'eval "rm -rf /"',
+        "env A=1 'rm' -rf /", 'tool "x -m y" rm -rf "/"', 'tool "$(y) a" rm -rf "/" "z z"', "tool > 'a b' rm -rf '/' 'x y'", 'git log --grep "a b" | ssh h "rm -rf /etc"', "bash -c \"bash -c 'ssh h \\\"rm -rf /\\\"'\"",
+    ],
+    "medium": ['sudo grep -rn "rm -rf /" src', 'sudo -n timeout 5 grep "rm -rf /" x', 'sudo tool "rm -rf / in prose"'],
+    "low": [
+        "git commit -m mkfs", "git commit --message=mkfs", "A=1 env B=2 nice -n 15 grep 'rm -rf /' x", 'tool new "hook blocks rm -rf / in prose"',
+        'bash -c "git commit -m \'rm -rf /\'"', "sh -c 'grep \"rm -rf /\" x'", 'notify "deploy; rm -rf /" now', 'x "$(grep \'rm -rf /\' f)"',
+        *(f"t {f}{by}mkfs" for f in ("--reason", "--subject", "--comment", "--annotation", "--body-text", "--MESSAGE", "--notes") for by in " ="),
+    ],
+}
+
+
+def test_arguments(spark):
+    rows = [(c, t) for t, cs in ARGUMENTS.items() for c in cs]
+    df = spark.createDataFrame(rows, "command string, want string")
+    assert commands.assess(df).where("risk <> want").select("command", "sanitised", "risk", "want").collect() == []
+
+
+@pytest.mark.parametrize("command,view", [
+    ("env A=1 sudo -u 5 'rm' x", "env A=1 sudo -u 5 rm x"), ("tool --title=abc", "tool --title"), ("tool > 'a b' 'c d' e", "tool > a b  e"),
+    ("git commit -m x -a", "git commit -m  -a"), ("sudo echo hi", "sudo echo "),
+])
+def test_views_of_arguments(column, command, view):
+    assert column([command], without_prose(F.col("x"))) == [view]
+
+
+def test_nesting_ends(column):
+    deep = "rm -rf /"
+    for _ in range(12):
+        deep = "run $(" + deep + ")"
+    assert "rm -rf /" in column([deep], without_prose(F.col("x")))[0]
+
+
+def test_long_commands_are_read(column):
+    long = "run " + "'a' \"b c\" \\x " * 3000 + "; rm -rf /"
+    assert "; rm -rf /" in column([long, None], without_prose(F.col("x")))[0]
+
+
 def test_policies(spark):
     df = spark.createDataFrame([("rm -rf /",), ("npm publish",), ("make (all)",), ("git push --force",), ("ls",), ("git commit -m 'npm publish now'",)], "command string")
     policy = CommandPolicy("approve-dangerous", ("npm publish", "MAKE ("), ("^ls$",))
