@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mixed, saved, table, text_blocks, utf8
+from .common import Words, blocks, mixed, saved, table, text_blocks, unused, utf8
 from .components import components
 
 COORDINATES = 32
@@ -78,8 +78,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return keys[order], grams[at][order], rows[at][order]
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, t, text): an id may have several texts, so the text's hash goes with it."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
 def signatures(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, sig): set size, set hash and minima of every row; no sig for an empty set."""
+    """(doc_id, t, n_shingles, hi, lo, sig): the text's hash, set size, set hash and minima of every row; no sig for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,13 +104,12 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
                 ends = np.zeros(hi - lo + 1, np.int32)
                 ends[1:] = np.cumsum(sizes > 0) * COORDINATES
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch["doc_id"][lo:hi], "n_shingles": pa.array(sizes.astype(np.int64)),
+                    "doc_id": batch["doc_id"][lo:hi], "t": batch["t"][lo:hi], "n_shingles": pa.array(sizes.astype(np.int64)),
                     "hi": pa.array(sums[0].view(np.int64)), "lo": pa.array(sums[1].view(np.int64)),
                     "sig": pa.ListArray.from_arrays(pa.array(ends), pa.array(minima.ravel())),
                 })
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sig array<int>")
+    return keyed(documents).mapInArrow(sign, "doc_id long, t long, n_shingles long, hi long, lo long, sig array<int>")
 
 
 def postings(nodes: DataFrame, least: int) -> DataFrame:
@@ -233,44 +237,57 @@ def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def clusters(documents: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def grouped(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, kept) of every row.
+
+    A set's node is its smallest id, or a hash of id and text where that id has
+    several texts, which may be in several sets.
+    """
     c = F.col
     least = least_agreement(percent)
     signed = saved(signatures(documents, n), "signatures")
     sets = signed.where((c("n_shingles") > 0) & c("doc_id").isNotNull())
-    nodes = saved(
-        sets.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "sets"
-    )
+    several = sets.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b")
+    owned = sets.groupBy("hi", "lo", "n_shingles").agg(F.min(F.struct("doc_id", "t")).alias("owner"), F.first("sig").alias("sig"))
+    marked = owned.join(several.select(c("doc_id").alias("shared")), c("owner.doc_id") == c("shared"), "left")
+    node = F.when(c("shared").isNull(), c("owner.doc_id")).otherwise(F.xxhash64("owner.doc_id", "owner.t"))
+    nodes = saved(marked.select("hi", "lo", "n_shingles", node.alias("node"), "owner", "sig"), "sets")
     posted = saved(postings(nodes.select("node", "sig"), least), "postings")
     pairs, stars = candidates(posted, nodes.select("node", "sig", c("n_shingles").alias("size")), least, percent)
     both = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
     met = saved(both, "candidates")
-    wanted = posted.select(c("node").alias("doc_id")).distinct()
-    texts = documents.select(c("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = saved(texts.groupBy(c("doc_id").alias("node")).agg(F.min("text").alias("text")), "candidate-texts")
+    wanted = posted.select("node").distinct().join(nodes.select("node", "owner.*"), "node")
+    texts = keyed(documents).join(wanted, ["doc_id", "t"])
+    texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
     first = saved(confirmed(met, texts, n), "confirmed")
     apart = apart_pairs(first.where("star"), percent).withColumn("star", F.lit(False))
     second = confirmed(apart, texts, n)
     links = saved(linked(first, percent).select("a", "b").unionByName(linked(second, percent).select("a", "b")), "links")
     labels = components(links)
-    classes = nodes.select("hi", "lo", "n_shingles", "node")
-    joined = signed.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
-    joined = joined.join(labels, "node", "left")
-    component = F.when(c("n_shingles") > 0, F.coalesce("label", "node")).otherwise(c("doc_id"))
-    component = F.when(c("doc_id").isNotNull(), component)
-    return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(c("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    named = labels.join(nodes.select("node", "owner"), "node")
+    smallest = named.groupBy("label").agg(F.min("owner").alias("smallest"))
+    labelled = named.select("node", "label").join(smallest, "label").select("node", "smallest")
+    classes = nodes.select("hi", "lo", "n_shingles", "node", "owner")
+    joined = signed.select("doc_id", "t", "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
+    joined = joined.join(labelled, "node", "left")
+    member = (c("n_shingles") > 0) & c("doc_id").isNotNull()
+    own = F.struct("doc_id", "t")
+    head = F.when(member, F.coalesce("smallest", "owner")).otherwise(own)
+    return joined.select("doc_id", "t", "n_shingles", head["doc_id"].alias("component_id"), (head == own).alias("kept"))
+
+
+def clusters(documents: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return grouped(documents, n, percent).drop("t")
 
 
 def representatives(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` whose id names its group; repeated rows of one id stay once."""
-    gone = clusters(documents, n, percent).where(~F.col("kept")).select("doc_id").distinct()
-    rows = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(rows.where(F.col("doc_id").isNull()))
+    """The rows of ``documents`` that name their group; rows alike in id and text stay once."""
+    t = unused("text_hash", documents)
+    gone = grouped(documents, n, percent).where(~F.col("kept")).select("doc_id", F.col("t").alias(t)).distinct()
+    rows = documents.withColumn(t, F.xxhash64("text")).join(gone, ["doc_id", t], "left_anti")
+    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", t])
+    return named.unionByName(rows.where(F.col("doc_id").isNull())).select(*documents.columns)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,13 @@ def test_window_order_puts_equal_windows_together():
         assert sorted(order.tolist()) == starts.tolist()
         windows = [text[i : i + 10].tobytes() for i in order]
         assert windows == sorted(windows)
+
+
+def test_one_id_with_several_texts(documents, prose):
+    a, b, c, d = (prose(9000 + i, 60) for i in range(4))
+    rows = [(3, a), (7, a + " more"), (7, b), (7, c), (7, c), (9, c + " more"), (5, d), (5, d + " more"), (8, "two words"), (8, "other words")]
+    df = documents(rows)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.clusters(df).where("n_shingles > 0").collect()}
+    assert got == {(3, 3, True), (7, 3, False), (7, 7, True), (9, 7, False), (5, 5, True), (5, 5, False), (8, 8, True)}
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.representatives(df, 3, 85).collect()]
+    assert len(kept) == 6 and {(3, a), (7, b), (7, c), (8, "two words"), (8, "other words")} < set(kept)
