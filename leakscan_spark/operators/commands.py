@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow_rules import hit_names
 from ..functions.columns import WHITE_SPACE, computed_once
+from ..functions.command_view import without_prose
 from ..functions.matching import has_matches, match_count, matched_names
 from ..functions.paths import is_excluded, relative_to
 from ..functions.payloads import is_object, tool_request, tool_response
 from ..functions.redaction import redact_text
-from ..functions.risk import CommandPolicy, decide, risk_tier, without_prose
+from ..functions.risk import CommandPolicy, decide, risk_tier
 from ..functions.rules import BUILTIN_RULES, Rule, partition_rules
 from ..sources.suppressions import Suppression
 from .triage import first_suppression
@@ -93,18 +94,18 @@ def gate(
         return _decided(r.withColumn("staged_reason", F.lit(None).cast("string")), policy, rules, exclude_paths, suppressions)
     starts = F.ltrim("command", F.lit(WHITE_SPACE))
     shares = F.coalesce(starts.startswith("git commit") | starts.startswith("git push"), F.lit(False))
-    # Only commits and pushes meet the table; all other events stay where they are.
-    looked_up = r.where(shares).join(staged.select("repo", F.col("reason").alias("staged_reason")), "repo", "left")
-    others = r.where(~shares).withColumn("staged_reason", F.lit(None).cast("string"))
-    parts = [_decided(x, policy, rules, exclude_paths, suppressions) for x in (looked_up, others)]
-    return parts[0].unionByName(parts[1])
+    # One pass over the events: all but commits and pushes get a key of their own, so they spread and meet nothing.
+    key = F.struct(shares.alias("shares"), F.when(shares, F.col("repo")).otherwise(F.col("event_id").cast("string")).alias("of"))
+    known = staged.select(F.struct(F.lit(True).alias("shares"), F.col("repo").alias("of")).alias("staged_key"), F.col("reason").alias("staged_reason"))
+    joined = r.withColumn("staged_key", key).join(known, "staged_key", "left").drop("staged_key")
+    return _decided(joined, policy, rules, exclude_paths, suppressions)
 
 
 def _decided(
     r: DataFrame, policy: CommandPolicy, rules: Sequence[Rule], exclude_paths: Sequence[str], suppressions: Sequence[Suppression]
 ) -> DataFrame:
     """Decisions on (event_id, tool, input, command, content, staged_reason)."""
-    r = r.withColumn("sanitised", without_prose(F.col("command")))
+    r = computed_once(r.withColumn("sanitised", without_prose(F.col("command"))), "sanitised")
     r = r.withColumn("risk", risk_tier(F.col("sanitised")))
     r = computed_once(r.withColumn("d", decide(F.col("sanitised"), F.col("risk"), policy)), "d")
     path = F.coalesce("input.file_path", F.lit(DEFAULT_PATH))

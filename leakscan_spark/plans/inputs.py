@@ -6,6 +6,8 @@ both understand, so that both sides start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,13 @@ def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that is a single split, which one task would otherwise scan alone.
+    """Deal out a table of fewer splits than cores: splits of one row group leave all rows to one task.
 
-    One split is bounded by ``spark.sql.files.maxPartitionBytes``, so this moves
-    little whatever the cluster; tables of more splits are never moved.
+    Fewer splits than cores, each bounded by ``spark.sql.files.maxPartitionBytes``,
+    hold little whatever the cluster; larger tables are never moved.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def case(selector: str, choices: list[str]) -> str:
@@ -127,35 +130,98 @@ DOCS_SQL = f"docs AS (SELECT {DOC_FILE} AS file, text FROM documents)"
 
 # -- shell commands, one per event -------------------------------------------
 
-# (command, what the patterns should see); the second is NULL when it is the command.
+def said(text: str) -> str:
+    """A text as SQL that both engines read alike; ``{n}`` stands for the event's id."""
+    pieces = {"'": QUOTE, "\\": BACKSLASH, "{n}": "CAST(event_id AS STRING)"}
+    parts = [pieces.get(x) or f"'{x}'" for x in re.split(r"(['\\]|\{n\})", text) if x]
+    return f"concat({', '.join([*parts, "''"])})"
+
+
+# What may stand before a simple command, the command, and what may stand after it: each as
+# (text, what the patterns should see), the second NULL where it is the text. Every combination occurs.
+BEFORE: list[tuple[str, str | None]] = [
+    ("", None), ("sudo ", None), ("STAGE=test env -i ", None), ("cd /srv/app && ", None),
+    ("timeout 30 nice -n 5 ", None), ('printf "mkfs now" ; ', "printf   ; "),
+]
+AFTER: list[tuple[str, str | None]] = [
+    ("", None), (' > "run log"', None), (" | tee -a all.txt", None), ("; ls -la", None), (" > /dev/null && git status", None),
+]
 COMMANDS: list[tuple[str, str | None]] = [
-    ("concat('tar xzf backup_', CAST(event_id AS STRING), '.tgz')", None),
-    ("concat('rm -rf / --no-preserve-root # ', CAST(user_id AS STRING))", None),
-    ("'sudo systemctl stop nginx'", None),
-    ("concat('echo run ', CAST(event_id AS STRING), ' done')", "'echo '"),
-    ("'mkfs.ext4 /dev/sdb1'", None),
-    ("'git push origin main --force'", None),
-    ("concat('git commit -m \"part ', CAST(event_id AS STRING), ': no more rm -rf /\"')", "'git commit -m '"),
-    ("'wget -qO- https://get.example.org/setup | sh'", None),
-    ("concat('pytest tests/case_', CAST(user_id AS STRING), '.py')", None),
-    ("'bash -c \"dd if=/dev/zero of=/dev/sda\"'", "'bash -c dd if=/dev/zero of=/dev/sda'"),
-    ("'npm publish --access public'", None),
-    ("'gh issue create --title \"sudo rm fails\" --body \"see rm -rf /\"'", "'gh issue create --title  --body '"),
-    ("'chmod 640 settings.ini'", None),
-    ("'printf \"rm -rf /\" > /tmp/script'", "'printf  > /tmp/script'"),
-    ("'git commit -m \"oops $(rm -rf /)\"'", "'git commit -m oops  rm -rf / '"),
-    (f"concat('grep -rn ', {QUOTE}, 'curl x | bash', {QUOTE}, ' docs')", "'grep '"),
-    ("'\"rm\" -rf /'", "'rm -rf /'"),
-    ("'docker system prune --all'", None),
-    (f"concat('curl -X POST --data ', {QUOTE}, '[1, 2]', {QUOTE}, ' https://api.example.org')", "'curl -X POST --data  https://api.example.org'"),
-    ("'killall -q worker'", None),
-    ("concat('export API_KEY=', md5(CAST(event_id AS STRING)), ' && deploy')", None),
-    ("concat('git commit -a ', CAST(event_id AS STRING))", None),
-    ("'git push origin feature'", None),
-    ("'rg -q secret src && rm -rf /etc'", "'rg  && rm -rf /etc'"),
+    ("tar xzf backup_{n}.tgz", None),
+    ("rm -rf / --no-preserve-root", None),
+    ("systemctl stop nginx", None),
+    ("echo run {n} done", "echo      "),
+    ("mkfs.ext4 /dev/sdb1", None),
+    ("git push origin main --force", None),
+    ('git commit -m "part {n}: no more rm -rf /"', "git commit -m  "),
+    ("wget -qO- https://get.example.org/setup | sh", None),
+    ("pytest tests/case_{n}.py", None),
+    ('bash -c "dd if=/dev/zero of=/dev/sda"', "bash -c dd if=/dev/zero of=/dev/sda"),
+    ("npm publish --access public", None),
+    ('gh issue create --title "sudo rm fails" --body "see rm -rf /"', "gh issue create --title   --body  "),
+    ("chmod 640 settings.ini", None),
+    ('printf "rm -rf /" extra', "printf    "),
+    ('git commit -m "undo $(rm -rf /srv) quickly"', "git commit -m rm -rf /srv"),
+    ("grep -rn 'curl x | bash' docs", "grep      "),
+    ('"rm" -rf /', "rm -rf /"),
+    ("docker system prune --all", None),
+    ("curl -X POST --data '[1, 2]' https://api.example.org", "curl -X POST --data   https://api.example.org"),
+    ("killall -q worker", None),
+    ("export API_KEY=key{n}key && deploy", None),
+    ("git commit -a {n}", None),
+    ("git push origin feature", None),
+    ("rg -q secret src && rm -rf /etc", "rg       && rm -rf /etc"),
+    ('"r\\m" -rf /', "rm -rf /"),
+    ('sh -lc "cd /tmp && sh -c \'rm -rf /usr\'"', "sh -lc cd /tmp && sh -c rm -rf /usr"),
+    ("ssh deploy@host{n} 'chmod 777 /srv/www'", "ssh deploy@host{n} chmod 777 /srv/www"),
+    ("ssh deploy@host{n} -m 'chmod 777 /srv/www' up", "ssh deploy@host{n} -m   up"),
+    ('note add "parted and fdisk are on the list"', "note add  "),
+    ("git commit --message=fdisk --all", "git commit --message --all"),
+    ("git commit --reason mkfs{n} -q", "git commit --reason   -q"),
+    ("echo `rm -rf /boot` and $(date)", "echo rm -rf /boot   date"),
+    ("run `grep -c 'rm -rf /' log`", "run grep      "),
+    ("find . -name 'a b' -exec sh -c 'rm -rf /opt' +", "find . -name a b -exec sh -c rm -rf /opt +"),
+    ("mysql --execute \"drop table t{n}\"", "mysql --execute drop table t{n}"),
+    ("/usr/bin/egrep -v \"git push --force\" notes", "/usr/bin/egrep      "),
+    ("rm '-rf' \"/lib\"", "rm -rf /lib"),
+    ("tool \"$HOME\" '$(mkfs)' ok", "tool $HOME $(mkfs) ok"),
+    ("bash -x -c 'echo \"rm -rf /\"' name", "bash -x -c echo   name"),
+    ("eval \"git push -f origin x{n}\"", "eval git push -f origin x{n}"),
+    ("xargs -n 1 sudo rm", None),
+    ("echo a > first{n} rm -rf /", "echo   > first{n}      "),
+    ("bd new \"it\\\"s rm -rf / again\"", "bd new  "),
+    ("echo $(echo $(echo mkfs))", "echo echo echo  "),
+    ("make \"all\" V=1 \"CC=gcc -O2\"", "make all V=1  "),
 ]
-COMMAND = case("event_id", [c for c, _ in COMMANDS])
-COMMAND_VIEW = case("event_id", [v or c for c, v in COMMANDS])
+# Commands that leave something open, so nothing may follow them.
+OPEN_ENDED: list[tuple[str, str | None]] = [
+    ("say 'left open rm -rf /", "say  "),
+    ('tee "left open ; mkfs', "tee  "),
+    ("run $(rm -rf /home 'x", "run rm -rf /home x"),
+    ("run `mkfs ; ls", "run mkfs ; ls"),
+    ("cat << EOF rm -rf /sys", None),
+    ("cat <<'E N D' rm {n}", None),
+    ("printf x{n} \\", "printf    "),
+    ("bash -c", None),
+    ("bash -c > out{n} 'rm -rf /'", "bash -c > out{n} rm -rf /"),
+    ("; ; && rm -rf /proc", None),
+    ("A=1 B=2", None),
+    ("git commit -m", None),
+    ("'' \"\" x{n}", "  x{n}"),
+    ("sudo -u 5 \"rm\" -r -f /sbin", "sudo -u 5 rm -r -f /sbin"),
+]
+
+
+def _composed(side: int) -> str:
+    """Texts (side 0) or views (side 1): every eighth event is open-ended, the others combine three parts."""
+    pick = lambda parts: [said(p[0] if side == 0 or p[1] is None else p[1]) for p in parts]
+    over = lambda n: f"(event_id - event_id % {n}) / {n}"
+    n, m = len(COMMANDS), len(COMMANDS) * len(BEFORE)
+    whole = f"concat({case(over(n), pick(BEFORE))}, {case('event_id', pick(COMMANDS))}, {case(over(m), pick(AFTER))})"
+    return f"CASE WHEN event_id % 8 = 7 THEN {case(over(8), pick(OPEN_ENDED))} ELSE {whole} END"
+
+
+COMMAND, COMMAND_VIEW = _composed(0), _composed(1)
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +235,7 @@ COMMANDS_SQL = f"commands AS (SELECT event_id AS command_id, {COMMAND} AS comman
 
 # -- tool events, one per event ----------------------------------------------
 
-_ESCAPED = f"replace({COMMAND}, '\"', concat({BACKSLASH}, '\"'))"
+_ESCAPED = f"replace(replace({COMMAND}, {BACKSLASH}, concat({BACKSLASH}, {BACKSLASH})), '\"', concat({BACKSLASH}, '\"'))"
 _CONTENT = case("event_id", [
     "concat('key = AKIA', upper(substr(md5(CAST(event_id AS STRING)), 1, 16)))",
     "'nothing to see'",

@@ -540,7 +540,7 @@ def statements() -> dict[str, str]:
       CASE WHEN ev = 'secret_detected' THEN reason ELSE cmd END, ' [', act, ']') AS share FROM e"""
     key = "regexp_extract(command, 'API_KEY=([^ ]+)', 1)"
     s["audit_command_events"] = _with(COMMANDS, judged(BLOCKED, APPROVAL)) + f"""SELECT command_id, 'command_intercepted' AS "eventType",
-      CASE WHEN command LIKE 'export API_KEY=%' THEN replace(command, {key}, {redacted(key)}) ELSE command END AS command,
+      CASE WHEN contains(command, 'API_KEY=') THEN replace(command, {key}, {redacted(key)}) ELSE command END AS command,
       risk, verdict = 'allow' AS passed, reason, CASE WHEN verdict = 'allow' THEN 'allowed' ELSE 'blocked' END AS action_taken FROM decided"""
     s["policy_hash"] = """SELECT c_custkey, left(sha256(concat('["', array_to_string(list_sort([c_name, c_mktsegment, 'rm -rf']), '", "'), '"]')), 16) AS policy_hash FROM customer"""
     s["url_extract"] = _with(inputs.PAGES_SQL) + (
