@@ -150,7 +150,7 @@ def obfuscation_signals(text: Column) -> Column:
 
 # Cheap test that is true for every text with a command or hidden-text signal.
 SIGNAL_PRETEST = (
-    r"(?i)rm\s+-rf|sudo\s+rm|curl|wget|iwr|eval\s*\(|exec\s*\(|function\s*\(|chmod\s+777|:\(\)\{"
+    r"(?iU)rm\s+-rf|sudo\s+rm|curl|wget|iwr|eval\s*\(|exec\s*\(|function\s*\(|chmod\s+777|:\(\)\{"
     r"|dd\s+if=|mkfs|base64\s+-d|crontab|systemctl|launchctl|<!--|\\x[0-9a-f]{2}|" + ZERO_WIDTH
     + "|" + BIDI + r"|[A-Za-z0-9+/]{200}"
 )

@@ -1,8 +1,8 @@
 """Arrow matcher for rules Spark's regex functions cannot run exactly.
 
-Used for patterns in Python-only dialect, patterns that can match the empty
-string, and rule lists too long to unroll. Spark partitions the rows; each task
-compiles the patterns once and works through Arrow batches.
+Used for patterns in Python-only dialect and for patterns that can match the
+empty string. Spark partitions the rows; each task compiles the patterns once
+and works through Arrow batches.
 """
 
 from __future__ import annotations

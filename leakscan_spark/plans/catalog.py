@@ -13,7 +13,8 @@ from ..functions.columns import computed_once
 from ..functions.matching import has_matches
 from ..functions.risk import CommandPolicy
 from ..functions.rules import BUILTIN_RULES, Rule
-from ..operators import audit, commands, issues, report, review, triage
+from ..operators import audit, commands, ignores, issues, report, review, triage
+from ..operators.rule_index import scan_files_indexed
 from ..operators.scan import scan_files, scan_lines, scan_texts, split_lines
 from ..session import prepare, shared_dir
 from ..sources import corpus as corpus_source
@@ -30,6 +31,10 @@ NAMED_RULE = Rule("Named Token", r"token\s*=\s*\"(?P<the_value>[0-9a-f]{40})\"",
 MANY_RULES = [
     Rule(f"Token {i:03x}", f'token = "{i:03x}[0-9a-f]{{37}}"', "high", "Service token", ('token = "',)) for i in range(512)
 ]
+# Thousands of rules, each with a needle of its own.
+INDEXED_RULES = [
+    Rule(f"{kind} key {i:03x}", f"{kind}_{i:03x}[0-9A-Za-z]{{33}}", "high", "Service key") for kind in ("ghp", "npm") for i in range(4096)
+]
 EXCLUDE = ("docs", "src/vendor", "repo_1/config/", "*/tests/*", "*.md")
 SUPPRESSIONS = (
     supp.Suppression("tests/fixtures/**", None, "test data", supp.POLICY_SOURCE),
@@ -117,6 +122,11 @@ def many_rule_findings(spark, sf):
     return scan_files(inputs.documents(spark, sf), MANY_RULES).select(*FINDING)
 
 
+def indexed_rule_findings(spark, sf):
+    """8,192 rules over all documents and planted files, through one automaton."""
+    return scan_files_indexed(inputs.corpus(spark, sf), INDEXED_RULES).select(*FINDING)
+
+
 def arrow_rule_findings(spark, sf):
     return scan_files(inputs.documents(spark, sf), [NAMED_RULE]).select(*FINDING)
 
@@ -159,6 +169,12 @@ def ignored_files(spark, sf):
     return corpus_source.drop_ignored(files, ignored).select("file", "repo")
 
 
+def ignore_rules(spark, sf):
+    """Planted files that the ignore files of their repositories leave in."""
+    files = inputs.planted(spark, sf).select("repo", F.expr("substr(file, length(repo) + 2)").alias("file"))
+    return ignores.drop_ignored_by(files, inputs.ignore_lines(spark, sf), ["repo"]).select("repo", "file")
+
+
 def engine_union(spark, sf):
     found = stored_findings(spark, sf)
     merged = triage.union_engines(_external(found), found)
@@ -674,8 +690,8 @@ def stream_alerts(spark, sf):
 
 
 QUERIES: tuple[Callable, ...] = (
-    custom_rule_findings, many_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, has_secrets, line_table,
-    excluded_paths_scan, corpus_path_rules, ignored_files, engine_union, external_report, baseline_filter,
+    custom_rule_findings, many_rule_findings, indexed_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, has_secrets, line_table,
+    excluded_paths_scan, corpus_path_rules, ignored_files, ignore_rules, engine_union, external_report, baseline_filter,
     baseline_show, suppression_split, suppression_table, scan_verdict, policy_ignore_rules, suppression_lines, suppression_upsert,
     findings_per_file, severity_histogram, overall_risk, top_rules, findings_by_severity, threshold_gate,
     level_counts, notify_summary, rules_per_file, json_results, json_reread, sarif_results, sarif_rules,

