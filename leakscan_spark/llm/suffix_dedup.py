@@ -9,14 +9,15 @@ equal anchors.
 1. Tasks send the anchors of their documents, packed by shard. A shard finds
    which anchors occur in different texts and tells each document its own.
 2. Documents send the stretches whose windows have such anchors, to the shard
-   of the anchor. Anchors in more than ``HOT`` texts are spread: each of their
-   windows goes to a shard of its own hash, after equal windows of a batch have
-   been reduced to the smallest document and the others marked.
+   of the anchor. Equal stretches of a batch are sent once, for the smallest
+   document: those of larger documents are marked at once, and repeats inside
+   the smallest send only where they start. Anchors in more than ``HOT`` texts
+   are spread: each of their windows goes to a shard of its own hash.
 3. A shard sorts the windows it received. Only suffixes that are not larger
    than their successor by the first byte are sorted directly; the others are
    induced from their successors in one scan over the buckets of first bytes.
-   Neighbours with a common prefix of ``LENGTH`` bytes are equal windows, and
-   those not in the smallest document are marked.
+   The common prefixes of neighbours follow; where one reaches ``LENGTH`` bytes
+   the windows are equal, and those not in the smallest document are marked.
 4. Marks come back to their documents, and covered bytes are cut.
 
 Of documents with one and the same text only the smallest is sorted; the others
@@ -39,7 +40,7 @@ from .common import mixed, saved, table, text_blocks
 
 LENGTH = 50
 GRAM = 16
-HOT = 50_000
+HOT = 24_000  # texts with an anchor that one shard sorts together
 SHARD_BYTES = 20 << 20  # bytes of text for each shard of anchors
 FINER = 4  # shards of windows for each shard of anchors
 BLOCK = 1 << 20  # bytes that a task looks at together
@@ -69,7 +70,7 @@ class Anchors:
         if len(data) < length:
             return
         hashes = gram_hashes(data, GRAM)
-        least = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+        least = (hashes & ~_POSITION) | (np.arange(len(hashes), dtype=np.uint64) & _POSITION)
         reach, want = 1, length - GRAM + 1
         while reach < want:
             step = min(reach, want - reach)
@@ -81,7 +82,8 @@ class Anchors:
         starts, row = starts[inside], row[inside]
         if not len(starts):
             return
-        at = (least[starts] & _POSITION).astype(np.int64)
+        # The low bits name a place at or a little after the start, whatever the length of the text.
+        at = starts + (((least[starts] & _POSITION).astype(np.int64) - starts) & int(_POSITION))
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
         self.first, self.last = starts[new], starts[np.r_[new[1:], len(starts)] - 1]
         self.rows = row[new]
@@ -170,13 +172,18 @@ def shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(find, SHARED)
 
 
-STRETCHES = "shard int, keys binary, docs binary, versions binary, starts binary, sizes binary, bytes binary"
+STRETCHES = (
+    "shard int, keys binary, docs binary, versions binary, starts binary, sizes binary, bytes binary, "
+    "heads binary, again_versions binary, again_starts binary"
+)
 
 
 def stretches(documents: DataFrame, shards: int) -> DataFrame:
     """Windows with shared anchors, packed by shard: anchor key, document, first start, number of windows, bytes.
 
     A row without bytes carries windows that a batch has already found repeated.
+    heads, again_versions and again_starts name further places of a row's
+    stretches in the same document.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +191,7 @@ def stretches(documents: DataFrame, shards: int) -> DataFrame:
             for at in range(0, whole_batch.num_rows, 2048):
                 batch = whole_batch.slice(at, 2048)
                 docs, versions = batch["doc"].to_numpy(), batch["version"].to_numpy()
-                columns: list[list] = [[] for _ in range(6)]  # key, row, start, windows, source, offset in source
+                columns: list[list] = [[] for _ in range(5)]  # key, row, start, windows, offset in source
                 sources, base = [], 0
                 for lo, hi, data, offsets in text_blocks(batch["text"], BLOCK):
                     anchors = Anchors(data, offsets)
@@ -206,15 +213,15 @@ def stretches(documents: DataFrame, shards: int) -> DataFrame:
                     if len(single):
                         key[len(cold) :] = window_keys(data, single)
                     windows = np.r_[anchors.last[cold] - anchors.first[cold] + 1, np.ones(len(single), np.int64)]
-                    for c, v in zip(columns, (key, row + lo, start - offsets[row], windows, base + start, np.r_[np.zeros(len(cold), bool), np.ones(len(single), bool)]), strict=True):
+                    for c, v in zip(columns, (key, row + lo, start - offsets[row], windows, base + start), strict=True):
                         c.append(v)
                     sources.append(data)
                     base += len(data)
                 if not sources:
                     continue
-                key, row, start, windows, source, alone = (np.concatenate(c) for c in columns)
+                key, row, start, windows, source = (np.concatenate(c) for c in columns)
                 text = np.concatenate(sources)
-                yield from packed_stretches(key, docs[row], versions[row], start, windows, source, alone, text, shards)
+                yield from packed_stretches(key, docs[row], versions[row], start, windows, source, text, shards)
 
     return documents.mapInArrow(cut, STRETCHES)
 
@@ -227,28 +234,52 @@ def window_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(h) >> np.uint64(16)
 
 
-def packed_stretches(key, doc, version, start, windows, source, alone, text, shards) -> Iterator[pa.RecordBatch]:
-    single = np.flatnonzero(alone)
-    marked = np.zeros(len(key), bool)
-    if len(single):
-        views = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[source[single]]
-        content = np.ascontiguousarray(views).view(f"S{LENGTH}").ravel()
-        order = np.lexsort((doc[single], content, key[single]))
-        same = np.r_[False, (content[order][1:] == content[order][:-1]) & (key[single][order][1:] == key[single][order][:-1])]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        marked[single[order]] = doc[single][order] > doc[single][order][head]
+def equal_stretches(key, doc, version, start, windows, source, text) -> np.ndarray:
+    """For each stretch the first of those with the same bytes, by document, version and start."""
+    edges = window_keys(text, source), window_keys(text, source + windows - 1)  # together they cover a stretch
+    order = np.lexsort((start, version, doc, *edges, windows, key))
+    alike = np.ones(max(len(order) - 1, 0), bool)
+    for values in (key, windows, *edges):
+        alike &= values[order[1:]] == values[order[:-1]]
+    pair = np.flatnonzero(alike)
+    one, two = source[order[pair]], source[order[pair + 1]]
+    length = windows[order[pair]] + LENGTH - 1
+    same = np.ones(len(pair), bool)
+    for k in range(int(length.max(initial=0))):
+        inside = np.minimum(k, length - 1)
+        same &= text[one + inside] == text[two + inside]
+    alike[pair] = same
+    head = np.maximum.accumulate(np.where(np.r_[False, alike][: len(order)], 0, np.arange(len(order))))
+    first = np.empty(len(order), np.int64)
+    first[order] = order[head]
+    return first
+
+
+def packed_stretches(key, doc, version, start, windows, source, text, shards) -> Iterator[pa.RecordBatch]:
+    first = equal_stretches(key, doc, version, start, windows, source, text)
+    marked = doc > doc[first]
+    again = np.flatnonzero(~marked & (first != np.arange(len(first))))
     shard = (key % np.uint64(shards)).astype(np.int64)
     shard[marked] = doc[marked] % shards
-    order = np.lexsort((marked, shard))  # documents stay together, so their ids compress
+    sent = np.ones(len(key), bool)
+    sent[again] = False
+    kept = np.flatnonzero(sent)
+    order = kept[np.lexsort((marked[kept], shard[kept]))]  # documents stay together, so their ids compress
     edges = np.searchsorted(shard[order] * 2 + marked[order], np.arange(2 * shards + 1))
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(order)) - edges[shard[order] * 2 + marked[order]]
+    again = again[np.argsort(shard[again], kind="stable")]
+    cuts = np.searchsorted(shard[again], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
         own = order[edges[s] : edges[s + 1]]
         sizes = windows[own] + LENGTH - 1
         take = np.repeat(source[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         content = b"" if s % 2 else text[take].tobytes()
+        more = again[:0] if s % 2 else again[cuts[s // 2] : cuts[s // 2 + 1]]
         cells = (packed(key[own]), doc[own].tobytes(), version[own].tobytes(), start[own].astype(np.int32).tobytes(),
-                 windows[own].astype(np.uint8).tobytes(), content)
-        names = ("keys", "docs", "versions", "starts", "sizes", "bytes")
+                 windows[own].astype(np.uint8).tobytes(), content, place[first[more]].astype(np.int32).tobytes(),
+                 version[more].tobytes(), start[more].astype(np.int32).tobytes())
+        names = ("keys", "docs", "versions", "starts", "sizes", "bytes", "heads", "again_versions", "again_starts")
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([s // 2], pa.int32())} | {n: pa.array([c], pa.binary()) for n, c in zip(names, cells, strict=True)}
         )
@@ -268,7 +299,7 @@ def window_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     a bucket and come from lower buckets, so each bucket is complete when its
     turn comes. Successors beyond the last window join until one is direct.
     """
-    direct = text[:-1] <= text[1:]
+    direct = np.append(text[:-1] <= text[1:], True)  # nothing follows the last byte
     wanted = np.zeros(len(text), bool)
     wanted[starts] = True
     edge = starts[~direct[starts]] + 1
@@ -302,15 +333,22 @@ def window_order(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     return order[is_start[order]]
 
 
+def common_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bytes, up to ``length``, that each suffix shares with the one before it in ``order``."""
+    common, equal = np.zeros(max(len(order) - 1, 0), np.int16), np.arange(max(len(order) - 1, 0))
+    for k in range(length):
+        equal = equal[text[order[equal] + k] == text[order[equal + 1] + k]]
+        common[equal] += 1
+    return common
+
+
 def repeated_windows(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which windows also start in a smaller document. docs: of each of ``starts``, which ascend."""
     if not len(starts):
         return np.zeros(0, bool)
     order = window_order(text, starts, length)
-    views = np.lib.stride_tricks.sliding_window_view(text, length)[order]
-    content = np.ascontiguousarray(views).view(f"S{length}").ravel()
     doc = docs[np.searchsorted(starts, order)]
-    group = np.flatnonzero(np.r_[True, content[1:] != content[:-1]])
+    group = np.flatnonzero(np.r_[True, common_prefixes(text, order, length) < length])
     least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.r_[group, len(doc)]))
     repeated = np.zeros(len(starts), bool)
     repeated[np.searchsorted(starts, order)] = doc > least
@@ -336,8 +374,19 @@ def marks(rows: DataFrame) -> DataFrame:
                 np.concatenate([np.frombuffer(f[i], k) for i in parts]) for f, k in zip(fields, kinds, strict=True)
             )
             if done:
-                found.append((doc, version, start))
+                n = windows.astype(np.int64)
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append((np.repeat(doc, n), np.repeat(version, n), np.repeat(start, n) + inner))
                 continue
+            counts = np.array([len(fields[0][i]) // 8 for i in parts])
+            head = np.concatenate([np.frombuffer(shard["heads"][int(i)].as_py(), np.int32) + before
+                                   for i, before in zip(parts, np.cumsum(counts) - counts)]).astype(np.int64)
+            again_version, again_start = (
+                np.concatenate([np.frombuffer(shard[name][int(i)].as_py(), k) for i in parts])
+                for name, k in (("again_versions", np.int64), ("again_starts", np.int32))
+            )
+            by_head = np.argsort(head, kind="stable")
+            cuts = np.searchsorted(head[by_head], np.arange(len(doc) + 1))
             key = np.concatenate([unpacked(shard["keys"][int(i)].as_py()) for i in parts])
             text = np.frombuffer(b"".join(content[i] for i in parts), np.uint8)
             windows = windows.astype(np.int64)
@@ -356,8 +405,13 @@ def marks(rows: DataFrame) -> DataFrame:
                 inner = np.arange(windows[own].sum()) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
                 starts = np.repeat(begin, windows[own]) + inner
                 owner = np.repeat(own, windows[own])
-                hit = repeated_windows(text[take], starts, doc[owner])
-                found.append((doc[owner[hit]], version[owner[hit]], (start[owner[hit]] + inner[hit]).astype(np.int32)))
+                hit = np.flatnonzero(repeated_windows(text[take], starts, doc[owner]))
+                whose, inner = owner[hit], inner[hit]
+                found.append((doc[whose], version[whose], start[whose] + inner))
+                n = cuts[whose + 1] - cuts[whose]  # the same windows further on in the document
+                whose, inner = np.repeat(whose, n), np.repeat(inner, n)
+                more = by_head[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + cuts[whose]]
+                found.append((doc[whose], again_version[more], again_start[more] + inner))
         doc, version, start = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((start, version, doc))
         doc, version, start = doc[order], version[order], start[order].astype(np.int32)

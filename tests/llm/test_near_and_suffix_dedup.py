@@ -113,6 +113,11 @@ def test_suffix_dedup_matches_every_window(documents, odd_rows, prose, hot):
     rows = [(20 + i, prose(100 + i, rng.randrange(5, 60)) + passage[rng.randrange(40) :] + prose(200 + i, 9)) for i in range(40)]
     rows += [(70, "ab" * 200), (71, "ab" * 90), (72, "x" * 49), (73, "x" * 49), (74, "x" * 50), (75, "x" * 51)]
     rows += [(76, passage), (77, passage), (78, passage.encode().decode() + "é" * 60), (79, "é" * 60), (80, "\x00" * 120), (81, "\x00" * 60)]
+    falling = "".join(map(chr, range(126, 76, -1)))  # every byte above the next, to the very end
+    rows += [(90, "first " + falling), (91, "second " + falling), (92, falling + falling), (93, falling[:-1])]
+    chant = "one two three, " * 30
+    rows += [(100 + i, prose(300 + i, 3) + chant[i % 4 :] + prose(400 + i, 4) + chant) for i in range(12)]
+    rows += [(94, chant), (94, chant + "!"), (95, chant + chant)]
     rows += [(d, t if d not in (8, 9) else t[:3000] + str(d)) for d, t in [(d, t or "") for d, t in odd_rows]]
     got = [
         (r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())
@@ -121,6 +126,24 @@ def test_suffix_dedup_matches_every_window(documents, odd_rows, prose, hot):
     assert sorted(got, key=str) == expected_removal(rows)
 
 
+def test_positions_beyond_the_bits_that_hold_them(monkeypatch):
+    data = np.frombuffer(("".join(random.Random(5).choices("abc ", k=3000))).encode(), np.uint8)
+    whole = suffix_dedup.Anchors(data, np.array([0, 1700, 3000]))
+    monkeypatch.setattr(suffix_dedup, "_POSITION", np.uint64((1 << 7) - 1))
+    short = suffix_dedup.Anchors(data, np.array([0, 1700, 3000]))
+    windows = lambda a: [(k, s) for k, f, l in zip(a.keys.tolist(), a.first, a.last) for s in range(f, l + 1)]
+    # Fewer position bits leave more of the hash, which may break ties otherwise; windows stay covered once each.
+    assert [s for _, s in windows(whole)] == [s for _, s in windows(short)]
+    grams = suffix_dedup.gram_hashes(data, suffix_dedup.GRAM) >> np.uint64(16)
+    assert all(k in grams[s : s + 35].tolist() for k, s in windows(short))
+
+
+def test_common_prefixes():
+    text = np.frombuffer(b"abcabdab" + b"abc", np.uint8)
+    assert suffix_dedup.common_prefixes(text, np.array([0, 3, 8]), 3).tolist() == [2, 2]
+    assert suffix_dedup.common_prefixes(text, np.array([0]), 3).tolist() == []
+
+
 def test_window_order_puts_equal_windows_together():
     rng = np.random.default_rng(2)
     for _ in range(60):
