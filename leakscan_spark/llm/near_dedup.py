@@ -25,8 +25,8 @@ document the smallest document reachable.
 
 Null texts, empty texts and texts without words are linked with nothing. Texts
 with fewer words than a shingle have one shingle, the whole sequence. Repeated
-rows are copies of each other. Ids are taken to name one text; rows with a null
-id are linked with nothing and have no component.
+rows are copies of each other. Rows of one id with different texts are kept apart
+by a hash of the text; rows with a null id are linked with nothing and have no component.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, mixed, saved, table, text_blocks, unused, utf8
@@ -211,22 +211,29 @@ def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
     )
     member = member.withColumn("stray", 100 * c("d") > q * (c("h") + c("new")))
     member = member.withColumn("near", 100 * c("d") <= 2 * q * (c("h") + c("new")))
-    unsettled = member.where("stray").select("hub").distinct()  # without a stray, the hub implies every link
-    member = member.join(unsettled, "hub", "left_semi")
-    element = member.select("hub", "node", F.explode("apart").alias("element"))
-    often = element.groupBy("hub", "element").agg(F.count("*").alias("c")).where("c > 1")
-    shared = element.join(often, ["hub", "element"]).groupBy("hub", "node").agg(
-        F.sort_array(F.collect_list(F.struct("c", "element"))).alias("held")
-    )
-    listed = member.drop("apart").join(shared, ["hub", "node"]).select(
-        "*", F.posexplode("held").alias("j", "e")
-    ).select(
-        "hub", "node", "d", "new", "h", "stray", "near", c("e.element").alias("element"),
-        F.get("held", c("j") - 1)["element"].alias("before"),
-        (F.size("held") - c("j")).cast("long").alias("rest"), (c("d") - F.size("held") + c("j")).alias("place"),
+    # Without a stray the hub implies every link, and members linked to the hub matter only to strays near enough.
+    strays = member.where("stray")
+    settled = member.where("not stray").join(strays.where("near").select("hub").distinct(), "hub", "left_semi")
+    of = lambda members, stray: members.select("hub", "node", F.lit(stray).alias("strays"), F.explode("apart").alias("element"))
+    met_by = of(strays, True).select("hub", "element").distinct()
+    element = of(strays, True).unionByName(of(settled, False).join(met_by, ["hub", "element"], "left_semi"))
+    # Counted where they stand: one shuffle tells how many members hold an element, and whether a settled one does.
+    alike = Window.partitionBy("hub", "element")
+    counted = element.withColumn("c", F.count("*").over(alike)).withColumn("wanted", ~F.bool_and("strays").over(alike))
+    shared = counted.where("c > 1").groupBy("hub", "node").agg(
+        F.sort_array(F.collect_list(F.struct("c", "element", "wanted"))).alias("held")
     )
     overlap = F.floor((100 * c("d") - q * c("new")) / 200) + 1
-    listed = listed.withColumn("brief", c("place") <= c("d") - overlap)
+    listed = strays.unionByName(settled).drop("apart").join(shared, ["hub", "node"])
+    # Of each list only the prefix is posted, and of near strays what a settled member has too.
+    brief = F.greatest(F.size("held") - overlap + 1, F.lit(0)).cast("int")
+    place = lambda e, j: F.struct(
+        e["element"].alias("element"), F.get("held", j - 1)["element"].alias("before"),
+        (F.size("held") - j).cast("long").alias("rest"), (j < c("prefix")).alias("brief"), e["wanted"].alias("wanted"),
+    )
+    near = c("stray") & c("near")
+    posted = F.filter(F.transform("held", place), lambda e: e["brief"] | (near & e["wanted"]))
+    listed = listed.withColumn("prefix", brief).select("hub", "node", "d", "new", "h", "stray", "near", F.inline(posted))
     one = listed.where(c("stray") & (c("brief") | c("near"))).alias("x")
     two = listed.where("brief").alias("y")
     need = 100 * (c("x.d") + c("y.d")) - q * (c("x.h") + c("x.new") + c("y.new"))
