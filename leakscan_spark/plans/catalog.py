@@ -16,6 +16,7 @@ from ..functions.rules import BUILTIN_RULES, Rule
 from ..operators import audit, commands, ignores, issues, report, review, triage
 from ..operators.rule_index import scan_files_indexed
 from ..operators.scan import scan_files, scan_lines, scan_texts, split_lines
+from ..operators.table_function import register_scan_function
 from ..session import prepare, shared_dir
 from ..sources import corpus as corpus_source
 from ..sources import diffs, external, findings as findings_io, rules as rule_source, suppressions as supp
@@ -139,6 +140,14 @@ def unplaced_findings(spark, sf):
     return scan_texts(inputs.corpus(spark, sf)).select("file", "rule", "severity", "redacted")
 
 
+def scan_table_function(spark, sf):
+    """The whole corpus through the table function, from SQL."""
+    register_scan_function(spark)
+    inputs.corpus(spark, sf).createOrReplaceTempView("scanned_corpus")
+    found = spark.sql("SELECT c.file, f.rule, f.severity, f.match FROM scanned_corpus c, LATERAL scan_text(c.text) f")
+    return found.select("file", "rule", "severity", redaction.redact_token(F.col("match")).alias("redacted"))
+
+
 def has_secrets(spark, sf):
     numbered = list(enumerate(BUILTIN_RULES))
     return inputs.corpus(spark, sf).select("file", has_matches("text", numbered).alias("has_secrets"))
@@ -690,7 +699,7 @@ def stream_alerts(spark, sf):
 
 
 QUERIES: tuple[Callable, ...] = (
-    custom_rule_findings, many_rule_findings, indexed_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, has_secrets, line_table,
+    custom_rule_findings, many_rule_findings, indexed_rule_findings, arrow_rule_findings, builtin_rule_findings, unplaced_findings, scan_table_function, has_secrets, line_table,
     excluded_paths_scan, corpus_path_rules, ignored_files, ignore_rules, engine_union, external_report, baseline_filter,
     baseline_show, suppression_split, suppression_table, scan_verdict, policy_ignore_rules, suppression_lines, suppression_upsert,
     findings_per_file, severity_histogram, overall_risk, top_rules, findings_by_severity, threshold_gate,

@@ -356,6 +356,7 @@ def statements() -> dict[str, str]:
     both = [inputs.DOCS_SQL, inputs.PLANTED_SQL, CORPUS, RULES, lines("pl", "corpus"), hits("found", "pl", "file, line")]
     s["builtin_rule_findings"] = _with(*both) + f"SELECT {FINDING} FROM found"
     s["unplaced_findings"] = _with(*both) + "SELECT file, rule, severity, redacted FROM found"
+    s["scan_table_function"] = s["unplaced_findings"]
     s["has_secrets"] = _with(*both) + "SELECT c.file, c.file IN (SELECT file FROM found) AS has_secrets FROM corpus c"
     s["line_table"] = _with(inputs.DOCS_SQL, lines("dl", "docs")) + (
         "SELECT file, count(*) AS lines, sum(length(txt)) AS characters, max(line) AS last_line, count(*) FILTER (txt = '') AS empty_lines FROM dl GROUP BY file"
