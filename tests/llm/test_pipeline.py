@@ -69,5 +69,5 @@ def test_pipeline_on_an_empty_table(spark, documents, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in registry.registry()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.registry()} == {f"op{n}" for n in range(1, 14)}
     assert set(registry.SQL) <= set(registry.registry())
