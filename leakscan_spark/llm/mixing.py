@@ -97,6 +97,7 @@ def mix(
 def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it, numbered in ``copy`` from 1.
 
+    A column of that name, in any case, stays, and the number is called ``copy_``.
     Texts move once, to meet their plan by id and text hash; rows alike in both take their copies in turn.
     """
     c = F.col
@@ -107,8 +108,7 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     rows = documents.select("*", *key).join(plan, [mix_id, mix_text])
     nth = F.row_number().over(Window.partitionBy(mix_id, mix_text).orderBy(mix_id))
     emitted = rows.withColumn(copies, F.element_at(copies, nth)).where(c(copies) > 0)
-    columns = [x for x in documents.columns if x != "copy"]
-    return emitted.select(*columns, F.explode(F.sequence(F.lit(1), c(copies))).alias("copy"))
+    return emitted.select(*documents.columns, F.explode(F.sequence(F.lit(1), c(copies))).alias(unused("copy", documents)))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

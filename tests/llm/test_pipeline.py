@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leakscan_spark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, registry
@@ -68,6 +69,16 @@ def test_pipeline_on_an_empty_table(spark, documents, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_clashing_columns_pass_the_line_and_mixing_stages(spark, documents):
+    line = "a line long enough to be held twice"
+    rows = documents([(1, line + "\nown", "en", "s"), (2, line + "\nother", "en", "s")]).withColumn("kept_text", F.lit("mine")).withColumn("N_Lines", F.lit(7))
+    lined = corpus_pipeline.drop_repeated_lines(spark, rows, "")
+    assert lined.columns == rows.columns
+    assert sorted((r.doc_id, r.text, r.kept_text, r.N_Lines) for r in lined.collect()) == [(1, line + "\nown", "mine", 7), (2, "other", "mine", 7)]
+    mixed = corpus_pipeline.mix_sources(spark, rows.withColumn("Copy", F.lit("kept")), "")
+    assert mixed.columns == [*rows.columns, "Copy", "copy_"] and {r.Copy for r in mixed.collect()} <= {"kept"}
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in registry.registry()} == {f"op{n}" for n in range(1, 14)}
     assert set(registry.SQL) <= set(registry.registry())
