@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan_spark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from leakscan_spark.llm.common import saved, table
+from leakscan_spark.llm.common import saved, table, unused
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that a smaller document owns."""
-    kept = line_dedup.deduped(docs, line_dedup.ingested(docs))
+    # Columns named as the operator's own go by another name meanwhile.
+    own = ("kept_text", "n_lines", "n_dropped")
+    aside = {c: unused(f"{c.lower()}_given", docs) for c in docs.columns if c.lower() in own}
+    rows = docs.withColumnsRenamed(aside)
+    kept = line_dedup.deduped(rows, line_dedup.ingested(rows))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
-    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return kept.select(*[new.get(c, F.col(aside.get(c, c))).alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
