@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.columns import computed_once
 from ..functions.paths import is_excluded, relative_to, slashes
 from ..functions.review import extension
+from .tree import list_tree, local_folder, read_files
 
 # Names never entered and extensions never read.
 EXCLUDED_NAMES = (
@@ -71,10 +72,22 @@ def read_corpus(
 ) -> DataFrame:
     """(file, text) rows of a directory tree; file is relative to the root.
 
-    Spark's readers pass over names that start with "." or "_". Such directories
-    are handed over as roots of their own and such files are read beside them.
-    Links are not told apart from files.
+    A mounted folder is listed and read inside tasks: excluded folders are not
+    entered, links are passed over, and what may not be read gives no rows.
+
+    Other stores, single files and globs go through Spark's reader, which lists
+    on the driver and passes over names that start with "." or "_". Such
+    directories are handed over as roots of their own and such files are read
+    beside them. Links are not told apart from files there.
     """
+    base = local_folder(root)
+    if base is not None:
+        root = base.decode("utf-8", "replace")
+        names = [*EXCLUDED_NAMES, *(n.rstrip("/") for n in exclude_paths)]
+        listed = list_tree(spark, root, names, max_depth).where(wanted(F.col("path"), root, exclude_paths, max_depth))
+        if max_bytes is not None:
+            listed = listed.where(F.col("length") <= max_bytes)
+        return select_text(read_files(listed), root, exclude_paths, max_depth)
     hidden_dirs, hidden_files = _hidden_entries(spark, root, max_depth)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     # On the file's metadata alone, so that Spark drops the files before any task opens them.

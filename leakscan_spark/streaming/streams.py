@@ -21,18 +21,19 @@ from ..operators.triage import mark_suppressed
 from ..session import shared_dir
 from ..sources.corpus import BINARY_FILE_SCHEMA, decode
 from ..sources.suppressions import Suppression
+from ..sources.tree import LISTED, changed, list_tree, read_files
 
-# Fixed value: paths whose changes are not watched.
-UNWATCHED = r"(^|[/\\])(\.git|node_modules|\.hg|__pycache__|\.tox|\.venv)([/\\]|$)"
+# Names whose changes are not watched, and what is inside them.
+UNWATCHED = (".git", "node_modules", ".hg", "__pycache__", ".tox", ".venv")
 
 
 def is_watched(path: Column) -> Column:
-    return ~path.rlike(UNWATCHED)
+    return ~F.arrays_overlap(F.split(path, r"[/\\]"), F.array(*[F.lit(n) for n in UNWATCHED]))
 
 
 def watch_files(spark: SparkSession, root: str, **options) -> DataFrame:
-    """New files below a directory as (file, text). Spark sees files once; a file
-    edited in place under the same name is not read again."""
+    """New files below a directory as (file, text). Spark sees files once; ``watch_tree``
+    also sees edits in place and deletions."""
     files = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", True).options(**options).load(root)
@@ -76,6 +77,16 @@ def scan_stream(
     scan: Callable[[DataFrame, Sequence[Rule]], DataFrame] | None = None,
 ) -> None:
     """Findings of every new file, split by suppression, and one audit event per raw finding."""
+    run_to_end(files, scan_into(out, rules, suppressions, scan), checkpoint)
+
+
+def scan_into(
+    out: str,
+    rules: Sequence[Rule] = BUILTIN_RULES,
+    suppressions: Sequence[Suppression] = (),
+    scan: Callable[[DataFrame, Sequence[Rule]], DataFrame] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """What a stream does with a batch of (file, text): its findings and audit events below ``out``."""
     from ..operators.scan import scan_files
 
     scan = scan or scan_files
@@ -90,7 +101,49 @@ def scan_stream(
         event = secret_event(F.col("file"), F.col("rule"), F.lit("allowed"))
         replace_batch(stored.select(event.alias("e")).select("e.*"), f"{out}/audit", batch_id)
 
-    run_to_end(files, handle, checkpoint)
+    return handle
+
+
+def watch_tree(
+    spark: SparkSession,
+    root: str,
+    handle: Callable[[DataFrame, int], None],
+    state: str,
+    interval: str | None = None,
+):
+    """Every created or edited file below a mounted folder, as (file, text) batches for ``handle``.
+
+    A heartbeat stream lists the tree in tasks and compares it with the listing
+    of the beat before, by size and time of change. Listings are numbered by
+    beat and lie below ``state`` with the checkpoint, so a repeated beat starts
+    from the same earlier listing and a restart goes on where the last one
+    ended; ``handle`` replaces what it wrote for that number. Deletions are in
+    ``state``/changes with all others. Without ``interval`` one beat runs.
+    """
+    beats = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = beats.writeStream.option("checkpointLocation", f"{state}/checkpoint")
+    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
+    def beat(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        now_path = f"{state}/listings/{n}"
+        list_tree(session, root, UNWATCHED).write.mode("overwrite").parquet(now_path)
+        now = session.read.schema(LISTED).parquet(now_path)
+        before = session.read.schema(LISTED).parquet(f"{state}/listings/{n - 1}") if n else now.limit(0)
+        replace_batch(changed(before, now), f"{state}/changes", n)
+        changes = session.read.parquet(f"{state}/changes/batch={n}")
+        fresh = changes.where((F.col("change") != "deleted") & is_watched(F.col("path")))
+        files = read_files(fresh).select(F.col("path").alias("file"), decode(F.col("content")).alias("text"))
+        if not fresh.isEmpty():
+            handle(files, n)
+        # A beat looks back one listing only.
+        old = session._jvm.org.apache.hadoop.fs.Path(f"{state}/listings/{n - 2}")
+        old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = writer.foreachBatch(beat).start()
+    if not interval:
+        query.awaitTermination()
+    return query
 
 
 def transform_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
