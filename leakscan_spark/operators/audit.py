@@ -50,15 +50,15 @@ def with_previous(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame
 def verify_chain(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(log_id, line_no, reason) of every break in the hash chain."""
     rows = with_previous(lines, block_lines)
+    return _breaks(rows, line_hash(F.col("previous")))
+
+
+def _breaks(rows: DataFrame, expected: Column) -> DataFrame:
     actual = F.get_json_object("raw", "$.prevHash")
-    expected = line_hash(F.col("previous"))
     reason = (
         F.when(F.try_parse_json("raw").isNull(), "malformed JSON")
         .when(actual.eqNullSafe(expected), F.lit(None))
-        .when(
-            F.col("previous").isNull(),
-            F.concat(F.lit("first entry has prevHash "), actual, F.lit(" but expected null")),
-        )
+        .when(expected.isNull(), F.concat(F.lit("first entry has prevHash "), actual, F.lit(" but expected null")))
         .otherwise(
             F.concat(
                 F.lit("prevHash "), F.coalesce(F.concat(F.lit("'"), actual, F.lit("'")), F.lit("None")),
@@ -69,6 +69,73 @@ def verify_chain(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     return rows.select("log_id", "line_no", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
+MARKS = "log_id string, mark_line long, mark_hash string"
+
+
+def log_marks(lines: DataFrame) -> DataFrame:
+    """(log_id, mark_line, mark_hash): the last non-blank line of each log and its hash."""
+    last = F.max_by(F.struct("line_no", "raw"), "line_no").alias("last")
+    tips = lines.where(~is_blank(F.col("raw"))).groupBy("log_id").agg(last)
+    return tips.select(
+        "log_id", F.col("last.line_no").cast("long").alias("mark_line"), line_hash(F.col("last.raw")).alias("mark_hash")
+    )
+
+
+def unverified(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """Lines behind the mark of their log, with its ``mark_hash``; all lines of a log without one."""
+    met = lines.join(marks, "log_id", "left")
+    return met.where(F.col("line_no") > F.coalesce("mark_line", F.lit(-1))).drop("mark_line")
+
+
+def verify_since(lines: DataFrame, marks: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Breaks behind the marks of an earlier verification, whose lines are not hashed again.
+
+    The first new line of a log must name the hash that its mark holds.
+    """
+    rows = with_previous(unverified(lines, marks), block_lines)
+    return _breaks(rows, F.coalesce(line_hash(F.col("previous")), F.col("mark_hash")))
+
+
+def lost_marks(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """(log_id, line_no, reason) of marks whose line is gone or no longer has its hash.
+
+    Meets one line per log. An edit further back shows in ``verify_chain``, which reads all lines.
+    """
+    at = lines.where(~is_blank(F.col("raw"))).select(
+        "log_id", F.col("line_no").cast("long").alias("mark_line"), line_hash(F.col("raw")).alias("found")
+    )
+    reason = F.when(F.col("found").isNull(), "truncated: the last verified line is gone").when(
+        F.col("found") != F.col("mark_hash"), "rewritten: the last verified line has changed"
+    )
+    rows = marks.join(at, ["log_id", "mark_line"], "left").select(
+        "log_id", F.col("mark_line").alias("line_no"), reason.alias("reason")
+    )
+    return rows.where(F.col("reason").isNotNull())
+
+
+def advanced_marks(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marks`` moved to the ends of logs that have grown. A truncated log keeps its mark, and so its verdict."""
+    fresh = log_marks(unverified(lines, marks).drop("mark_hash"))
+    return fresh.unionByName(marks.join(fresh, "log_id", "left_anti"))
+
+
+def resume_verification(lines: DataFrame, path: str) -> DataFrame:
+    """Verify what was appended since the last run at ``path``: (log_id, line_no, reason).
+
+    Runs are numbered. Marks of a run are written last, beside those of the run
+    before, so a run that fails is repeated from the same marks.
+    """
+    spark = lines.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/marks/run=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    run = max([int(x.getPath().getParent().getName().removeprefix("run=")) for x in found], default=-1)
+    marks = spark.createDataFrame([], MARKS) if run < 0 else spark.read.schema(MARKS).parquet(f"{path}/marks/run={run}")
+    breaks = verify_since(lines, marks).select("log_id", F.col("line_no").cast("long").alias("line_no"), "reason")
+    breaks.unionByName(lost_marks(lines, marks)).write.mode("overwrite").parquet(f"{path}/breaks/run={run + 1}")
+    advanced_marks(lines, marks).write.mode("overwrite").parquet(f"{path}/marks/run={run + 1}")
+    return spark.read.parquet(f"{path}/breaks/run={run + 1}")
+
+
 def tip_hash(lines: DataFrame) -> DataFrame:
     """Hash of each log's last non-blank line."""
     return (

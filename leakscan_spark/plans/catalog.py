@@ -498,6 +498,14 @@ def audit_verify(spark, sf):
     return audit.verify_chain(inputs.audit_logs(spark, sf))
 
 
+def audit_verify_resumed(spark, sf):
+    """The first half of every log verified and marked, then the rest from the marks."""
+    lines = inputs.audit_logs(spark, sf)
+    half = lines.groupBy("log_id").agg(F.floor(F.max("line_no") / 2).alias("half"))
+    earlier = lines.join(half, "log_id").where(F.col("line_no") <= F.col("half")).drop("half")
+    return audit.verify_chain(earlier).unionByName(audit.verify_since(lines, audit.log_marks(earlier)))
+
+
 def audit_tip_hash(spark, sf):
     return audit.tip_hash(inputs.audit_logs(spark, sf))
 
@@ -707,7 +715,7 @@ QUERIES: tuple[Callable, ...] = (
     vulnerability_files, redact_token, redact_env, redact_text, mask_config_fields, rule_validation,
     policy_overlay, issue_drafts, vulnerability_drafts, issue_dedup, text_to_issue, command_risk, command_policy,
     command_default_policy, tool_event_decisions, tool_requests, tool_replies, tool_output_redaction, deny_reasons,
-    audit_verify, audit_tip_hash, audit_entries, audit_query_last_n, audit_alerts, audit_prune_reseal,
+    audit_verify, audit_verify_resumed, audit_tip_hash, audit_entries, audit_query_last_n, audit_alerts, audit_prune_reseal,
     audit_retention_manifest, audit_resealed_breaks, audit_share, audit_command_events, policy_hash, url_extract,
     unsafe_urls, review_signals, bundle_summary, bundle_rollup, platform_rollup, external_escalation,
     inventory_counts, suspicious_files, front_matter, bundle_dirs, quick_counts, diff_added_lines, diff_findings,

@@ -518,6 +518,7 @@ def statements() -> dict[str, str]:
     logs = inputs.AUDIT_SQL
     s["audit_verify"] = _with(logs, CHAIN) + """SELECT log_id, line_no, CASE WHEN NOT ok THEN 'malformed JSON' WHEN expected IS NULL THEN concat('first entry has prevHash ', actual, ' but expected null')
       ELSE concat('prevHash ', coalesce(concat('''', actual, ''''), 'None'), ' does not match expected ', expected) END AS reason FROM chk WHERE NOT ok OR actual IS DISTINCT FROM expected"""
+    s["audit_verify_resumed"] = s["audit_verify"]
     s["audit_tip_hash"] = _with(logs) + "SELECT log_id, sha256(concat(max_by(raw, line_no), chr(10))) AS tip_hash FROM log_rows WHERE trim(raw) <> '' GROUP BY log_id"
     s["audit_entries"] = _with(logs, ENTRY) + (
         'SELECT log_id, line_no, ts AS timestamp, sid AS "sessionId", ev AS "eventType", ag AS "agentType", cwd, ph AS "prevHash", cmd AS command, risk, reason, act AS action_taken FROM e'

@@ -59,6 +59,39 @@ def test_verify_agrees_with_reading_line_by_line(spark):
         assert got == sorted((k, *b) for k, v in named.items() for b in breaks(v))
 
 
+def test_verification_resumes_behind_its_marks(spark, tmp_path):
+    whole = chain(30)
+    path = str(tmp_path / "state")
+
+    def run(**named):
+        return sorted((r.log_id, r.line_no, r.reason) for r in audit.resume_verification(logs(spark, **named), path).collect())
+
+    assert run(a=whole[:10], b=whole[:5]) == []
+    assert run(a=whole[:20], b=whole[:5], c=whole[:3]) == []  # one grows, one is new
+    # An entry behind the marks is edited: the break is on the line after it.
+    edited = [*whole[:22], whole[22].replace("c22", "zz"), *whole[23:]]
+    assert [(k, n) for k, n, _ in run(a=edited, b=whole[:5], c=whole[:3])] == [("a", 24)]
+    assert run(a=edited, b=whole[:5], c=whole[:3]) == []  # reported once
+    # Cut below the mark, rewritten at the mark, and gone: reported until mended.
+    other = [*whole[:2], whole[2].replace("c2", "zz")]
+    for _ in range(2):
+        got = {k: (n, reason.split(":")[0]) for k, n, reason in run(a=edited[:7], c=other)}
+        assert got == {"a": (30, "truncated"), "b": (5, "truncated"), "c": (3, "rewritten")}
+    # Entries appended to a rewritten tip do not follow from the mark.
+    grown = run(a=edited, b=whole[:5], c=[*other, whole[3].replace(json.loads(whole[3])["prevHash"], hashlib.sha256((other[2] + "\n").encode()).hexdigest())])
+    assert [(k, n) for k, n, _ in grown] == [("c", 3), ("c", 4)]
+
+
+def test_marks_and_full_verification_agree(spark):
+    named = damaged()
+    for cut in (1, 7, 13):
+        lines = logs(spark, **named)
+        earlier = lines.where(F.col("line_no") <= cut)
+        both = audit.verify_chain(earlier).unionByName(audit.verify_since(lines, audit.log_marks(earlier), 4))
+        got = sorted((r.log_id, r.line_no, r.reason) for r in both.collect())
+        assert got == sorted((k, *b) for k, v in named.items() for b in breaks(v))
+
+
 def test_prune_and_reseal(spark):
     named = damaged()
     cutoff = F.lit("2024-01-10").cast("timestamp")
