@@ -1,10 +1,10 @@
 """Quality rules: counting rules, then a calibrated n-gram logistic regression against a fixed threshold.
 
-Word unigrams, word pairs and byte 4-grams are hashed into one histogram per
+Words, word pairs and runs of four characters are hashed into one histogram per
 document, each family normalised to shares, so a document of any length is
 scored whole with one table look-up per n-gram. The regression is fitted on the
-driver from a bounded sample of labelled rows (``SAMPLE``); a logistic
-calibration on a held part of that sample maps scores to probabilities.
+driver from a bounded sample of labelled rows (``SAMPLE``), held as sparse rows;
+a logistic calibration on a held part of that sample maps scores to probabilities.
 
 Null and empty texts have no words: all counts are 0, the base rule fails and
 the probability is that of an empty histogram.
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATOR, Words, labelled_sample, mixed, spans, table, text_blocks
 
-BITS = 11  # buckets per family, as a power of two
+BITS = 16  # buckets per family, as a power of two
 FAMILIES = 3
+CHARACTERS = 4  # length of a character n-gram
 SAMPLE = 4_000  # labelled rows a fit may read
+BATCH = 250  # sampled rows per step of the fit
 KEEP_FROM = 0.35  # fixed threshold on the calibrated probability of quality 1
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of words in repeated windows
@@ -69,41 +71,50 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, words: Words | None = Non
     }
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number per code point, which is its bytes, and each row's first code point."""
+    leads = (data & 0xC0) != 0x80
+    leads[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(leads)
+    size = np.diff(at, append=len(data))
+    codes = data[at].astype(np.uint64)
+    for k in range(1, 4):
+        longer = size > k
+        codes[longer] |= data[at[longer] + k].astype(np.uint64) << np.uint64(8 * k)
+    return codes, np.searchsorted(at, offsets)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each family: buckets of all n-grams, and each row's first n-gram."""
     shift = np.uint64(64 - BITS)
-    yield (words.hashes >> shift).astype(np.int64), words.first
+    yield (words.hashes >> shift).astype(np.int32), words.first
     pairs, at = words.grams(2)
-    yield (pairs >> shift).astype(np.int64), np.searchsorted(at, words.first)
-    if len(data) < 4:
-        yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        return
-    codes = data.astype(np.uint32)
-    four = codes[:-3] | codes[1:-2] << 8 | codes[2:-1] << 16 | codes[3:] << 24
-    buckets = (four * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    inside = np.ones(len(four), bool)
-    for k in range(1, 4):
-        crossing = offsets[1:-1] - k  # n-grams that reach into the next row
-        inside[crossing[(crossing >= 0) & (crossing < len(four))]] = False
+    yield (pairs >> shift).astype(np.int32), np.searchsorted(at, words.first)
+    codes, first = characters(data, offsets)
+    many = max(len(codes) - CHARACTERS + 1, 0)
+    h = np.zeros(many, np.uint64)
+    for k in range(CHARACTERS):
+        h = mixed(h ^ codes[k : k + many])
+    inside = np.ones(many, bool)
+    for k in range(1, CHARACTERS):
+        crossing = first[1:-1] - k  # n-grams that reach into the next row
+        inside[crossing[(crossing >= 0) & (crossing < many)]] = False
     count = np.r_[0, np.cumsum(inside)]
-    yield buckets[inside].astype(np.int64), count[np.minimum(offsets, len(four))]
+    yield (h[inside] >> shift).astype(np.int32), count[np.minimum(first, many)]
 
 
 def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, x): the label and the dense histogram of each sampled row, as float32 bytes."""
+    """(y, at, x): the label, the filled buckets over all families, and their shares, of each sampled row."""
     for batch in batches:
         for lo, hi, data, offsets in text_blocks(batch["text"]):
-            x = np.zeros((hi - lo, FAMILIES << BITS), np.float32)
-            for k, (buckets, first) in enumerate(features(data, offsets, Words(data, offsets, lower=False))):
-                for row in range(hi - lo):
-                    own = buckets[first[row] : first[row + 1]]
-                    if len(own):
-                        x[row, k << BITS : (k + 1) << BITS] = np.bincount(own, minlength=1 << BITS) / len(own)
-            out = [np.flatnonzero(r) for r in x]
+            families = list(features(data, offsets, Words(data, offsets, lower=False)))
+            at, x = [], []
+            for row in range(hi - lo):
+                own = [np.unique(b[first[row] : first[row + 1]], return_counts=True) for b, first in families]
+                at.append(np.concatenate([(k << BITS) + b for k, (b, _) in enumerate(own)]).astype("<i4").tobytes())
+                x.append(np.concatenate([n / max(n.sum(), 1) for _, n in own]).astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({
-                "y": batch["y"][lo:hi].cast(pa.int32()),
-                "at": pa.array([i.astype(">u2").tobytes() for i in out], pa.binary()),
-                "x": pa.array([r[i].tobytes() for r, i in zip(x, out, strict=True)], pa.binary()),
+                "y": batch["y"][lo:hi].cast(pa.int32()), "at": pa.array(at, pa.binary()), "x": pa.array(x, pa.binary()),
             })
 
 
@@ -124,41 +135,83 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.a * score + self.b, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, used: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam over the ``used`` rows; the bias is not shrunk."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+class Sparse:
+    """Rows of (bucket, share) pairs, one after the other."""
+
+    def __init__(self, at: list[bytes], x: list[bytes]):
+        self.at = np.frombuffer(b"".join(at), "<i4")
+        self.x = np.frombuffer(b"".join(x), "<f4")
+        self.first = np.r_[0, np.cumsum([len(row) // 4 for row in at])]
+
+    def part(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, shares and row numbers from 0 of the rows ``lo`` to ``hi``."""
+        own = slice(self.first[lo], self.first[hi])
+        return self.at[own], self.x[own], np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1]))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        out = []
+        for lo in range(0, len(self.first) - 1, BATCH):
+            hi = min(lo + BATCH, len(self.first) - 1)
+            at, x, row = self.part(lo, hi)
+            out.append(np.bincount(row, x * w[at], hi - lo))
+        return np.concatenate(out)
+
+
+def sigmoid(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+def fit_logistic(rows: Sparse, y: np.ndarray, used: np.ndarray, ridge: float, passes: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over blocks of ``BATCH`` rows, of which the ``used`` ones count; the bias is not shrunk."""
+    w, b = np.zeros(FAMILIES << BITS, np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = ((p - y) * used / used.sum()).astype(np.float32)
-        g = np.r_[x.T @ e + ridge * w, e.sum()].astype(float)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
+    t = 0
+    for turn in range(passes):
+        rate = 0.5 * (1 - turn / passes)
+        for lo in range(0, len(y), BATCH):
+            hi = min(lo + BATCH, len(y))
+            own = used[lo:hi]
+            if not own.any():
+                continue
+            at, x, row = rows.part(lo, hi)
+            e = (sigmoid(np.bincount(row, x * w[at], hi - lo) + b) - y[lo:hi]) * own / own.sum()
+            g = np.r_[np.bincount(at, x * e[row], len(w)) + ridge * w, e.sum()]
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, float(b)
 
 
+def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """a and b of the logistic line a * score + b that fits ``y`` best, by Newton's steps; a is positive."""
+    scale = max(float(np.abs(score).max()), 1e-6)
+    x = np.c_[score / scale, np.ones(len(score))]
+    line = np.zeros(2)
+    for _ in range(50):
+        p = sigmoid(x @ line)
+        slope = x.T @ (p - y) / len(y) + 1e-3 * line
+        bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(2)
+        line -= np.linalg.solve(bend, slope)
+    return max(float(line[0]) / scale, 1e-3), float(line[1])
+
+
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityModel:
     """Fit and calibrate on at most ``most`` labelled rows; without two classes every text scores alike."""
     sample = labelled_sample(documents, labels, "quality", most)
-    rows = sample.mapInArrow(histograms, "y int, at binary, x binary").toPandas()
-    rows = rows.sort_values(["at", "x"], ignore_index=True)  # the same fit however the rows arrive
-    y = (rows["y"].to_numpy() > 0).astype(np.float32)
+    found = sample.mapInArrow(histograms, "y int, at binary, x binary").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["at"], r["x"], r["y"]))  # the same fit however the rows arrive
+    y = np.array([r["y"] > 0 for r in found], float)
     weights = np.zeros((FAMILIES, 1 << BITS), np.float32)
     if len(set(y)) < 2:
         return QualityModel(weights, 3.0 if not len(y) or y[0] else -3.0)
-    x = np.zeros((len(y), FAMILIES << BITS), np.float32)
-    for i, (at, values) in enumerate(zip(rows["at"], rows["x"], strict=True)):
-        x[i, np.frombuffer(at, ">u2")] = np.frombuffer(values, np.float32)
+    rows = Sparse([r["at"] for r in found], [r["x"] for r in found])
+    del found
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    w, bias = fit_logistic(x, y, ~held, 1e-6, 150)
-    a, b = 1.0, 0.0
-    if held.any():
-        score = (x @ w + bias)[:, None]
-        slope, b = fit_logistic(score / 10, y, held, 1e-3, 300)
-        a = max(float(slope[0]) / 10, 1e-3)
+    w, bias = fit_logistic(rows, y, ~held, 1e-6, 20)
+    a, b = calibration(rows.scores(w)[held] + bias, y[held]) if held.any() else (1.0, 0.0)
     return QualityModel(w.reshape(FAMILIES, -1), bias, a, b)
 
 

@@ -74,6 +74,56 @@ def test_score_of_a_block_is_the_score_of_each_row(labelled, prose):
     assert np.allclose(scores(1), scores(1 << 20))
 
 
+def test_probability_matches_plain(labelled, prose):
+    """The histogram of each text, counted with dictionaries, times the weights of its n-grams."""
+    import pyarrow as pa
+
+    model = quality_rules.fit(*labelled)
+    texts = [prose(7, 90), "ÄÖ ü€ 😀😀 漢字漢字", "", None, "abc", "abcd", " a  b\n", "x" * 300, "e\u0301e\u0301 e\u0301"]
+    shift = np.uint64(64 - quality_rules.BITS)
+
+    def buckets(text):
+        data, offsets = common.utf8(pa.array([text], pa.string()))
+        words = common.Words(data, offsets, lower=False)
+        pairs = words.grams(2)[0]
+        codes = [np.uint64(int.from_bytes(c.encode(), "little")) for c in text]
+        runs = []
+        for i in range(len(codes) - 3):
+            h = np.zeros(1, np.uint64)
+            for c in codes[i : i + 4]:
+                h = common.mixed(h ^ c)
+            runs.append(h[0])
+        assert len(words.hashes) == len(WORD.findall(text))
+        return [[int(h >> shift) for h in hashes] for hashes in (words.hashes, pairs, runs)]
+
+    want = []
+    for text in texts:
+        score = model.bias
+        for k, own in enumerate(buckets(text or "")):
+            for bucket, n in Counter(own).items():
+                score += float(model.weights[k][bucket]) * n / len(own)
+        want.append(1 / (1 + np.exp(-np.clip(model.a * score + model.b, -30, 30))))
+    data, offsets = common.utf8(pa.array(texts, pa.string()))
+    got = model.probability(data, offsets, common.Words(data, offsets, lower=False))
+    assert np.allclose(got, want)
+
+
+def test_sparse_fit_matches_dense_gradient():
+    """One step over one block is Adam's first step: the sign of the plain gradient."""
+    rng = np.random.default_rng(1)
+    at = [np.sort(rng.choice(50, 8, replace=False)).astype("<i4") for _ in range(20)]
+    x = [rng.random(8).astype("<f4") for _ in range(20)]
+    y = (np.arange(20) % 2).astype(float)
+    rows = quality_rules.Sparse([a.tobytes() for a in at], [v.tobytes() for v in x])
+    w, _ = quality_rules.fit_logistic(rows, y, np.ones(20, bool), 0.0, 1)
+    dense = np.zeros((20, 50))
+    for i in range(20):
+        dense[i, at[i]] = x[i]
+    gradient = dense.T @ (0.5 - y)
+    assert np.allclose(w[:50], -0.5 * np.sign(gradient), atol=1e-3)
+    assert np.allclose(rows.scores(w), dense @ w[:50], atol=1e-5)
+
+
 @pytest.mark.parametrize("values", [[], [1], [0]])
 def test_fits_without_two_classes(spark, documents, values):
     df = documents([(i, f"some words {i}") for i in range(8)])
