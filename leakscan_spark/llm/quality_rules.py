@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -103,19 +104,25 @@ def features(data: np.ndarray, offsets: np.ndarray, words: Words) -> Iterator[tu
     yield (h[inside] >> shift).astype(np.int32), count[np.minimum(first, many)]
 
 
+SPARSE = "y int, id binary, sizes binary, at binary, n binary"
+MOST = (1 << 16) - 1  # a larger count is several entries of its bucket
+
+
 def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, at, x): the label, the filled buckets over all families, and their shares, of each sampled row."""
+    """Of each sampled row its label, a digest, the entries per family, their buckets, and their counts, in 16 bits each."""
     for batch in batches:
         for lo, hi, data, offsets in text_blocks(batch["text"]):
             families = list(features(data, offsets, Words(data, offsets, lower=False)))
-            at, x = [], []
+            out: dict[str, list[bytes]] = {"id": [], "sizes": [], "at": [], "n": []}
             for row in range(hi - lo):
                 own = [np.unique(b[first[row] : first[row + 1]], return_counts=True) for b, first in families]
-                at.append(np.concatenate([(k << BITS) + b for k, (b, _) in enumerate(own)]).astype("<i4").tobytes())
-                x.append(np.concatenate([n / max(n.sum(), 1) for _, n in own]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_pydict({
-                "y": batch["y"][lo:hi].cast(pa.int32()), "at": pa.array(at, pa.binary()), "x": pa.array(x, pa.binary()),
-            })
+                own = [(np.r_[b, np.repeat(b, n // MOST)], np.r_[n % MOST, np.full((n // MOST).sum(), MOST)]) for b, n in own]
+                out["sizes"].append(np.array([len(b) for b, _ in own], "<i4").tobytes())
+                out["at"].append(np.concatenate([b for b, _ in own]).astype("<u2").tobytes())
+                out["n"].append(np.concatenate([n for _, n in own]).astype("<u2").tobytes())
+                out["id"].append(blake2b(out["sizes"][-1] + out["at"][-1] + out["n"][-1], digest_size=16).digest())
+            y = {"y": batch["y"][lo:hi].cast(pa.int32())}
+            yield pa.RecordBatch.from_pydict(y | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
 
 @dataclass(frozen=True)
@@ -136,22 +143,33 @@ class QualityModel:
 
 
 class Sparse:
-    """Rows of (bucket, share) pairs, one after the other."""
+    """Rows of (bucket, share) pairs, as the columns ``sizes``, ``at`` and ``n`` of ``histograms`` hold them."""
+
+    def __init__(self, rows: pa.Table, order: np.ndarray):
+        flat = lambda name, kind: np.concatenate(
+            [np.frombuffer(v.as_buffer(), kind) for v in rows[name]] or [np.zeros(0, kind)]
+        )
+        self.sizes = flat("sizes", "<i4").reshape(-1, FAMILIES)
+        self.at, self.n = flat("at", "<u2"), flat("n", "<u2")
+        self.first = np.r_[0, np.cumsum(self.sizes.sum(1))]
+        self.order = order
 
-    def __init__(self, at: list[bytes], x: list[bytes]):
-        self.at = np.frombuffer(b"".join(at), "<i4")
-        self.x = np.frombuffer(b"".join(x), "<f4")
-        self.first = np.r_[0, np.cumsum([len(row) // 4 for row in at])]
+    def __len__(self) -> int:
+        return len(self.order)
 
     def part(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets, shares and row numbers from 0 of the rows ``lo`` to ``hi``."""
-        own = slice(self.first[lo], self.first[hi])
-        return self.at[own], self.x[own], np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1]))
+        """Buckets over all families, shares and row numbers from 0 of the rows ``lo`` to ``hi`` in order."""
+        own = self.order[lo:hi]
+        joined = lambda values: np.concatenate([values[self.first[r] : self.first[r + 1]] for r in own])
+        group = np.repeat(np.arange(FAMILIES * len(own)), self.sizes[own].ravel())
+        n = joined(self.n)
+        total = np.bincount(group, n, FAMILIES * len(own))
+        return joined(self.at) + ((group % FAMILIES) << BITS), n / total[group], group // FAMILIES
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         out = []
-        for lo in range(0, len(self.first) - 1, BATCH):
-            hi = min(lo + BATCH, len(self.first) - 1)
+        for lo in range(0, len(self), BATCH):
+            hi = min(lo + BATCH, len(self))
             at, x, row = self.part(lo, hi)
             out.append(np.bincount(row, x * w[at], hi - lo))
         return np.concatenate(out)
@@ -199,13 +217,15 @@ def calibration(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityModel:
     """Fit and calibrate on at most ``most`` labelled rows; without two classes every text scores alike."""
     sample = labelled_sample(documents, labels, "quality", most)
-    found = sample.mapInArrow(histograms, "y int, at binary, x binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["at"], r["x"], r["y"]))  # the same fit however the rows arrive
-    y = np.array([r["y"] > 0 for r in found], float)
+    found = sample.mapInArrow(histograms, SPARSE).toArrow()
+    y = np.array(found["y"].to_pylist(), float) > 0
+    ids = found["id"].to_pylist()
+    order = np.array(sorted(range(len(y)), key=lambda i: (ids[i], y[i])), int)  # the same fit however the rows arrive
+    y = y[order].astype(float)
     weights = np.zeros((FAMILIES, 1 << BITS), np.float32)
     if len(set(y)) < 2:
         return QualityModel(weights, 3.0 if not len(y) or y[0] else -3.0)
-    rows = Sparse([r["at"] for r in found], [r["x"] for r in found])
+    rows = Sparse(found, order)
     del found
     held = np.arange(len(y)) % 4 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
