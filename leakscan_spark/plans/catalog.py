@@ -350,6 +350,34 @@ def sarif_rules(spark, sf):
     return findings_io.sarif_rules(planted_findings(spark, sf))
 
 
+def json_parts(spark, sf):
+    rows = findings_io.json_parts(planted_findings(spark, sf), 2)
+    return rows.select("file", "part", F.to_json("matches").alias("matches"))
+
+
+DOCUMENT = (
+    "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string, name: string, shortDescription: struct<text: string>>>>>, "
+    "results: array<struct<ruleId: string, ruleIndex: int, level: string, message: struct<text: string>, "
+    "locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>>>>>"
+)
+
+
+def sarif_documents(spark, sf):
+    """Every result of the documents, read back, with the rule that its index names."""
+    documents = findings_io.sarif_documents(planted_findings(spark, sf), 40)
+    run = documents.select("part", F.explode(F.from_json("document", DOCUMENT)["runs"]).alias("run"))
+    rows = run.select("part", F.col("run.tool.driver.rules").alias("rules"), F.posexplode("run.results").alias("at", "r"))
+    named = F.get("rules", F.col("r.ruleIndex"))
+    where = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "part", "at", F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), F.col("r.level").alias("level"),
+        F.col("r.message.text").alias("message"), named["id"].alias("named"), named["name"].alias("name"),
+        named["shortDescription"]["text"].alias("short_description"), F.size("rules").alias("rules"),
+        where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("start_line"),
+        where["region"]["startColumn"].alias("start_column"),
+    )
+
+
 def vulnerability_files(spark, sf):
     v = findings_io.vulnerabilities_at(inputs.vulnerabilities(spark, sf), "error")
     return findings_io.vulnerable_files(v)
@@ -711,7 +739,7 @@ QUERIES: tuple[Callable, ...] = (
     excluded_paths_scan, corpus_path_rules, ignored_files, ignore_rules, engine_union, external_report, baseline_filter,
     baseline_show, suppression_split, suppression_table, scan_verdict, policy_ignore_rules, suppression_lines, suppression_upsert,
     findings_per_file, severity_histogram, overall_risk, top_rules, findings_by_severity, threshold_gate,
-    level_counts, notify_summary, rules_per_file, json_results, json_reread, sarif_results, sarif_rules,
+    level_counts, notify_summary, rules_per_file, json_results, json_parts, json_reread, sarif_results, sarif_rules, sarif_documents,
     vulnerability_files, redact_token, redact_env, redact_text, mask_config_fields, rule_validation,
     policy_overlay, issue_drafts, vulnerability_drafts, issue_dedup, text_to_issue, command_risk, command_policy,
     command_default_policy, tool_event_decisions, tool_requests, tool_replies, tool_output_redaction, deny_reasons,

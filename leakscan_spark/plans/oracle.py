@@ -459,6 +459,19 @@ def statements() -> dict[str, str]:
         "SELECT lower(replace(rule, ' ', '-')) AS rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, concat(rule, ' detected') AS message, file AS uri, line AS start_line, \"column\" AS start_column FROM found"
     )
     s["sarif_rules"] = found("SELECT DISTINCT lower(replace(rule, ' ', '-')) AS rule_id, rule AS name, description AS short_description FROM found")
+    match = """concat('{"pattern":{"name":"', rule, '","severity":"', severity, '","description":"', description, '"},"line":', line, ',"column":', "column",
+        ',"redacted":"', replace(redacted, '"', '\\"'), '"}')"""
+    s["json_parts"] = found(
+        f"""SELECT file, CAST((k - 1) // 2 AS INT) AS part, concat('[', string_agg(match, ',' ORDER BY k), ']') AS matches FROM (
+        SELECT file, {match} AS match, row_number() OVER (PARTITION BY file ORDER BY line, "column", ord) AS k FROM found) GROUP BY ALL"""
+    )
+    s["sarif_documents"] = found(
+        """SELECT part, CAST(k % 40 AS INT) AS at, rule_id, CAST(dense_rank() OVER (PARTITION BY part ORDER BY first) - 1 AS INT) AS rule_index,
+        CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, concat(rule, ' detected') AS message, rule_id AS named, rule AS name,
+        description AS short_description, CAST(count(DISTINCT rule_id) OVER (PARTITION BY part) AS INT) AS rules, file AS uri, line AS start_line, "column" AS start_column
+        FROM (SELECT *, min(k) OVER (PARTITION BY part, rule_id) AS first FROM (SELECT *, CAST(k // 40 AS INT) AS part FROM (
+        SELECT *, lower(replace(rule, ' ', '-')) AS rule_id, row_number() OVER (ORDER BY file, line, "column", ord) - 1 AS k FROM found)))"""
+    )
     s["vulnerability_files"] = _with(inputs.VULNS_SQL) + "SELECT DISTINCT file FROM vulns WHERE level = 'error'"
     s["redact_token"] = f"SELECT p_partkey, {redacted('p_name')} AS redacted FROM part"
     s["redact_env"] = _with(inputs.PLANTED_SQL, lines("pl", "planted")) + (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 NOTE = (
     "Pattern-based scan without triage: findings have not been judged in context. "
     "Look into each one before acting on it."
@@ -24,16 +26,19 @@ def json_results(findings: DataFrame, lines_per_row: int = LINES_PER_ROW) -> Dat
 
     Small files are one row with part 0; readers concatenate parts in order.
     """
+    part = F.floor(F.coalesce("line", F.lit(0)) / lines_per_row).cast("int")
+    return _results(findings.withColumn("part", part))
+
+
+def _results(findings: DataFrame) -> DataFrame:
+    """(file, part, matches) of findings that have a ``part``."""
     engines = F.col("engines") if "engines" in findings.columns else F.lit(None).cast("array<string>")
     match = F.struct(
         F.col("line"), F.col("column"), F.coalesce("rule_ord", F.lit(-1)).alias("rule_ord"),
         F.struct("rule", "severity", F.coalesce("description", F.lit("")).alias("description")).alias("p"),
         F.col("redacted"), engines.alias("engines"),
     )
-    part = F.floor(F.coalesce("line", F.lit(0)) / lines_per_row).cast("int")
-    grouped = findings.groupBy("file", part.alias("part")).agg(
-        F.array_sort(F.collect_list(match)).alias("m")
-    )
+    grouped = findings.groupBy("file", "part").agg(F.array_sort(F.collect_list(match)).alias("m"))
     return grouped.select(
         "file", "part",
         F.transform(
@@ -50,12 +55,49 @@ def json_results(findings: DataFrame, lines_per_row: int = LINES_PER_ROW) -> Dat
     )
 
 
+FINDINGS_PER_PART = 10_000
+ORDER = ("file", "line", "column", "rule_ord", "rule", "redacted")
+
+
+def numbered(findings: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Findings with ``n``, their place from 0 in file, line and column order, over all or ``within`` columns of ``ORDER``.
+
+    Ranges of the order are dealt over the cluster, so a file of any number of
+    findings, on one line or many, spreads over tasks: places are counted inside
+    a range, and the sizes of the ranges before are added from a table of one row
+    per range (and file). The scan behind ``findings`` runs once. Places of equal
+    findings are interchangeable; absent values come first.
+    """
+    spark = findings.sparkSession
+    base = shared_dir(spark, "numbered")
+    findings.write.parquet(f"{base}/found")
+    found = spark.read.schema(findings.schema).parquet(f"{base}/found")
+    ranged = found.repartitionByRange(*ORDER).withColumn("range", F.spark_partition_id())
+    ranged.write.parquet(f"{base}/ranged")
+    rows = spark.read.schema(ranged.schema).parquet(f"{base}/ranged")
+    key = [*within, "range"]
+    earlier = Window.partitionBy(*within).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*key).agg(F.count("*").alias("size"))
+    before = before.select(*key, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*ORDER))
+    held = rows.withColumn("place", place).alias("r").join(
+        before.alias("b"), [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    )
+    return held.select(*[F.col(f"r.{c}") for c in findings.columns], (F.col("before") + F.col("place") - 1).alias("n"))
+
+
+def json_parts(findings: DataFrame, most: int = FINDINGS_PER_PART) -> DataFrame:
+    """(file, part, matches) rows of at most ``most`` findings; readers concatenate the parts of a file in order."""
+    part = F.floor(F.col("n") / most).cast("int")
+    return _results(numbered(findings, ("file",)).withColumn("part", part))
+
+
 def write_json(findings: DataFrame, path: str, suppressed: DataFrame | None = None) -> None:
     """Write results (and suppressed findings) as JSON lines with their envelope."""
     envelope = [
         F.lit(NOTE).alias("_note"), F.lit("local").alias("scan_mode"), F.lit(False).alias("triage_applied"),
     ]
-    json_results(findings).select(*envelope, "*").write.mode("overwrite").json(f"{path}/results")
+    json_parts(findings).select(*envelope, "*").write.mode("overwrite").json(f"{path}/results")
     if suppressed is not None:
         suppressed.select("file", "line", "column", "rule", "severity", "reason", "source").write.mode(
             "overwrite"
@@ -145,6 +187,69 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "leakscan-spark") ->
     ).write.mode("overwrite").json(f"{path}/rules")
 
 
+# What marks a SARIF document.
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+SARIF_VERSION = "2.1.0"
+
+
+def sarif_documents(findings: DataFrame, most: int = FINDINGS_PER_PART, tool: str = "leakscan-spark") -> DataFrame:
+    """(part, document): whole SARIF documents of at most ``most`` results each, in file, line and column order.
+
+    A document has one run. Its rules are those its results name, in order of
+    first use and as first described there, and every result carries the index of
+    its rule. Without findings there is one document with an empty run.
+    """
+    c = F.col
+    columns = [*findings.columns, "n"]
+    rows = numbered(findings).select(*columns, F.floor(c("n") / most).cast("int").alias("part"))
+    text = F.when(F.coalesce("description", F.lit("")) != "", c("description")).otherwise(c("rule"))
+    rules = rows.groupBy("part", sarif_id(c("rule")).alias("id")).agg(
+        F.min(F.struct("n", c("rule").alias("name"), text.alias("text"))).alias("first")
+    )
+    rules = rules.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("first", "id"))).alias("rules"))
+    region = F.when(c("line") != 0, F.struct(
+        c("line").alias("startLine"), F.when(c("column") != 0, c("column")).otherwise(1).alias("startColumn")
+    ))
+    place = F.struct(
+        F.struct(F.translate("file", "\\", "/").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"),
+        region.alias("region"),
+    )
+    result = F.struct(
+        "n", sarif_id(c("rule")).alias("id"),
+        F.when(c("severity").isin("critical", "high"), "error").otherwise("warning").alias("level"),
+        F.struct(F.concat("rule", F.lit(" detected")).alias("text")).alias("message"),
+        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"),
+    )
+    runs = rows.groupBy("part").agg(F.sort_array(F.collect_list(result)).alias("results")).join(rules, "part")
+    ids = F.transform("rules", lambda r: r["id"])
+    runs = runs.withColumn("ids", ids).select(
+        "part",
+        F.transform("rules", lambda r: F.struct(
+            r["id"].alias("id"), r["first"]["name"].alias("name"), F.struct(r["first"]["text"].alias("text")).alias("shortDescription"),
+        )).alias("rules"),
+        F.transform("results", lambda r: F.struct(
+            r["id"].alias("ruleId"), (F.array_position("ids", r["id"]) - 1).cast("int").alias("ruleIndex"),
+            r["level"].alias("level"), r["message"].alias("message"), r["locations"].alias("locations"),
+        )).alias("results"),
+    )
+    first = findings.sparkSession.range(1).select(c("id").cast("int").alias("part"))
+    runs = runs.join(first, "part", "full_outer")
+    empty = lambda name: F.coalesce(name, F.array().cast(runs.schema[name].dataType)).alias(name)
+    driver = F.struct(F.struct(F.lit(tool).alias("name"), empty("rules")).alias("driver"))
+    run = F.struct(driver.alias("tool"), empty("results"))
+    document = F.struct(
+        F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(run).alias("runs")
+    )
+    return runs.select("part", F.to_json(document).alias("document"))
+
+
+def write_sarif_documents(
+    findings: DataFrame, path: str, most: int = FINDINGS_PER_PART, tool: str = "leakscan-spark"
+) -> None:
+    """One file ``part=N/...`` per document, each of which a SARIF reader opens by itself."""
+    sarif_documents(findings, most, tool).write.mode("overwrite").partitionBy("part").text(path)
+
+
 # -- baselines ---------------------------------------------------------------
 
 

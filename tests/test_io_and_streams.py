@@ -86,6 +86,41 @@ def test_findings_round_trip(spark, texts, tmp_path):
     assert spark.read.json(str(tmp_path / "sarif/results")).where("locations[0].physicalLocation.region.startColumn = 1").count() == 4
 
 
+def test_parts_by_count(spark, tmp_path):
+    """A file of one line, a file of many, equal findings, absent places, and an empty table."""
+    schema = "file string, line int, column int, rule string, rule_ord int, severity string, description string, redacted string"
+    rows = [("one", 1, i, f"R {i % 3}", i % 3, "high", "d", "x") for i in range(1, 108)]
+    rows += [("many", i, 1, "R 0", 0, "low", "", "x") for i in range(1, 32)]
+    rows += [("same", 5, 5, "R 1", 1, "high", None, "y")] * 7 + [("a\\b", None, None, "R 2", None, "medium", "e", None), (None, 0, 0, "R 2", 2, "low", "e", "z")]
+    found = spark.createDataFrame(rows, schema).repartition(5)
+    parts = io.json_parts(found, 10).collect()
+    assert max(len(r.matches) for r in parts) == 10
+    got = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        got.setdefault(r.file, []).extend((m.line, m.column, m.pattern.name) for m in r.matches)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[1] or 0, r[2] or 0)):
+        want.setdefault(r[0], []).append((r[1], r[2], r[3]))
+    assert got == want
+    places = sorted(r.n for r in io.numbered(found).collect())
+    assert places == list(range(len(rows)))
+    io.write_sarif_documents(found, str(tmp_path / "sarif"), 50)
+    files = sorted((tmp_path / "sarif").glob("part=*/*.txt"))
+    documents = [json.loads(p.read_text()) for p in files]
+    assert [len(d["runs"][0]["results"]) for d in documents] == [50, 50, 47]
+    for d in documents:
+        assert d["version"] == "2.1.0" and d["$schema"].endswith("sarif-schema-2.1.0.json") and len(d["runs"]) == 1
+        rules = d["runs"][0]["tool"]["driver"]["rules"]
+        results = d["runs"][0]["results"]
+        assert [rules[r["ruleIndex"]]["id"] for r in results] == [r["ruleId"] for r in results]
+        assert [r["id"] for r in rules] == list(dict.fromkeys(r["ruleId"] for r in results))
+        assert all(r["shortDescription"]["text"] for r in rules)
+    uris = [r["locations"][0]["physicalLocation"] for d in documents for r in d["runs"][0]["results"]]
+    assert sum("region" not in u for u in uris) == 2 and any(u["artifactLocation"].get("uri") == "a/b" for u in uris)
+    (empty,) = io.sarif_documents(found.limit(0)).collect()
+    assert json.loads(empty.document)["runs"] == [{"tool": {"driver": {"name": "leakscan-spark", "rules": []}}, "results": []}]
+
+
 def test_watch_and_scan(spark, tmp_path):
     inbox, out = tmp_path / "in", tmp_path / "out"
     (inbox / ".git").mkdir(parents=True)
