@@ -1,9 +1,10 @@
 """The scanner as a table function for SQL: ``SELECT ... FROM files, LATERAL scan_text(text)``.
 
 The function yields one row per match of a whole text, as ``scan_texts`` does.
-It runs in Python over Arrow batches of Spark's own partitions; an automaton
-over the needles of all rules names the rules to try, so a text that holds none
-costs one pass. Rules are compiled when a task meets its first text.
+It runs in Python over Spark's own partitions; an automaton over the needles of
+all rules names the rules to try, so a text that holds none costs one pass. Rules
+are compiled when a task meets its first text. Rows go pickled in batches: with
+Arrow, a table function returns a record batch of its own for every text.
 """
 
 from __future__ import annotations
@@ -44,4 +45,4 @@ def register_scan_function(spark: SparkSession, rules: Sequence[Rule] = BUILTIN_
                     if not (rule in GENERIC_RULES and is_name_only(m[0])):
                         yield i, rule, severity, description, m[0]
 
-    spark.udtf.register(name, udtf(ScanText, returnType=COLUMNS, useArrow=True))
+    spark.udtf.register(name, udtf(ScanText, returnType=COLUMNS, useArrow=False))

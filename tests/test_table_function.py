@@ -19,3 +19,10 @@ def test_same_rows_as_the_scan(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 7
     counted = spark.sql("SELECT f.severity, count(*) AS n FROM udtf_texts t, LATERAL scan_some(t.text) f GROUP BY 1").collect()
     assert sum(r.n for r in counted) == 7
+
+
+def test_no_arrow_batch_per_text(spark):
+    register_scan_function(spark, BUILTIN_RULES, "scan_plain")
+    spark.range(3).selectExpr("concat('AKIA', repeat('Q', 16)) AS text").createOrReplaceTempView("udtf_plain")
+    plan = spark.sql("SELECT f.match FROM udtf_plain t, LATERAL scan_plain(t.text) f")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
