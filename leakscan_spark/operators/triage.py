@@ -96,13 +96,29 @@ def _glob_tokens(glob: str) -> list[str]:
     ]
 
 
+# So many of the most frequent keys are looked at for dropping; any other is held by few of the paths.
+COMMON = 2000
+
+
+def _meeting(paths: DataFrame, order: DataFrame, often: DataFrame) -> DataFrame:
+    """``paths`` by each of their keys, without frequent keys under which nothing waits.
+
+    The list of those is short whatever the tables, so it may be broadcast: words
+    that nearly every path holds never travel.
+    """
+    frequent = often.orderBy(F.desc("n"), "key").limit(COMMON).select("key")
+    idle = frequent.join(order.select("key").distinct(), "key", "left_anti")
+    keyed = paths.select("file", "path", "rules", F.explode_outer("keys").alias("key"))
+    return keyed.join(F.broadcast(idle), "key", "left_anti")
+
+
 def _mark_by_keys(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """First-match suppression for tables.
 
     A glob waits under the rarest of its fixed tokens among all paths; without
-    one, under its rule. Distinct (file, rule) pairs come by with their tokens and
-    rule, and the pattern is checked on what meets. Only a glob with neither, such
-    as ``**``, meets every pair, which is what it says.
+    one, under its rule. Distinct files come by with their tokens and rules, and
+    the pattern is checked on what meets. Only a glob with neither, such as
+    ``**``, meets every file, which is what it says.
     """
 
     @F.pandas_udf("struct<regex:string,on_name:boolean,tokens:array<string>>")
@@ -110,24 +126,31 @@ def _mark_by_keys(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
         return pd.DataFrame([(*glob_regex(g), _glob_tokens(g)) for g in globs], columns=["regex", "on_name", "tokens"])
 
     path = slashes(F.col("file"))
-    pairs = findings.select("file", "rule", path.alias("path")).distinct()
-    tokens = F.array_distinct(F.filter(F.split("path", "[^A-Za-z0-9]+"), lambda t: t != ""))
-    often = pairs.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # Tokens hold no colon, so the three kinds of keys stay apart.
+    by_rule = lambda rule: F.concat(F.lit("rule:"), F.lower(rule))
+    tokens = F.regexp_extract_all(path, F.lit("([A-Za-z0-9]+)"))
+    keys = F.array_distinct(F.concat(tokens, F.transform("rules", by_rule), F.array(F.lit("any:"))))
+    held = findings.groupBy("file").agg(F.collect_set("rule").alias("rules"))
+    paths = held.select("file", "rules", path.alias("path"), keys.alias("keys"))
+    often = (
+        paths.select(F.explode_outer("keys").alias("key")).where(F.col("key").isNotNull())
+        .groupBy("key").agg(F.count("*").alias("n"))
+    )
     parsed = suppressions.select("ord", F.lower("rule").alias("s_rule"), "reason", "source", compiled("path_glob").alias("g"))
-    each = parsed.select("*", F.explode_outer(F.array_distinct("g.tokens")).alias("token")).join(often, "token", "left")
+    each = parsed.select("*", F.explode_outer(F.array_distinct("g.tokens")).alias("key")).join(often, "key", "left")
     order = each.groupBy("ord").agg(
-        F.min_by(F.struct("token", "s_rule", "reason", "source", "g"), F.struct(F.coalesce("n", F.lit(0)), "token")).alias("s")
+        F.min_by(F.struct("key", "s_rule", "reason", "source", "g"), F.struct(F.coalesce("n", F.lit(0)), "key")).alias("s")
+    )
+    order = order.select(
+        "ord", "s.s_rule", "s.reason", "s.source", "s.g.regex", "s.g.on_name",
+        F.coalesce("s.key", by_rule(F.col("s.s_rule")), F.lit("any:")).alias("key"),
     )
-    own = F.concat(F.lit("token:"), F.col("s.token"))
-    by_rule = F.concat(F.lit("rule:"), F.col("s.s_rule"))
-    order = order.select("ord", "s.s_rule", "s.reason", "s.source", "s.g.regex", "s.g.on_name", F.coalesce(own, by_rule, F.lit("any:")).alias("key"))
-    keys = F.concat(F.transform(tokens, lambda t: F.concat(F.lit("token:"), t)), F.array(F.concat(F.lit("rule:"), F.lower("rule")), F.lit("any:")))
-    keyed = pairs.select("file", "rule", "path", F.explode(keys).alias("key"))
     target = F.when(F.col("on_name"), F.substring_index("path", "/", -1)).otherwise(F.col("path"))
+    meant = F.filter("rules", lambda r: F.col("s_rule").isNull() | (F.lower(r) == F.col("s_rule")))
     hits = (
-        keyed.join(order, "key")
-        .where(F.col("s_rule").isNull() | (F.col("s_rule") == F.lower("rule")))
+        _meeting(paths, order, often).join(order, "key")
         .where(F.rlike(target, F.col("regex")))
+        .select("file", F.explode(meant).alias("rule"), "ord", "reason", "source")
         .groupBy("file", "rule")
         .agg(F.min_by(F.struct("reason", "source"), "ord").alias("suppressed_by"))
     )

@@ -229,7 +229,7 @@ def suppression_table(spark, sf):
     )
     lines = parts.selectExpr("p_partkey AS ord", "concat('docs/order_', p_partkey * 3, '.*') AS value")
     table = supp.ordered_suppressions(supp.policy_suppressions(policy), supp.parse_suppression_lines(lines))
-    m = triage.mark_suppressed(planted_findings(spark, sf), table)
+    m = triage.mark_suppressed(stored_findings(spark, sf), table)
     by = F.col("suppressed_by")
     return m.select(*FINDING, by["reason"].alias("reason"), by["source"].alias("source"))
 

@@ -92,6 +92,14 @@ def test_tables_give_the_same_answer_as_lists(spark):
     assert str(view(short)) == str(view(long))
 
 
+def test_frequent_words_stay_unless_a_glob_waits_under_them(spark):
+    paths = spark.createDataFrame([(f"src/{i}.py", f"src/{i}.py", ["R"], ["src", str(i), "py", "any:"]) for i in range(40)], "file string, path string, rules array<string>, keys array<string>")
+    often = paths.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    order = spark.createDataFrame([("7",), ("py",), ("gone",)], "key string")
+    met = triage._meeting(paths, order, often).groupBy("key").count().collect()
+    assert {(r.key, r["count"]) for r in met} == {("7", 1), ("py", 40)}
+
+
 def test_suppression_lines(spark):
     lines = ["# note", "", " src/** ", "a/*.txt: Rule: x ", "b:"]
     df = spark.createDataFrame(list(enumerate(lines)), "ord int, value string")
