@@ -63,6 +63,13 @@ def stored_findings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_diff_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings on added lines as a step of their own."""
+    path = f"{shared_dir(spark, 'diff-findings')}/found"
+    _diff_findings(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _external(findings: DataFrame) -> DataFrame:
     """Another engine's report on the cloud and code-host keys of the same files."""
     f = F.col
@@ -489,7 +496,7 @@ def command_default_policy(spark, sf):
 
 
 def _staged(spark, sf):
-    return report.deny_reasons(_diff_findings(spark, sf), "repo").select("repo", "reason")
+    return report.deny_reasons(stored_diff_findings(spark, sf), "repo").select("repo", "reason")
 
 
 def tool_event_decisions(spark, sf):
@@ -516,7 +523,7 @@ def tool_output_redaction(spark, sf):
 
 
 def deny_reasons(spark, sf):
-    return report.deny_reasons(_diff_findings(spark, sf), "repo")
+    return report.deny_reasons(stored_diff_findings(spark, sf), "repo")
 
 
 # -- audit -------------------------------------------------------------------

@@ -174,3 +174,10 @@ def test_diffs(spark):
     for i in (1, 2):
         assert sorted((r.file, r.line, r.text) for r in rows if r.patch_id == i) == sorted(want)
     assert [(r.file, r.line, r.text) for r in rows if r.patch_id > 2] == [("p", 1, "solo")]
+
+
+def test_reasons_read_findings_that_were_scanned_once(spark):
+    from leakscan_spark.plans import catalog
+
+    plan = catalog.deny_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "regexp_extract_all" not in plan
