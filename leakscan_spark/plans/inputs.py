@@ -21,6 +21,10 @@ NO_BREAK_SPACE = ("decode(X'C2A0', 'UTF-8')", "chr(160)")
 RIGHT_TO_LEFT = ("decode(X'E280AE', 'UTF-8')", "chr(8238)")
 
 
+# Bytes of a table's files for one task, where each row becomes a text or a command of its own.
+DEALT_BYTES = 1 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     return spread(df.select(*columns) if columns else df)
@@ -36,6 +40,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Narrow rows that cost far more to work on than to move, in tasks of about the same number of rows.
+
+    The number of tasks follows the size of the table, so that the longest of them does not grow with it.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").select(*columns)
+    size = table_bytes(df)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // DEALT_BYTES)))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a table, from its listing; no file is opened."""
+    listed = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(df.inputFiles())
+    return listed.agg(F.sum("length")).first()[0] or 0
+
+
 def case(selector: str, choices: list[str]) -> str:
     """CASE over selector modulo the number of choices."""
     whens = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices))
@@ -108,7 +128,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return computed_once(load(spark, sf_dir, "orders").selectExpr("*", f"{PLANTED_HASH} AS h"), "h")
+    return computed_once(dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").selectExpr("*", f"{PLANTED_HASH} AS h"), "h")
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +266,7 @@ COMMAND, COMMAND_VIEW = _composed(0), _composed(1)
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
+    rows = dealt(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
         "event_id AS command_id", f"{COMMAND} AS command"
     )
     return computed_once(rows, "command")
@@ -289,14 +309,14 @@ RESPONSE = (
 
 
 def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events", "event_id", "user_id", "event_type").selectExpr(
+    return dealt(spark, sf_dir, "events", "event_id", "user_id", "event_type").selectExpr(
         "event_id", "concat('repo_', CAST(user_id % 60 AS STRING)) AS repo", f"{TOOL_FORMAT} AS format",
         f"{PAYLOAD} AS payload",
     ).transform(computed_once, "payload")
 
 
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
+    return dealt(spark, sf_dir, "events", "event_id", "user_id").selectExpr(
         "event_id", f"{TOOL_FORMAT} AS format", f"{RESPONSE} AS payload"
     ).transform(computed_once, "payload")
 

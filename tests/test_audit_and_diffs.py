@@ -181,3 +181,15 @@ def test_reasons_read_findings_that_were_scanned_once(spark):
 
     plan = catalog.deny_reasons(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan and "regexp_extract_all" not in plan
+
+
+def test_tasks_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
+    from leakscan_spark.plans import inputs
+
+    spark.range(20000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    dealt = lambda: inputs.dealt(spark, str(tmp_path), "orders", "o_orderkey")
+    assert dealt().rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    size = inputs.table_bytes(spark.read.parquet(f"{tmp_path}/orders.parquet"))
+    monkeypatch.setattr(inputs, "DEALT_BYTES", size // 20)
+    sizes = dealt().rdd.glom().map(len).collect()
+    assert len(sizes) in (20, 21) and sum(sizes) == 20000 and max(sizes) < 1.2 * 20000 / 20
