@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .columns import let, sums_before
-from .rules import GENERIC_RULES, Rule, is_context_free, java_regex
+from .rules import GENERIC_RULES, Rule, is_context_free, is_position_free, java_regex
 
 NumberedRules = Sequence[tuple[int, Rule]]
 
@@ -169,12 +169,31 @@ def is_false_positive(ordinal: str, match: str, rules: NumberedRules) -> Column:
     return F.col(ordinal).isin(*generic) & is_variable_name(F.col(match)) if generic else F.lit(False)
 
 
-def located(text: Column, pattern: Column) -> Column:
-    """Array of (column, match) of one pattern in one line, from the gaps between matches."""
-    parts = F.struct(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-    )
+def finds_first_copy(ordinal: str, rules: NumberedRules) -> Column:
+    """Whether the rule's first match is the first copy of its own text: the pattern looks at nothing else."""
+    free = [i for i, r in rules if is_position_free(r.regex)]
+    return F.col(ordinal).isin(*free) if free else F.lit(False)
+
+
+def located(text: Column, pattern: Column, first_copy: Column | None = None) -> Column:
+    """Array of (column, match) of one pattern in one line, from the gaps between matches.
+
+    Where ``first_copy`` holds (:func:`finds_first_copy`), a match that is alone on
+    its line is looked up as a text, which compiles no pattern.
+    """
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    if first_copy is None:
+        return _from_gaps(text, pattern, found)
+
+    def places(m: Column) -> Column:
+        alone = F.array(F.struct(F.instr(text, F.get(m, F.lit(0))).cast("int").alias("column"), F.get(m, F.lit(0)).alias("match")))
+        return F.when(first_copy & (F.size(m) == 1), alone).otherwise(_from_gaps(text, pattern, m))
+
+    return let(found, places)
+
+
+def _from_gaps(text: Column, pattern: Column, found: Column) -> Column:
+    parts = F.struct(found.alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
 
     def positions(p: Column) -> Column:
         # step[i] = characters from the start of gap i to the end of match i

@@ -138,6 +138,12 @@ def is_context_free(regex: str) -> bool:
     return not _CONTEXT.search(regex)
 
 
+def is_position_free(regex: str) -> bool:
+    """Whether the text of a match would match wherever it stands: context-free, and without
+    anchors and word borders in any spelling."""
+    return is_context_free(regex) and not re.search(r"[$^]|\\[bB]", regex.replace("[^", "["))
+
+
 def partition_rules(rules: Sequence[Rule]) -> tuple[list[tuple[int, Rule]], list[tuple[int, Rule]]]:
     """Split numbered rules into (native, Arrow); rules that do not compile drop out."""
     valid = [(i, r) for i, r in enumerate(rules) if compiles(r.regex)]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import (
+    finds_first_copy,
     firing_rules,
     is_false_positive,
     line_may_match,
@@ -75,7 +76,7 @@ def scan_lines(
     if native:
         fired = _fired(lines.where(line_may_match("text", native)), native, [*keep, "line"])
         hits = fired.select(
-            *keep, "line", "rule_ord", F.inline(located(F.col("text"), F.col("pattern")))
+            *keep, "line", "rule_ord", F.inline(located(F.col("text"), F.col("pattern"), finds_first_copy("rule_ord", native)))
         )
         parts.append(_as_findings(hits, rules, keep, F.col("line")))
     if arrow:

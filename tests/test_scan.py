@@ -165,3 +165,20 @@ def test_sums_before(spark):
     for n in (0, 1, 63, 64, 65, 200):
         got = spark.range(1).select(sums_before(F.array(*[F.lit(i) for i in range(n)]).cast("array<int>"))).first()[0]
         assert got == [sum(range(i)) for i in range(n)]
+
+
+def test_a_match_alone_on_its_line_is_found_as_a_text(spark):
+    from leakscan_spark.functions.matching import finds_first_copy, located
+    from leakscan_spark.operators.scan import scan_lines
+    from leakscan_spark.functions.rules import is_position_free
+
+    rules = [Rule("a", "k[0-9]{2}"), Rule("b", r"\bk[0-9]{2}"), Rule("c", "(?<!x)k[0-9]{2}"), Rule("d", "k[0-9]{2}$"), Rule("e", "(?i)K[0-9]+?z"), Rule("f", "[^a]k\\^")]
+    assert [is_position_free(r.regex) for r in rules] == [True, False, False, False, True, False]
+    assert [r.name for r in BUILTIN_RULES if not is_position_free(r.regex)] == ["Generic API Key", "Generic Secret"]
+    lines = spark.createDataFrame([("f", 1, "xk12 \U0001f511k12"), ("f", 2, "é\U0001f511 k12 k1"), ("f", 3, "xk34 end k34"), ("f", 4, "k5 K5Z")], "file string, line int, text string")
+    got = {(r.line, r.rule, r.column, r.match) for r in scan_lines(lines, rules).collect()}
+    assert {g for g in got if g[1] == "a"} == {(1, "a", 2, "k12"), (1, "a", 7, "k12"), (2, "a", 4, "k12"), (3, "a", 2, "k34"), (3, "a", 10, "k34")}
+    assert {g for g in got if g[1] == "c"} == {(1, "c", 7, "k12"), (2, "c", 4, "k12"), (3, "c", 10, "k34")}
+    assert {g for g in got if g[1] in "de"} == {(1, "d", 7, "k12"), (3, "d", 10, "k34"), (4, "e", 4, "K5Z")}
+    plan = lines.selectExpr("text", "'k' AS pattern", "0 AS rule_ord").select(located(F.col("text"), F.col("pattern"), finds_first_copy("rule_ord", list(enumerate(rules)))))
+    assert "instr(" in plan._jdf.queryExecution().optimizedPlan().toString()
