@@ -300,7 +300,7 @@ def top_rules(spark, sf):
 
 
 def findings_by_severity(spark, sf):
-    return report.by_severity(planted_findings(spark, sf)).select(*FINDING)
+    return report.by_severity(stored_findings(spark, sf)).select(*FINDING)
 
 
 def threshold_gate(spark, sf):
