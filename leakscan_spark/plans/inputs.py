@@ -43,11 +43,13 @@ def spread(df: DataFrame) -> DataFrame:
 def dealt(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Narrow rows that cost far more to work on than to move, in tasks of about the same number of rows.
 
-    The number of tasks follows the size of the table, so that the longest of them does not grow with it.
+    The number of tasks follows the size of the table, so that the longest of them does not grow with it;
+    every core gets as many as the others.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").select(*columns)
-    size = table_bytes(df)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // DEALT_BYTES)))
+    cores = spark.sparkContext.defaultParallelism
+    rounds = -(-table_bytes(df) // (DEALT_BYTES * cores))
+    return df.repartition(max(1, rounds) * cores)
 
 
 def table_bytes(df: DataFrame) -> int:

