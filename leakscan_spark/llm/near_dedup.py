@@ -16,7 +16,7 @@ at least ``T`` coordinates (all but ``MISSED`` of them), so:
   linked without both being linked to the hub only if they share enough of
   what sets them apart from it: for sets A, B with differences D from the hub,
   |A ^ B| = |D(A) ^ D(B)|. So the differences are posted, rarest first, under
-  (hub, shingle), each as far as the least overlap it needs requires, and a
+  (hub, shingle), each as far as a link may leave them unmatched, and a
   pair is formed where its first common shingle leaves enough of both. Every
   pair the list holds is thus either implied by links to the hub or found.
 
@@ -159,7 +159,7 @@ CONFIRMED = "a long, b long, star boolean, common long, size_a long, size_b long
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Exact set sizes of pairs (a, b, star), and for stars the shingles that one side alone has."""
+    """Exact set sizes of pairs (a, b, star), and for stars the shingles that one side alone has, those of ``a`` first."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,53 +194,74 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * c("common") >= percent * union)
 
 
-def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one hub that may be linked although not both are linked to the hub.
+def differences(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of hubs that a stray may be linked to, and one row for each difference that a link may be found by.
 
     In hundredths, with Q = 100 - percent: a member x differs from hub h in d(x)
-    shingles, of which new(x) are its own. x strays if 100 d > Q (|h| + new). A
-    link needs 100 (d(a) + d(b) - 2 overlap) <= Q (|h| + new(a) + new(b)). If a
-    strays this gives 200 overlap > 100 d(b) - Q new(b): the bound for b's
-    prefix. A stray within twice the distance may also be linked to a member
-    linked to the hub, and is posted whole for those.
+    shingles, of which new(x) are its own and the others the hub's. x strays if
+    100 d > Q (|h| + new). A link of sets A, B means (200 - Q) |A ^ B| <= Q (|A| + |B|),
+    where |A ^ B| = d(a) + d(b) - 2 overlap. So B lacks at most Q |A| / 100 of
+    A's new shingles and Q |A| / percent of all of A's differences. A member with more new
+    shingles than any link leaves unmatched is found by those alone; only the others, deep
+    ones, also show what they lack of the hub. A stray within twice the distance
+    may also be linked to a member linked to the hub.
     """
     c, q = F.col, 100 - percent
     member = stars.select(
         c("a").alias("hub"), c("b").alias("node"), "apart", F.size("apart").cast("long").alias("d"),
-        (c("size_b") - c("common")).alias("new"), c("size_a").alias("h"),
+        (c("size_b") - c("common")).alias("new"), c("size_a").alias("h"), c("size_b").alias("size"),
     )
-    member = member.withColumn("stray", 100 * c("d") > q * (c("h") + c("new")))
+    member = member.withColumn("lost", c("d") - c("new")).withColumn("stray", 100 * c("d") > q * (c("h") + c("new")))
     member = member.withColumn("near", 100 * c("d") <= 2 * q * (c("h") + c("new")))
     # Without a stray the hub implies every link, and members linked to the hub matter only to strays near enough.
-    strays = member.where("stray")
-    settled = member.where("not stray").join(strays.where("near").select("hub").distinct(), "hub", "left_semi")
-    of = lambda members, stray: members.select("hub", "node", F.lit(stray).alias("strays"), F.explode("apart").alias("element"))
-    met_by = of(strays, True).select("hub", "element").distinct()
-    element = of(strays, True).unionByName(of(settled, False).join(met_by, ["hub", "element"], "left_semi"))
-    # Counted where they stand: one shuffle tells how many members hold an element, and whether a settled one does.
+    strays = member.where("stray").withColumn("deep", 100 * c("new") <= q * c("size"))
+    met_by = strays.where("near").groupBy("hub").agg(F.max("deep").alias("deep"))
+    listed = strays.unionByName(member.where("not stray").join(met_by, "hub"))
+    shown = F.when(c("deep"), c("apart")).otherwise(F.slice("apart", (c("lost") + 1).cast("int"), c("new").cast("int")))
+    element = listed.select("hub", "node", "stray", "near", "deep", "lost", F.posexplode(shown).alias("at", "element"))
+    return listed.drop("apart"), element
+
+
+def apart_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one hub that may be linked although not both are linked to the hub.
+
+    In one order of a hub's differences, new shingles first and rarer ones before, the
+    first common one of a pair follows only on what the partner lacks, so a prefix is posted. If the
+    partner strays, also 200 overlap > 100 d(a) - Q new(a).
+    """
+    c, q = F.col, 100 - percent
+    listed, element = differences(stars, percent)
+    # Counted where they stand: one shuffle tells how many members, and how many strays, hold an element.
     alike = Window.partitionBy("hub", "element")
-    counted = element.withColumn("c", F.count("*").over(alike)).withColumn("wanted", ~F.bool_and("strays").over(alike))
-    shared = counted.where("c > 1").groupBy("hub", "node").agg(
-        F.sort_array(F.collect_list(F.struct("c", "element", "wanted"))).alias("held")
+    counted = element.withColumn("c", F.count("*").over(alike)).withColumn("strays", F.count_if("stray").over(alike))
+    met = F.when(~c("stray"), c("strays") > 0).otherwise((c("strays") > 1) | (c("near") & (c("c") > 1)))
+    of_hub = c("deep") & (c("at") < c("lost"))
+    shared = counted.where(met).groupBy("hub", "node").agg(
+        F.sort_array(F.collect_list(F.struct(of_hub.alias("of_hub"), "c", "element"))).alias("held"),
+        F.count_if(~of_hub).alias("held_new"),
     )
     overlap = F.floor((100 * c("d") - q * c("new")) / 200) + 1
-    listed = strays.unionByName(settled).drop("apart").join(shared, ["hub", "node"])
-    # Of each list only the prefix is posted, and of near strays what a settled member has too.
-    brief = F.greatest(F.size("held") - overlap + 1, F.lit(0)).cast("int")
+    lacked = F.floor(q * c("size") / percent)
+    lacked = F.when(c("stray") & c("near"), lacked).otherwise(F.least(lacked, c("d") - overlap)) - c("d")
+    # What nobody else holds is lacked by every partner, so that the prefix of the others is shorter.
+    prefix = F.size("held") + 1 + F.when(c("deep"), lacked).otherwise(F.floor(q * c("size") / 100) - c("new"))
     place = lambda e, j: F.struct(
         e["element"].alias("element"), F.get("held", j - 1)["element"].alias("before"),
-        (F.size("held") - j).cast("long").alias("rest"), (j < c("prefix")).alias("brief"), e["wanted"].alias("wanted"),
+        F.greatest(c("held_new") - j, F.lit(0)).alias("rest"),
+        F.when(e["of_hub"], F.size("held") - j).otherwise(c("lost")).alias("rest_of_hub"),
     )
-    near = c("stray") & c("near")
-    posted = F.filter(F.transform("held", place), lambda e: e["brief"] | (near & e["wanted"]))
-    listed = listed.withColumn("prefix", brief).select("hub", "node", "d", "new", "h", "stray", "near", F.inline(posted))
-    one = listed.where(c("stray") & (c("brief") | c("near"))).alias("x")
-    two = listed.where("brief").alias("y")
-    need = 100 * (c("x.d") + c("y.d")) - q * (c("x.h") + c("x.new") + c("y.new"))
-    wanted = F.when(c("y.stray"), c("x.brief") & (c("x.node") < c("y.node"))).otherwise(c("x.near"))
+    posted = F.transform(F.slice("held", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), place)
+    listed = listed.join(shared, ["hub", "node"])
+    listed = listed.select("hub", "node", "d", "new", "size", "stray", "near", F.inline(posted))
+    one, two = listed.where("stray").alias("x"), listed.alias("y")
+    least = lambda name: F.least(f"x.{name}", f"y.{name}")
+    apart = c("x.d") + c("y.d") - 2 * (least("rest") + least("rest_of_hub"))
+    wanted = F.when(c("y.stray"), c("x.node") < c("y.node")).otherwise(c("x.near"))
     met = one.join(two, (c("x.hub") == c("y.hub")) & (c("x.element") == c("y.element")) & wanted
                    & ~F.coalesce(c("x.before") == c("y.before"), F.lit(False))  # met there already
-                   & (200 * F.least("x.rest", "y.rest") >= need))
+                   & (100 * (c("x.new") - least("rest")) <= q * c("x.size"))
+                   & (100 * (c("y.new") - least("rest")) <= q * c("y.size"))
+                   & ((200 - q) * apart <= q * (c("x.size") + c("y.size"))))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 

@@ -61,6 +61,27 @@ def test_components_match_all_pairs(spark, documents, odd_rows, prose, monkeypat
     assert all(got[d]["n_shingles"] == len(shingle_set(t, n)) for d, t in rows)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_strays_show_few_differences_and_lose_no_link(spark, percent):
+    rng, q = random.Random(percent), 100 - percent
+    hub = set(range(100))
+    loners = [(hub - set(rng.sample(sorted(hub), 40))) | {rng.randrange(10**9) for _ in range(40)} for _ in range(60)]
+    members = [(m - set(rng.sample(sorted(m), k % 7))) | {rng.randrange(10**9) for _ in range(k % 5)} for m in loners[:12] for k in range(6)]
+    members += [(hub - set(rng.sample(range(30), k % 22))) | set(range(100, 100 + k % 19)) for k in range(80)]
+    sets = loners[12:] + members
+    rows = [(0, 1 + i, True, len(hub & m), len(hub), len(m), sorted(hub - m) + sorted(m - hub)) for i, m in enumerate(sets)]
+    stars = spark.createDataFrame(rows, near_dedup.CONFIRMED)
+    linked = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+    stray = [not linked(hub, m) for m in sets]
+    want = {(1 + i, 1 + j) for j in range(len(sets)) for i in range(j) if (stray[i] or stray[j]) and linked(sets[i], sets[j])}
+    got = {(r["a"], r["b"]) for r in near_dedup.apart_pairs(stars, percent).collect()}
+    assert len(want) > 100 and want <= got
+    # A stray with many shingles of its own shows those alone.
+    limit = sum(len(m - hub) if 100 * len(m - hub) > q * len(m) else len(m ^ hub) for m in sets)
+    shown = near_dedup.differences(stars, percent)[1]
+    assert shown.count() <= limit < 0.7 * sum(len(m ^ hub) for m in sets)
+
+
 def test_representatives_keep_columns_and_rows_without_id(documents, odd_rows):
     df = documents(odd_rows).withColumnRenamed("lang", "component_id")
     kept = near_dedup.representatives(df)
