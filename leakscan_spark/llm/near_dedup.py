@@ -19,6 +19,12 @@ at least ``T`` coordinates (all but ``MISSED`` of them), so:
   (hub, shingle), each as far as a link may leave them unmatched, and a
   pair is formed where its first common shingle leaves enough of both. Every
   pair the list holds is thus either implied by links to the hub or found.
+* Strays: only a member linked to the hub has to be compared with a stray by
+  differences, if the stray is near enough. Strays of one hub are posted again,
+  once each and not once per hub, under the rarest of the shingles that strays
+  share. Most share too few with any other and are out. Short lists are paired,
+  long ones get hubs as before, and what strays from these shows all its
+  differences. Links inside a class known by then are not looked for.
 
 Copies of one shingle set are one node. Components of the links give each
 document the smallest document reachable.
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, mixed, saved, table, text_blocks, unused, utf8
@@ -112,30 +118,50 @@ def signatures(documents: DataFrame, n: int) -> DataFrame:
     return keyed(documents).mapInArrow(sign, "doc_id long, t long, n_shingles long, hi long, lo long, sig array<int>")
 
 
-def postings(nodes: DataFrame, least: int) -> DataFrame:
-    """(token, node, center): each node under the rarest tokens that a pair with ``least`` agreements must share.
+def postings(tokens: DataFrame) -> DataFrame:
+    """(token, node, center): of (node, token, least), each node under its rarest tokens, one of which any set that shares ``least`` has too.
 
     ``center`` adds up how common a node's tokens are: the typical member of a group has the most.
     """
-    tokens = nodes.select("node", F.posexplode("sig").alias("k", "v")).select(
-        "node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
-    )
     held = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     lists = tokens.join(held, "token").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"), F.sum("c").alias("center")
+        F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"), F.sum("c").alias("center"), F.max("least").alias("least")
     )
-    prefix = F.slice("held", 1, F.size("held") - least + 1)
-    return lists.where(F.size("held") >= least).select("node", "center", F.explode(prefix).alias("p")).select(
+    prefix = F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1)
+    return lists.where(F.size("held") >= F.col("least")).select("node", "center", F.explode(prefix).alias("p")).select(
         F.col("p.token").alias("token"), "node", "center"
     )
 
 
+def coordinates(nodes: DataFrame, least: int) -> DataFrame:
+    """(node, token, least): each coordinate with its value."""
+    return nodes.select("node", F.posexplode("sig").alias("k", "v")).select(
+        "node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"),
+        F.lit(least).alias("least"),
+    )
+
+
+def whole_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, token, least): every shingle of (node, text), and how many of them any set over the similarity shares."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch["text"]):
+                _, grams, rows = shingles(data, offsets, n)
+                ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=hi - lo))].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "node": batch["node"][lo:hi], "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))),
+                })
+
+    sets = texts.select("node", "text").mapInArrow(split, "node long, grams array<long>")
+    least = F.ceil(F.size("grams") * percent / 100).cast("int")
+    return sets.select("node", least.alias("least"), F.explode("grams").alias("token"))
+
+
 def candidates(posted: DataFrame, nodes: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of short lists that agree often enough, and (hub, member) pairs of long lists."""
     c = F.col
-    lists = posted.groupBy("token").agg(
-        F.count("*").alias("n")
-    )
+    lists = posted.groupBy("token").agg(F.count("*").alias("n"))
     lists = saved(lists.where(c("n") > 1), "lists")  # a plain table: Spark can then split the long lists' joins
     short = posted.join(lists.where(c("n") <= SHORT).select("token"), "token").select("token", "node")
     met = short.alias("x").join(short.alias("y"), "token").where(c("x.node") < c("y.node"))
@@ -194,6 +220,33 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * c("common") >= percent * union)
 
 
+def parted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` with ``apart_yet``: whether the classes in ``labels`` hold a and b apart."""
+    a, b = (labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.withColumn("apart_yet", F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
+
+
+def star_marks(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance, apart_yet) of hubs and members, by Jaccard distance."""
+    c, union = F.col, F.col("size_a") + F.col("size_b") - F.col("common")
+    marks = stars.select("a", "b", (100 * c("common") >= percent * union).alias("linked"), (1 - c("common") / union).alias("distance"))
+    return parted(marks, labels)
+
+
+def of_hubs(marks: DataFrame, condition: Column) -> DataFrame:
+    """The rows of hubs that have a member for the condition."""
+    return marks.join(marks.where(condition).select("a").distinct(), "a", "left_semi")
+
+
+def beside_linked(marks: DataFrame, percent: int) -> DataFrame:
+    """The members linked to a hub, and the strays that may be linked to one of them, no farther from the hub than that one and a link."""
+    c = F.col
+    reach = marks.where("linked").groupBy("a").agg((F.max("distance") + (100 - percent) / 100 + 1e-9).alias("reach"))
+    met = marks.join(reach, "a").where(c("linked") | (c("apart_yet") & (c("distance") <= c("reach"))))
+    return of_hubs(met, c("apart_yet"))
+
+
 def differences(stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members of hubs that a stray may be linked to, and one row for each difference that a link may be found by.
 
@@ -280,18 +333,31 @@ def grouped(documents: DataFrame, n: int, percent: int) -> DataFrame:
     marked = owned.join(several.select(c("doc_id").alias("shared")), c("owner.doc_id") == c("shared"), "left")
     node = F.when(c("shared").isNull(), c("owner.doc_id")).otherwise(F.xxhash64("owner.doc_id", "owner.t"))
     nodes = saved(marked.select("hi", "lo", "n_shingles", node.alias("node"), "owner", "sig"), "sets")
-    posted = saved(postings(nodes.select("node", "sig"), least), "postings")
-    pairs, stars = candidates(posted, nodes.select("node", "sig", c("n_shingles").alias("size")), least, percent)
-    both = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
-    met = saved(both, "candidates")
+    sized = nodes.select("node", "sig", c("n_shingles").alias("size"))
+    posted = saved(postings(coordinates(nodes.select("node", "sig"), least)), "postings")
     wanted = posted.select("node").distinct().join(nodes.select("node", "owner.*"), "node")
     texts = keyed(documents).join(wanted, ["doc_id", "t"])
     texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
-    first = saved(confirmed(met, texts, n), "confirmed")
-    apart = apart_pairs(first.where("star"), percent).withColumn("star", F.lit(False))
-    second = confirmed(apart, texts, n)
-    links = saved(linked(first, percent).select("a", "b").unionByName(linked(second, percent).select("a", "b")), "links")
+    pairs, stars = candidates(posted, sized, least, percent)
+    both = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
+    first = saved(confirmed(saved(both, "candidates"), texts, n), "confirmed")
+    links = saved(linked(first, percent).select("a", "b"), "links")
     labels = components(links)
+    marks = saved(star_marks(first.where("star"), labels, percent), "marks")
+    # Where every stray is in its hub's class already, whatever else is linked is in that class too.
+    if not marks.where("apart_yet").isEmpty():
+        between = lambda pairs: parted(pairs, labels).where("apart_yet").select("a", "b", F.lit(False).alias("star"))
+        beside = apart_pairs(first.where("star").join(beside_linked(marks, percent).select("a", "b"), ["a", "b"]), percent)
+        strays = of_hubs(marks, c("apart_yet")).where(~c("linked")).select(c("b").alias("node")).distinct()
+        tokens = saved(whole_sets(texts.join(strays, "node"), n, percent), "shingles")
+        pairs, stars = candidates(saved(postings(tokens), "postings"), sized, least, percent)
+        both = between(pairs.unionByName(beside).distinct()).unionByName(stars.withColumn("star", F.lit(True)))
+        second = saved(confirmed(saved(both, "candidates"), texts, n), "confirmed")
+        marks = star_marks(second.where("star"), labels, percent)
+        searched = second.where("star").join(of_hubs(saved(marks, "marks"), c("apart_yet")).select("a", "b"), ["a", "b"])
+        third = confirmed(saved(between(apart_pairs(searched, percent)), "candidates"), texts, n)
+        more = linked(second, percent).unionByName(linked(third, percent)).select("a", "b")
+        labels = components(saved(links.unionByName(more), "links"))
     named = labels.join(nodes.select("node", "owner"), "node")
     smallest = named.groupBy("label").agg(F.min("owner").alias("smallest"))
     labelled = named.select("node", "label").join(smallest, "label").select("node", "smallest")

@@ -82,6 +82,19 @@ def test_strays_show_few_differences_and_lose_no_link(spark, percent):
     assert shown.count() <= limit < 0.7 * sum(len(m ^ hub) for m in sets)
 
 
+def test_sets_that_share_a_passage_show_no_differences(spark, documents, monkeypatch):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(40)])) for i in range(150)]
+    rows += [(500 + k, edited(rows[7 * k][1], 2, rng)) for k in range(12)]
+    shown, differences = [], near_dedup.differences
+    monkeypatch.setattr(near_dedup, "differences", lambda *a: shown.append(differences(*a)) or shown[-1])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.clusters(documents(rows), 5, 80).collect()}
+    assert got == expected_components(rows, 5, 80)
+    assert sum(got[500 + k] == 7 * k for k in range(12)) == 12
+    assert sum(element.count() for _, element in shown) < 12 * 100
+
+
 def test_representatives_keep_columns_and_rows_without_id(documents, odd_rows):
     df = documents(odd_rows).withColumnRenamed("lang", "component_id")
     kept = near_dedup.representatives(df)
