@@ -108,12 +108,14 @@ class Items:
         hashes, at = pairs(words)
         lo = np.searchsorted(self.hashes, hashes)
         hit = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == hashes)
+        if not len(hit):
+            return best
         hit = hit[np.argsort(at[hit], kind="stable")]
         lo, at = lo[hit], at[hit]
         n = np.searchsorted(self.hashes, hashes[hit], "right") - lo
         upto = np.r_[0, np.cumsum(np.bincount(words.rows[at], n, len(offsets) - 1))]  # seeds met up to each row
         part = (upto[words.rows[at]] // MOST).astype(np.int64)
-        ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1 if len(part) else []
+        ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
         for a, b in zip([0, *ends[:-1]], ends, strict=True):
             for r, i, left, right in self.windows(words, lo[a:b], n[a:b], at[a:b]):
                 window = words.hashes[left:right]

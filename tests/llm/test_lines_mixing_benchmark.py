@@ -228,3 +228,15 @@ def test_empty_benchmark_and_documents(spark, documents):
     assert decontaminate.clean(df, benchmark).count() == 1
     full = spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string")
     assert decontaminate.matches(documents([]), full).collect() == []
+
+
+def test_blocks_that_meet_no_seed(spark, documents):
+    benchmark = spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string")
+    rows = [(1, "nothing that it holds"), (2, None), (3, ""), (4, "one")]
+    for some in (rows, rows[:1], rows[1:]):
+        df = documents(some, 1)
+        assert decontaminate.matches(df, benchmark).collect() == []
+        assert sorted(r["doc_id"] for r in decontaminate.clean(df, benchmark).collect()) == [d for d, _ in some]
+    df = documents([(5, "x a few words of an item y"), (6, "other " * 200_000)], 1)  # the long one is a block of its own
+    assert [r["doc_id"] for r in decontaminate.matches(df, benchmark).collect()] == [5]
+    assert [r["doc_id"] for r in decontaminate.clean(df, benchmark).collect()] == [6]
