@@ -69,6 +69,13 @@ def test_pipeline_on_an_empty_table(spark, documents, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_documents_without_a_word_pair_of_any_item_pass_the_benchmark_stage(spark, documents, tmp_path):
+    spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = documents([(1, "nothing that it holds", "en", "s"), (2, None, "en", "s"), (3, "other " * 200_000, "en", "s")])
+    clean = corpus_pipeline.saved(corpus_pipeline.remove_benchmark_copies(spark, df, str(tmp_path)), "t")
+    assert clean.columns == df.columns and sorted(map(str, clean.collect())) == sorted(map(str, df.collect()))
+
+
 def test_clashing_columns_pass_the_line_and_mixing_stages(spark, documents):
     line = "a line long enough to be held twice"
     rows = documents([(1, line + "\nown", "en", "s"), (2, line + "\nother", "en", "s")]).withColumn("kept_text", F.lit("mine")).withColumn("N_Lines", F.lit(7))
